@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import line_quality, metric_join, secret_scan
+from . import decontaminate, language_id, line_quality, metric_join, packing, secret_scan, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +20,28 @@ def op4_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op5_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op8_language_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs)).select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op9_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return url_rules.judge_urls(pages, url_rules.labelled_pages(pages, _table(spark, sf_dir, "labels")))
+
+
 def op10_assignment_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_frequency, op4_metric_join, op10_assignment_secrets)}
+QUERIES = {f.__name__: f for f in (op1_line_frequency, op4_metric_join, op5_cgk_decontamination, op6_exact_complement_packing, op8_language_hierarchy, op9_url_association_rules, op10_assignment_secrets)}
 
 ORACLE_SQL: dict[str, str] = {}
