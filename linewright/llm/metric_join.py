@@ -9,12 +9,14 @@ other differ by at most r in their distances to p.
    one global order.  Two points that link share a prefix shingle, hence a
    region: that replication is exact.  The order puts shingles that a bounded
    sample shows to be frequent last; it changes the cost, never the result.
-3. Each region takes a pivot.  All its points measure their exact distance to
-   it; those within r link to it.  Links contract to components.
+3. Each region takes a pivot.  All its points measure their distance to
+   it: the common part of two prefixes bounds it from both sides, and where the bounds
+   leave room for a link the whole sets give it exactly.  Points within r link
+   to the pivot.  Links contract to components.
 4. A region whose points form one component is done.  The others recur with
    the unused point nearest to the last pivot as the next one.  After the last round each region
    joins the pairs that are in different components and inside each other's
-   triangle window to its last pivot, each pair with an exact check.
+   triangle window to its last pivot, each pair with the same bounds and exact check.
 
 Only counts and flags reach the driver.  Defined results: null, empty and blank texts
 have an empty set and link with nothing; texts of fewer words than the
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as K
@@ -37,13 +39,17 @@ from .components import connected
 from .scratch import stored
 
 #: Documents in the sample that finds frequent shingles, and the most that it may name.
-ORDER_SAMPLE = 8_000
+ORDER_SAMPLE = 4_000
 ORDER_SIZE = 1 << 16
 #: Rounds of pivots before what remains of a region joins by windows.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 PERCENT = 80
 
 
+#: A prefix holds shingles as 63 bits of their hash below this bit, which marks frequent ones: sorted, they stand in the global order.
+_LATE = np.uint64(1 << 63)
+
+
 def _prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -61,10 +67,11 @@ def _signer(late: np.ndarray, percent: int, width: int):
                     if not len(own):
                         continue
                     sizes[k], sums[k], others[k] = len(own), K.mix(own).sum(), K.mix(own ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()
+                    place = own >> np.uint64(1)
                     if len(late):
                         is_late = late[np.minimum(np.searchsorted(late, own), len(late) - 1)] == own
-                        own = np.concatenate((own[~is_late], own[is_late]))
-                    own = own[: _prefix_length(len(own), percent)]
+                        place = np.concatenate((place[~is_late], place[is_late] | _LATE))
+                    own = place[: _prefix_length(len(place), percent)]
                     prefix.append(own)
                     at[k + 1] = len(own)
                 values = np.concatenate(prefix).view(np.int64) if prefix else np.zeros(0, dtype=np.int64)
@@ -99,13 +106,42 @@ def _late_shingles(docs: DataFrame, width: int) -> np.ndarray:
     return np.sort(found.toPandas()["g"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
-def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b, ...) with n_a, n_b and the exact size of the intersection."""
-    left = sets.select(F.col("id").alias("a"), F.col("s").alias("s_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("s").alias("s_b"))
-    both = pairs.join(right, "b").join(left, "a")
-    common = F.size(F.array_intersect("s_a", "s_b")).cast("long")
-    return both.select("a", "b", F.size("s_a").cast("long").alias("n_a"), F.size("s_b").cast("long").alias("n_b"), common.alias("common"))
+def _bounder(percent: int):
+    """Bounds on the common shingles of pairs from their prefixes.
+
+    Up to the place where the first of the two prefixes ends, both are known
+    whole; beyond it no more can be common than the smaller rest.
+    """
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("n_a", "n_b"))
+            lists = [batch.column(batch.schema.get_field_index(c)) for c in ("p_a", "p_b")]
+            flat = [(x.offsets.to_numpy(), x.values.to_numpy(zero_copy_only=False).view(np.uint64)) for x in lists]
+            least, most = np.zeros(len(n_a), dtype=np.int64), np.zeros(len(n_a), dtype=np.int64)
+            for k in range(len(n_a)):
+                one, two = (v[o[k] : o[k + 1]] for o, v in flat)
+                end = min(one[-1], two[-1])
+                i, j = np.searchsorted(one, end, side="right"), np.searchsorted(two, end, side="right")
+                least[k] = len(np.intersect1d(one[:i], two[:j], assume_unique=True))
+                most[k] = least[k] + min(n_a[k] - i, n_b[k] - j)
+            kept = [batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "n_a", "n_b")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(least), pa.array(most)], names=["a", "b", "n_a", "n_b", "least", "most"])
+
+    return bound
+
+
+def _measured(pairs: DataFrame, prefixes: DataFrame, rows: DataFrame, percent: int, width: int) -> DataFrame:
+    """a, b, n_a, n_b with the least and the most shingles that they can have in common; exact wherever they might link."""
+    one, two = (prefixes.select(F.col("doc_id").alias(v), F.col("n").alias(f"n_{v}"), F.col("prefix").alias(f"p_{v}")) for v in "ab")
+    bounds = stored(pairs.join(two, "b").join(one, "a").mapInArrow(_bounder(percent), "a long, b long, n_a long, n_b long, least long, most long"), "bounds")
+    linkable = 100 * F.col("most") >= percent * (F.col("n_a") + F.col("n_b") - F.col("most"))
+    close = bounds.filter(linkable)
+    needed = close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = stored(rows.join(needed, "doc_id", "left_semi").mapInArrow(_setter(width), "id long, s array<long>"), "sets")
+    left, right = (sets.select(F.col("id").alias(v), F.col("s").alias(f"s_{v}")) for v in "ab")
+    exact = close.join(right, "b").join(left, "a").withColumn("common", F.size(F.array_intersect("s_a", "s_b")).cast("long"))
+    return bounds.filter(~linkable).unionByName(exact.select("a", "b", "n_a", "n_b", F.col("common").alias("least"), F.col("common").alias("most")))
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = 5) -> DataFrame:
@@ -114,43 +150,40 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = 5)
     late = _late_shingles(rows, width)
     signs = stored(rows.mapInArrow(_signer(late, percent, width), "doc_id long, n long, f1 long, f2 long, prefix array<long>"), "signs")
     classes = signs.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
-    member = stored(signs.select("doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"]).select("doc_id", "n", "rep"), "members")
-    points = signs.filter("n > 0").join(member.filter("doc_id = rep").select("doc_id", "n").distinct(), ["doc_id", "n"], "left_semi")
-    dealt = points.select("doc_id", F.explode("prefix").alias("g"))
-    many = dealt.groupBy("g").agg(F.count("*").alias("c"), F.min("doc_id").alias("pivot")).filter("c > 1").select("g", "pivot")
-    regions = stored(dealt.join(many, "g").select("g", F.col("doc_id").alias("x"), "pivot"), "regions")
-    needed = regions.select(F.col("x").alias("doc_id")).distinct()
-    sets = stored(rows.join(needed, "doc_id", "left_semi").mapInArrow(_setter(width), "id long, s array<long>"), "sets")
-    links, labels = None, None
+    member = stored(signs.select("doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"]), "members")
+    heads = member.filter("doc_id = rep and n > 0").select("doc_id", "n", "f1", "f2").distinct()
+    points = signs.join(heads, ["doc_id", "n", "f1", "f2"], "left_semi").select("doc_id", "n", "prefix")
+    by_shingle = Window.partitionBy("g")
+    dealt = points.select("doc_id", F.explode("prefix").alias("g")).withColumns({"pivot": F.min("doc_id").over(by_shingle), "top": F.max("doc_id").over(by_shingle)})
+    regions = stored(dealt.filter("pivot <> top").select("g", F.col("doc_id").alias("x"), "pivot"), "regions")
+    prefixes = stored(points.join(regions.select(F.col("x").alias("doc_id")).distinct(), "doc_id", "left_semi"), "prefixes")
+    links, labels, pairs = None, None, regions.filter("x <> pivot").select(F.col("pivot").alias("a"), F.col("x").alias("b")).distinct()
+    both = F.col("n_a") + F.col("n_b")
     for round_ in range(PIVOT_ROUNDS + 1):
-        last = round_ == PIVOT_ROUNDS
-        pairs = (regions.filter("x <> pivot").select(F.col("pivot").alias("a"), F.col("x").alias("b")) if not last else windows).distinct()
-        measured = stored(_distances(pairs, sets), "distances")
-        new = measured.filter(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
+        measured = stored(_measured(pairs, prefixes, rows, percent, width), "measured")
+        new = measured.filter(100 * F.col("least") >= percent * (both - F.col("least"))).select("a", "b")
         links = new if links is None else links.unionByName(new)
         labels = connected(links)
-        if last:
+        if round_ == PIVOT_ROUNDS:
             break
-        # Distance to the pivot and component of each point; regions of one component are done, a pivot has met all of its region.
-        far = (1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("far")
-        known = (
-            regions.join(measured.select(F.col("a").alias("pivot"), F.col("b").alias("x"), far, "n_b"), ["pivot", "x"])
-            .join(labels.select(F.col("id").alias("x"), "label"), "x", "left").withColumn("label", F.coalesce("label", "x"))
-        )
-        known = stored(known, "known")
+        # How far each point is from the pivot, and its component; a pivot has met all of its region and leaves it.
+        near, far = 1 - F.col("most") / (both - F.col("most")), 1 - F.col("least") / (both - F.col("least"))
+        known = regions.join(measured.select(F.col("a").alias("pivot"), F.col("b").alias("x"), near.alias("near"), far.alias("far"), F.col("n_b").alias("n")), ["pivot", "x"])
+        known = stored(known.join(labels.select(F.col("id").alias("x"), "label"), "x", "left").withColumn("label", F.coalesce("label", "x")), "known")
         open_ = known.groupBy("g").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.min(F.struct("far", "x")).alias("next")).filter("l <> h").select("g", F.col("next.x").alias("next"))
-        rest = known.join(open_, "g")
+        rest = stored(known.join(open_, "g"), "open-regions")
         if rest.isEmpty():
             break
         if round_ < PIVOT_ROUNDS - 1:
-            regions = stored(rest.select("g", "x", F.col("next").alias("pivot")), "regions")
+            regions = rest.select("g", "x", F.col("next").alias("pivot"))
+            pairs = regions.filter("x <> pivot").select(F.col("pivot").alias("a"), F.col("x").alias("b")).distinct()
         else:
-            one, two = (rest.select("g", F.col("x").alias(v), F.col("far").alias(f"far_{v}"), F.col("label").alias(f"l_{v}"), F.col("n_b").alias(f"n_{v}")) for v in "ab")
+            one, two = (rest.select("g", F.col("x").alias(v), *(F.col(c).alias(f"{c}_{v}") for c in ("near", "far", "label", "n"))) for v in "ab")
             r = 1 - percent / 100 + 1e-9
-            windows = one.join(two, "g").filter(
-                (F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & (F.abs(F.col("far_a") - F.col("far_b")) <= r)
+            pairs = one.join(two, "g").filter(
+                (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & (F.col("near_a") - F.col("far_b") <= r) & (F.col("near_b") - F.col("far_a") <= r)
                 & (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
-            ).select("a", "b")
+            ).select("a", "b").distinct()
     found = labels.select(F.col("id").alias("rep"), F.col("label"))
     return member.join(found, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("label", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
 
