@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 
 from . import textkernel as K
 
-STEPS = 14
-WALKS = 3
+STEPS = 12
+WALKS = 2
 SAMPLES = 2
-SAMPLED = 7
+SAMPLED = 6
 MIN_WORDS = 8
 MIN_LETTERS = 12
 MAX_EDITS = 0.2
@@ -45,7 +45,7 @@ BLOCK_ITEMS = 5_000
 _KEEP = np.zeros(256, dtype=bool)  # letters, digits and everything beyond ASCII
 _KEEP[48:58] = _KEEP[65:91] = _KEEP[97:123] = _KEEP[128:] = True
 _rng = np.random.default_rng(20240229)
-_CHOSEN = [[np.sort(_rng.choice(STEPS, size=SAMPLED, replace=False)) for _ in range(SAMPLES)] for _ in range(WALKS)]
+_CHOSEN = [[np.sort(_rng.choice(STEPS, size=SAMPLED, replace=False)).tolist() for _ in range(SAMPLES)] for _ in range(WALKS)]
 _SALTS = [np.uint64(x) for x in _rng.integers(1, 2**63, size=WALKS)]
 
 
@@ -75,25 +75,32 @@ def walk_keys(ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """
     n = len(ids)
     padded = np.concatenate((ids, np.zeros(STEPS + 1, dtype=np.uint64)))
+    here, first = np.empty(n, dtype=np.uint32), np.arange(n)
     for walk in range(WALKS):
-        bits = K.mix(padded ^ _SALTS[walk])
-        keys = [np.zeros(n, dtype=np.uint64) for _ in range(SAMPLES)]
-        last = [None] * SAMPLES
-        at = np.arange(n)
+        bits = (K.mix(padded ^ _SALTS[walk]) >> np.uint64(32)).astype(np.uint32)
+        keys = [np.zeros(n, dtype=np.uint32) for _ in range(SAMPLES)]
+        last = [first] * SAMPLES
+        at = first.copy()
         for j in range(STEPS):
-            here = bits[at]
+            np.take(bits, at, out=here, mode="clip")
             for k, chosen in enumerate(_CHOSEN[walk]):
                 if j in chosen:
-                    keys[k] *= np.uint64(0x9E3779B97F4A7C15)
+                    keys[k] *= np.uint32(0x9E3779B1)
                     keys[k] ^= here
                     if j == chosen[-1]:
                         last[k] = at.copy()
-            at += ((here >> np.uint64(j)) & np.uint64(1)).view(np.int64)
+            here >>= np.uint32(j)
+            here &= np.uint32(1)
+            np.add(at, here, out=at, casting="unsafe")
         for k in range(SAMPLES):
-            yield walk * SAMPLES + k, K.mix(keys[k]), last[k]
+            key = keys[k]
+            key ^= key >> np.uint32(15)
+            key *= np.uint32(0x85EBCA6B)
+            key ^= key >> np.uint32(13)
+            yield walk * SAMPLES + k, key, last[k]
 
 
-_FILTER_BITS = np.uint64(64 - 20)
+_FILTER_BITS = np.uint32(32 - 20)
 
 
 class ItemIndex:
@@ -102,7 +109,7 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, str]]):
         self.names = [i for i, _ in items]
         self.words: list[np.ndarray] = []
-        parts: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[(np.zeros(0, dtype=np.uint64),) + (np.zeros(0, dtype=np.int64),) * 2] for _ in range(WALKS * SAMPLES)]
+        parts: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[(np.zeros(0, dtype=np.uint32),) + (np.zeros(0, dtype=np.int64),) * 2] for _ in range(WALKS * SAMPLES)]
         first: list[tuple[int, int]] = []
         for k, (_, text) in enumerate(items):
             raw = (text or "").encode()
@@ -113,28 +120,28 @@ class ItemIndex:
                     inside = np.flatnonzero(last < len(ids))
                     parts[table].append((keys[inside], np.full(len(inside), k), inside))
             elif len(ids) and len(raw) >= MIN_LETTERS:
-                first.append((int(ids[0]), k))
+                first.append((int(ids[0] >> np.uint64(32)), k))
         self.tables = []
         for own in parts:
             self.tables.append(self._sorted(*(np.concatenate(x) for x in zip(*own))))
         # Short items are looked up by their first word.
-        self.short = self._sorted(np.array([w for w, _ in first], dtype=np.uint64), np.array([k for _, k in first], dtype=np.int64), np.zeros(len(first), dtype=np.int64))
+        self.short = self._sorted(np.array([w for w, _ in first], dtype=np.uint32), np.array([k for _, k in first], dtype=np.int64), np.zeros(len(first), dtype=np.int64))
 
     @staticmethod
     def _sorted(keys: np.ndarray, owner: np.ndarray, place: np.ndarray):
         order = np.argsort(keys, kind="stable")
         maybe = np.zeros(1 << 20, dtype=bool)
-        maybe[(keys >> _FILTER_BITS).view(np.int64)] = True
+        maybe[keys >> _FILTER_BITS] = True
         return maybe, keys[order], owner[order], place[order]
 
     def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of a word, the item that would start there), each pair once."""
         starts, owners = [], []
-        for table, keys in [*((self.tables[t], k) for t, k, _ in walk_keys(ids)), (self.short, ids)]:
+        for table, keys in [*((self.tables[t], k) for t, k, _ in walk_keys(ids)), (self.short, (ids >> np.uint64(32)).astype(np.uint32))]:
             maybe, known, owner, place = table
             if not len(known):
                 continue
-            at = np.flatnonzero(maybe[(keys >> _FILTER_BITS).view(np.int64)])
+            at = np.flatnonzero(maybe[keys >> _FILTER_BITS])
             low, high = np.searchsorted(known, keys[at]), np.searchsorted(known, keys[at], side="right")
             full = high > low
             at, low, size = at[full], low[full], (high - low)[full]
@@ -191,7 +198,7 @@ def _search(items: list[tuple[int, str]], max_edits: float):
         index = ItemIndex(items)
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [])
-            for first, end, data, offsets in K.chunks(batch, "text", 1 << 18):
+            for first, end, data, offsets in K.chunks(batch, "text", 1 << 17):
                 ids, row, word = word_ids(data, offsets)
                 if not len(ids):
                     continue
