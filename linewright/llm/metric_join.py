@@ -7,10 +7,11 @@ other differ by at most r in their distances to p.
 2. Points are dealt into regions that overlap: each point goes to a region
    for each shingle in its prefix, which holds n - ceil(t n) + 1 shingles in
    one global order.  Two points that link share a prefix shingle, hence a
-   region: that replication is exact.  The order puts shingles that a bounded
-   sample shows to be frequent last; it changes the cost, never the result.
+   region: that replication is exact.  The order goes by how frequent a shingle's words are,
+   and puts shingles that are themselves frequent last, both by a bounded
+   sample; it changes the cost, never the result.
 3. Each region takes a pivot.  All its points measure their distance to
-   it: the common part of two prefixes bounds it from both sides, and where the bounds
+   it: what their prefixes can have in common bounds it from both sides, and where the bounds
    leave room for a link the whole sets give it exactly.  Points within r link
    to the pivot.  Links contract to components.
 4. A region whose points form one component is done.  The others recur with
@@ -31,14 +32,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .components import connected
 from .scratch import stored
 
-#: Documents in the sample that finds frequent shingles, and the most that it may name.
+#: Documents in the sample that finds frequent shingles and words, and the most that it may name of each.
 ORDER_SAMPLE = 4_000
 ORDER_SIZE = 1 << 16
 #: Rounds of pivots before what remains of a region joins by windows.
@@ -46,34 +47,63 @@ PIVOT_ROUNDS = 2
 PERCENT = 80
 
 
-#: A prefix holds shingles as 63 bits of their hash below this bit, which marks frequent ones: sorted, they stand in the global order.
+#: A prefix holds shingles as numbers that sort in the global order: a bit for frequent ones, the level of their words, the upper bits of their hash.
 _LATE = np.uint64(1 << 63)
+_LEVEL_BITS, _HASH_BITS = 7, 56
+
+
+class Order:
+    """What the sample says: frequent shingles, and words with a level from 1 that grows with the logarithm of their count."""
+
+    def __init__(self, late: np.ndarray, words: np.ndarray, levels: np.ndarray):
+        self.late, self.words, self.levels = late, words, levels
+
+    def level(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.zeros(len(words), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, self.levels[at], 0)
+
+    def places(self, data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each row its distinct shingles, and their places in the order, both unsorted."""
+        starts, ends, row = K.word_spans(data, offsets)
+        words = K.range_hashes(K.LOWER[data], starts, ends) if len(starts) else np.zeros(0, dtype=np.uint64)
+        sums = np.concatenate(([0], np.cumsum(self.level(words))))
+        hashed, at = K.shingles(words, row, width)
+        levels = sums[at + width] - sums[at]
+        n = len(offsets) - 1
+        cut = np.searchsorted(row[at], np.arange(n + 1)) if len(at) else np.zeros(n + 1, dtype=np.int64)
+        by_row = np.searchsorted(row, np.arange(n + 1))
+        for k in range(n):
+            own, level = hashed[cut[k] : cut[k + 1]], levels[cut[k] : cut[k + 1]]
+            if len(own):
+                own, first = np.unique(own, return_index=True)
+                level = level[first]
+            elif by_row[k] < by_row[k + 1]:
+                few = words[by_row[k] : by_row[k + 1]]
+                own, level = K.range_hashes(few, np.zeros(1, dtype=np.int64), np.array([len(few)])), np.zeros(1, dtype=np.int64)
+            place = (np.minimum(level, 127).astype(np.uint64) << np.uint64(_HASH_BITS)) | (own >> np.uint64(64 - _HASH_BITS))
+            if len(self.late) and len(own):
+                place[self.late[np.minimum(np.searchsorted(self.late, own), len(self.late) - 1)] == own] |= _LATE
+            yield own, place
 
 
 def _prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _signer(late: np.ndarray, percent: int, width: int):
-    """late: sorted hashes of frequent shingles, which come last in the order."""
-
+def _signer(order: Order, percent: int, width: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             for first, end, data, offsets in K.chunks(batch, "text"):
                 n = end - first
                 sizes, sums, others, prefix, at = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64), [], np.zeros(n + 1, dtype=np.int32)
-                for k, own in enumerate(K.shingle_sets(data, offsets, width)):
-                    if not len(own):
-                        continue
-                    sizes[k], sums[k], others[k] = len(own), K.mix(own).sum(), K.mix(own ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()
-                    place = own >> np.uint64(1)
-                    if len(late):
-                        is_late = late[np.minimum(np.searchsorted(late, own), len(late) - 1)] == own
-                        place = np.concatenate((place[~is_late], place[is_late] | _LATE))
-                    own = place[: _prefix_length(len(place), percent)]
-                    prefix.append(own)
-                    at[k + 1] = len(own)
+                for k, (own, place) in enumerate(order.places(data, offsets, width)):
+                    if len(own):
+                        sizes[k], sums[k], others[k] = len(own), K.mix(own).sum(), K.mix(own ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()
+                        prefix.append(np.sort(place)[: _prefix_length(len(own), percent)])
+                        at[k + 1] = len(prefix[-1])
                 values = np.concatenate(prefix).view(np.int64) if prefix else np.zeros(0, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(first, n), pa.array(sizes), pa.array(sums.view(np.int64)), pa.array(others.view(np.int64)), pa.ListArray.from_arrays(np.cumsum(at, dtype=np.int32), pa.array(values))],
@@ -83,6 +113,22 @@ def _signer(late: np.ndarray, percent: int, width: int):
     return sign
 
 
+def _counted(width: int):
+    """Shingles (kind 0) once a document, and words (kind 1) with their counts in a batch."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in K.chunks(batch, "text"):
+                starts, ends, _ = K.word_spans(data, offsets)
+                if not len(starts):
+                    continue
+                for kind, found in ((0, np.concatenate(list(K.shingle_sets(data, offsets, width)))), (1, K.range_hashes(K.LOWER[data], starts, ends))):
+                    keys, n = np.unique(found, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, dtype=np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "g", "n"])
+
+    return count
+
+
 def _setter(width: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,73 +140,74 @@ def _setter(width: int):
     return sets
 
 
-def _late_shingles(docs: DataFrame, width: int) -> np.ndarray:
+def sampled_order(docs: DataFrame, width: int) -> Order:
     rows = docs.count()
+    none = np.zeros(0, dtype=np.uint64)
     if not rows:
-        return np.zeros(0, dtype=np.uint64)
+        return Order(none, none, none.astype(np.int64))
     sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(min(1_000_000, 1_000_000 * ORDER_SAMPLE // rows + 1)))
-    found = (
-        sample.mapInArrow(_setter(width), "id long, s array<long>").select(F.explode("s").alias("g")).groupBy("g").count()
-        .filter("count >= 4").orderBy(F.desc("count"), "g").limit(ORDER_SIZE).select("g")
-    )
-    return np.sort(found.toPandas()["g"].to_numpy(dtype=np.int64).view(np.uint64))
+    counts = sample.mapInArrow(_counted(width), "kind int, g long, n long").groupBy("kind", "g").agg(F.sum("n").alias("n")).filter("n >= 4")
+    tops = [counts.filter(F.col("kind") == kind).orderBy(F.desc("n"), "g").limit(ORDER_SIZE).select("g", "n").toPandas() for kind in (0, 1)]
+    late, words = (t["g"].to_numpy(dtype=np.int64).view(np.uint64) for t in tops)
+    by_word = np.argsort(words)
+    levels = np.floor(np.log2(tops[1]["n"].to_numpy(dtype=float))).astype(np.int64) if len(words) else none.astype(np.int64)
+    return Order(np.sort(late), words[by_word], levels[by_word])
 
 
-def _bounder(percent: int):
-    """Bounds on the common shingles of pairs from their prefixes.
+def _most(common: Column) -> Column:
+    """The most that a and b can have in common, if their prefixes have at most this much in common.
 
-    Up to the place where the first of the two prefixes ends, both are known
-    whole; beyond it no more can be common than the smaller rest.
+    Places up to the end of the prefix that ends first are known in both; beyond it that point has only its rest.
     """
+    rest = F.when(F.col("edge_a") < F.col("edge_b"), F.col("n_a") - F.col("p_a")).when(F.col("edge_b") < F.col("edge_a"), F.col("n_b") - F.col("p_b"))
+    rest = F.coalesce(rest, F.greatest(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")))
+    return F.least(F.col("n_a"), F.col("n_b"), common + rest)
 
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_a, n_b = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("n_a", "n_b"))
-            lists = [batch.column(batch.schema.get_field_index(c)) for c in ("p_a", "p_b")]
-            flat = [(x.offsets.to_numpy(), x.values.to_numpy(zero_copy_only=False).view(np.uint64)) for x in lists]
-            least, most = np.zeros(len(n_a), dtype=np.int64), np.zeros(len(n_a), dtype=np.int64)
-            for k in range(len(n_a)):
-                one, two = (v[o[k] : o[k + 1]] for o, v in flat)
-                end = min(one[-1], two[-1])
-                i, j = np.searchsorted(one, end, side="right"), np.searchsorted(two, end, side="right")
-                least[k] = len(np.intersect1d(one[:i], two[:j], assume_unique=True))
-                most[k] = least[k] + min(n_a[k] - i, n_b[k] - j)
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "n_a", "n_b")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(least), pa.array(most)], names=["a", "b", "n_a", "n_b", "least", "most"])
-
-    return bound
-
-
-def _measured(pairs: DataFrame, prefixes: DataFrame, rows: DataFrame, percent: int, width: int) -> DataFrame:
-    """a, b, n_a, n_b with the least and the most shingles that they can have in common; exact wherever they might link."""
-    one, two = (prefixes.select(F.col("doc_id").alias(v), F.col("n").alias(f"n_{v}"), F.col("prefix").alias(f"p_{v}")) for v in "ab")
-    bounds = stored(pairs.join(two, "b").join(one, "a").mapInArrow(_bounder(percent), "a long, b long, n_a long, n_b long, least long, most long"), "bounds")
-    linkable = 100 * F.col("most") >= percent * (F.col("n_a") + F.col("n_b") - F.col("most"))
-    close = bounds.filter(linkable)
+
+def _linkable(most: Column, percent: int) -> Column:
+    return 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
+
+
+def _with_facts(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    for v in "ba":
+        pairs = pairs.join(facts.select(F.col("x").alias(v), *(F.col(c).alias(f"{c}_{v}") for c in ("n", "p", "edge", "shared", "led"))), v)
+    return pairs
+
+
+def _measured(pairs: DataFrame, rows: DataFrame, percent: int, width: int) -> DataFrame:
+    """pairs (a, b, n_a, n_b, least, most) with the exact number of common shingles wherever a and b might link."""
+    pairs = stored(pairs.select("a", "b", "n_a", "n_b", "least", "most"), "pairs")
+    close = pairs.filter(_linkable(F.col("most"), percent))
     needed = close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stored(rows.join(needed, "doc_id", "left_semi").mapInArrow(_setter(width), "id long, s array<long>"), "sets")
+    sets = stored(rows.join(needed, "doc_id", "left_semi").mapInArrow(_setter(width), "id long, s array<long>").dropDuplicates(["id"]), "sets")
     left, right = (sets.select(F.col("id").alias(v), F.col("s").alias(f"s_{v}")) for v in "ab")
     exact = close.join(right, "b").join(left, "a").withColumn("common", F.size(F.array_intersect("s_a", "s_b")).cast("long"))
-    return bounds.filter(~linkable).unionByName(exact.select("a", "b", "n_a", "n_b", F.col("common").alias("least"), F.col("common").alias("most")))
+    return pairs.filter(~_linkable(F.col("most"), percent)).unionByName(exact.select("a", "b", "n_a", "n_b", F.col("common").alias("least"), F.col("common").alias("most")))
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = 5) -> DataFrame:
     """doc_id, n_shingles and component_id of each document of docs (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    late = _late_shingles(rows, width)
-    signs = stored(rows.mapInArrow(_signer(late, percent, width), "doc_id long, n long, f1 long, f2 long, prefix array<long>"), "signs")
+    signs = stored(rows.mapInArrow(_signer(sampled_order(rows, width), percent, width), "doc_id long, n long, f1 long, f2 long, prefix array<long>"), "signs")
     classes = signs.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     member = stored(signs.select("doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"]), "members")
     heads = member.filter("doc_id = rep and n > 0").select("doc_id", "n", "f1", "f2").distinct()
     points = signs.join(heads, ["doc_id", "n", "f1", "f2"], "left_semi").select("doc_id", "n", "prefix")
     by_shingle = Window.partitionBy("g")
-    dealt = points.select("doc_id", F.explode("prefix").alias("g")).withColumns({"pivot": F.min("doc_id").over(by_shingle), "top": F.max("doc_id").over(by_shingle)})
-    regions = stored(dealt.filter("pivot <> top").select("g", F.col("doc_id").alias("x"), "pivot"), "regions")
-    prefixes = stored(points.join(regions.select(F.col("x").alias("doc_id")).distinct(), "doc_id", "left_semi"), "prefixes")
-    links, labels, pairs = None, None, regions.filter("x <> pivot").select(F.col("pivot").alias("a"), F.col("x").alias("b")).distinct()
+    # The last place as a number whose signed order is the global one.
+    edge = F.element_at("prefix", -1).bitwiseXOR(F.lit(-(1 << 63)))
+    dealt = points.select("doc_id", "n", F.size("prefix").alias("p"), edge.alias("edge"), F.explode("prefix").alias("g")).withColumns({"pivot": F.min("doc_id").over(by_shingle), "top": F.max("doc_id").over(by_shingle)})
+    regions = stored(dealt.filter("pivot <> top").select("g", F.col("doc_id").alias("x"), "pivot", "n", "p", "edge"), "regions")
+    # shared: places of the prefix that any other point has too; led: those of which this point is the pivot.
+    facts = stored(regions.groupBy("x", "n", "p", "edge").agg(F.count("*").alias("shared"), F.count(F.when(F.col("x") == F.col("pivot"), 1)).alias("led")), "facts")
+    regions = regions.select("g", "x", "pivot")
     both = F.col("n_a") + F.col("n_b")
+    stars = _with_facts(regions.filter("x <> pivot").groupBy(F.col("pivot").alias("a"), F.col("x").alias("b")).agg(F.count("*").alias("least")), facts)
+    # What a and b share beyond this pivot's regions lies in regions that neither of them leads.
+    pairs = stars.withColumn("most", _most(F.col("least") + F.least(F.col("shared_b") - F.col("led_b") - F.col("least"), F.col("shared_a") - F.col("led_a"))))
+    links, labels = None, None
     for round_ in range(PIVOT_ROUNDS + 1):
-        measured = stored(_measured(pairs, prefixes, rows, percent, width), "measured")
+        measured = stored(_measured(pairs, rows, percent, width), "measured")
         new = measured.filter(100 * F.col("least") >= percent * (both - F.col("least"))).select("a", "b")
         links = new if links is None else links.unionByName(new)
         labels = connected(links)
@@ -168,22 +215,23 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = 5)
             break
         # How far each point is from the pivot, and its component; a pivot has met all of its region and leaves it.
         near, far = 1 - F.col("most") / (both - F.col("most")), 1 - F.col("least") / (both - F.col("least"))
-        known = regions.join(measured.select(F.col("a").alias("pivot"), F.col("b").alias("x"), near.alias("near"), far.alias("far"), F.col("n_b").alias("n")), ["pivot", "x"])
+        known = regions.join(measured.select(F.col("a").alias("pivot"), F.col("b").alias("x"), near.alias("near"), far.alias("far")), ["pivot", "x"])
         known = stored(known.join(labels.select(F.col("id").alias("x"), "label"), "x", "left").withColumn("label", F.coalesce("label", "x")), "known")
         open_ = known.groupBy("g").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.min(F.struct("far", "x")).alias("next")).filter("l <> h").select("g", F.col("next.x").alias("next"))
         rest = stored(known.join(open_, "g"), "open-regions")
         if rest.isEmpty():
             break
+        bound = _most(F.least("shared_a", "shared_b"))
         if round_ < PIVOT_ROUNDS - 1:
             regions = rest.select("g", "x", F.col("next").alias("pivot"))
-            pairs = regions.filter("x <> pivot").select(F.col("pivot").alias("a"), F.col("x").alias("b")).distinct()
+            stars = regions.filter("x <> pivot").groupBy(F.col("pivot").alias("a"), F.col("x").alias("b")).agg(F.count("*").alias("least"))
+            pairs = _with_facts(stars, facts).withColumn("most", bound)
         else:
-            one, two = (rest.select("g", F.col("x").alias(v), *(F.col(c).alias(f"{c}_{v}") for c in ("near", "far", "label", "n"))) for v in "ab")
+            rest = rest.join(facts, "x")
+            one, two = (rest.select("g", F.col("x").alias(v), *(F.col(c).alias(f"{c}_{v}") for c in ("near", "far", "label", "n", "p", "edge", "shared"))) for v in "ab")
             r = 1 - percent / 100 + 1e-9
-            pairs = one.join(two, "g").filter(
-                (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & (F.col("near_a") - F.col("far_b") <= r) & (F.col("near_b") - F.col("far_a") <= r)
-                & (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
-            ).select("a", "b").distinct()
+            met = one.join(two, "g").filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & (F.col("near_a") - F.col("far_b") <= r) & (F.col("near_b") - F.col("far_a") <= r) & _linkable(bound, percent))
+            pairs = met.groupBy("a", "b", "n_a", "n_b", bound.alias("most")).agg(F.count("*").alias("least"))
     found = labels.select(F.col("id").alias("rep"), F.col("label"))
     return member.join(found, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("label", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
 
