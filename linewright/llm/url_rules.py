@@ -35,7 +35,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @dataclass(frozen=True)
 class MiningLimits:
+    #: Share of the labelled urls, and their number.
     min_support: float = 0.002
+    min_urls: int = 30
     min_confidence: float = 0.6
     min_lift: float = 1.5
 
@@ -102,9 +104,10 @@ def mine(labelled: DataFrame, limits: MiningLimits = MiningLimits()) -> list[Min
     from pyspark.ml.fpm import FPGrowth
 
     items = labelled.filter("block is not null").select(F.col("url").cast("string"), F.col("block").cast("boolean")).mapInArrow(_tokenise, "items array<string>")
-    if items.isEmpty():
+    n = items.count()
+    if n < limits.min_urls:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=limits.min_support, minConfidence=limits.min_confidence).fit(items)
+    model = FPGrowth(itemsCol="items", minSupport=max(limits.min_support, limits.min_urls / n), minConfidence=limits.min_confidence).fit(items)
     found = model.associationRules.filter(F.col("consequent")[0].isin("=block", "=keep") & (F.col("lift") >= limits.min_lift) & ~F.exists("antecedent", lambda t: t.startswith("=")))
     rules = [MinedRule(frozenset(r["antecedent"]), r["consequent"][0] == "=block", r["confidence"], r["support"]) for r in found.collect()]  # bounded, see above
     rules.sort(key=lambda r: (len(r.tokens), -r.confidence, sorted(r.tokens)))
