@@ -1,10 +1,20 @@
-"""A corpus pipeline over documents: five stages, each one operator of linewright.llm."""
+"""A corpus pipeline over documents: five stages, each one operator of linewright.llm.
+
+Each stage works on all that the one before kept, and its result is written as
+Parquet and read again.  All but the last return the columns of documents.
+
+quality: rejected documents go, boilerplate lines leave the text.
+near_duplicates: of each group the document with the smallest doc_id stays.
+decontamination: documents that hold a benchmark item go.
+secrets: found secrets are masked in the text.
+packing: one row for each piece of a document, with its sequence and offset.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linewright.llm import line_quality, metric_join, secret_scan
+from linewright.llm import decontaminate, line_quality, metric_join, packing, secret_scan
 from linewright.llm.scratch import stored
 
 
@@ -16,12 +26,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return metric_join.keep_first_of_each(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secret_scan.redact_secrets(docs)
 
 
-STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets)]
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secrets", secrets),
+    ("best_fit_packing", best_fit_packing),
+]
 
+#: SQL cannot express the stages' methods; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
