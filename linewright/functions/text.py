@@ -128,27 +128,33 @@ def without_isolated_kana(c: Column) -> Column:
     return F.regexp_replace(c, f"(?<![{KANA}])[{SMALL_KANA}](?![{KANA}])", "")
 
 
-def _count(c: Column, part: str) -> Column:
-    return F.length(c) - F.length(F.replace(c, F.lit(part), F.lit("")))
+def _count(c: Column, part: Column) -> Column:
+    return F.length(c) - F.length(F.replace(c, part, F.lit("")))
 
 
 def restore_punctuation(src: Column, dst: Column) -> Column:
     """Marks of src come back where dst has just as many of their other forms as it lacks, one mark after another."""
-    for mark, others in PUNCTUATION:
-        n, own = _count(src, mark), _count(dst, mark)
-        other = sum((_count(dst, o) for o in others), F.lit(0))
-        dst = F.when((n > 0) & (n > own) & (n == own + other), F.translate(dst, others, mark * len(others))).otherwise(dst)
-    return dst
+    marks = F.array(*(F.struct(F.lit(mark).alias("mark"), F.lit(others).alias("others"), F.lit(mark * len(others)).alias("new")) for mark, others in PUNCTUATION))
+
+    def step(out: Column, m: Column) -> Column:
+        n, own = _count(src, m["mark"]), _count(out, m["mark"])
+        other = F.length(out) - F.length(F.call_function("translate", out, m["others"], F.lit("")))
+        return F.when((n > 0) & (n > own) & (n == own + other), F.call_function("translate", out, m["others"], m["new"])).otherwise(out)
+
+    return F.aggregate(marks, dst, step)
 
 
 def restore_quotes(src: Column, dst: Column) -> Column:
     """The first and last quote of dst take the form of src's, pair by pair."""
-    for opening, closing in QUOTES:
-        first = F.left(dst, F.lit(1))
-        dst = F.when(F.startswith(src, F.lit(opening)) & first.isin(*ANY_OPENING), F.concat(F.lit(opening), F.substring(dst, 2, 1 << 30))).otherwise(dst)
-        last = F.right(dst, F.lit(1))
-        dst = F.when(F.endswith(src, F.lit(closing)) & last.isin(*ANY_CLOSING), F.concat(F.left(dst, F.length(dst) - 1), F.lit(closing))).otherwise(dst)
-    return dst
+
+    def opened(out: Column, q: Column) -> Column:
+        return F.when(F.startswith(src, q["a"]) & F.left(out, F.lit(1)).isin(*ANY_OPENING), F.concat(q["a"], F.substring(out, 2, 1 << 30))).otherwise(out)
+
+    def closed(out: Column, q: Column) -> Column:
+        return F.when(F.endswith(src, q["b"]) & F.right(out, F.lit(1)).isin(*ANY_CLOSING), F.concat(F.left(out, F.length(out) - 1), q["b"])).otherwise(out)
+
+    steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(side).alias("side")) for a, b in QUOTES for side in (0, 1)))
+    return F.aggregate(steps, dst, lambda out, q: F.when(q["side"] == 0, opened(out, q)).otherwise(closed(out, q)))
 
 
 def repaired(src: Column, dst: Column, source_lang: str) -> Column:

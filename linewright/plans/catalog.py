@@ -1,4 +1,289 @@
-"""Registered queries of the engine and their SQL."""
+"""Registered queries of the engine and, where SQL can say the same, their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import names as N
+from ..functions import script
+from ..functions import text as T
+from ..operators import context as C
+from ..operators import entities as E
+from ..operators import glossary as G
+from ..operators import lines as L
+from ..operators import prompts as P
+from ..operators import quality as Q
+from ..operators import rules as R
+from . import oracle as O
+
+BATCH, WINDOW, PICKED = 20, 30, 5
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def projected_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", script.projected(F.col("text")).alias("text"))
+
+
+def detected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.detect_lines(L.raw_lines(projected_docs(spark, sf_dir)), R.SMALL_PACK)
+
+
+def flagship(spark, sf_dir):
+    """Lines, classes, matches, dominant categories and segments, per document."""
+    rows = C.segment_starts(detected_lines(spark, sf_dir))
+    return rows.groupBy("doc_id").agg(
+        F.count("*").alias("n_lines"), F.count_if(F.col("line_type") == "dialogue").alias("n_dialogue"), F.count_if("reset").alias("n_resets"), F.sum(F.size("matches")).alias("n_matches"),
+        F.count_if("glossary").alias("n_glossary"), F.count_if(F.col("dominant").isNotNull()).alias("n_dominant"), F.max("segment_start").alias("last_segment"),
+    )
+
+
+def lines_scan(spark, sf_dir):
+    return L.scan_lines(projected_docs(spark, sf_dir))
+
+
+def line_classes(spark, sf_dir):
+    rows = L.raw_lines(projected_docs(spark, sf_dir))
+    return rows.select("doc_id", "line_no", L.line_type(F.col("line"), R.SMALL_PACK.boundaries).alias("line_type"), L.is_skippable(F.col("line")).alias("skippable"), *(c.alias(n) for n, c in L.features(F.col("line")).items()))
+
+
+def script_predicates(spark, sf_dir):
+    rows, c = L.raw_lines(projected_docs(spark, sf_dir)), F.col("line")
+    return rows.groupBy("doc_id").agg(
+        *(F.count_if(x).alias(n) for n, x in {"hiragana": T.has_hiragana(c), "katakana": T.has_katakana(c), "cjk": T.has_cjk(c), "hangul": T.has_hangul(c), "punctuation": T.only_punctuation(c), "title": N.is_title(c), "family": N.is_family(c)}.items()),
+        F.sum(F.length(T.half_digits(c))).alias("chars"), F.sum(F.size(T.numbers(c))).alias("numbers"),
+    )
+
+
+def line_detection(spark, sf_dir):
+    return detected_lines(spark, sf_dir).select("doc_id", "line_no", "line_type", "dominant", "reset", "glossary", F.size("matches").cast("long").alias("n_matches"))
+
+
+def category_scores(spark, sf_dir):
+    rows = detected_lines(spark, sf_dir).select("doc_id", "line_no", F.explode("matches").alias("m"))
+    per = rows.groupBy("doc_id", "line_no", "m.category").agg(F.least(F.sum(F.round(F.col("m.weight") * 10).cast("long")), F.lit(800)).alias("tenths"), F.count("*").alias("n"))
+    return per.groupBy("category").agg(F.sum("tenths").alias("tenths"), F.sum("n").alias("n"), F.count("*").alias("n_lines"))
+
+
+def segments(spark, sf_dir):
+    return C.segment_starts(detected_lines(spark, sf_dir)).select("doc_id", "line_no", "reset", "segment_start")
+
+
+def batch_needs(spark, sf_dir):
+    return C.batch_needs(detected_lines(spark, sf_dir), BATCH)
+
+
+def context_selection(spark, sf_dir):
+    return C.select_context(detected_lines(spark, sf_dir), BATCH, WINDOW, PICKED).select("doc_id", "batch_id", "line_no", F.round("score", 6).alias("score"))
+
+
+def batch_context(spark, sf_dir):
+    return C.batch_context(detected_lines(spark, sf_dir), BATCH, 10)
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst) pairs of conversations, with variants that reach each check."""
+    c = table(spark, sf_dir, "conversations")
+    user = c.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("src"))
+    said = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("dst"))
+    base, src, dst, i = user.join(said, ["conv_id", "turn"]), F.col("src"), F.col("dst"), F.col("conv_id")
+    variants = [
+        (src, dst), (src, F.left(dst, F.floor(F.length(dst) / 3).cast("int"))), (src, F.when(i % 3 == 0, F.lower(src)).otherwise(src)), (src, F.when(i % 5 == 0, "").otherwise(F.concat(F.repeat(F.left(src, F.lit(3)), 17), F.lit("x")))),
+        (F.concat(F.lit("「"), src, F.lit("？」第１２話")), F.concat(F.lit('"'), F.left(src, F.lit(40)), F.lit('?"'))),
+    ]
+    made = F.explode(F.array(*(F.struct(F.lit(k).alias("variant"), a.alias("src"), b.alias("dst")) for k, (a, b) in enumerate(variants))))
+    return base.select("conv_id", "turn", made.alias("v")).select("conv_id", "turn", "v.*")
+
+
+def pair_checks(spark, sf_dir):
+    rows = pairs(spark, sf_dir).withColumn("retry_count", F.lit(0))
+    return Q.check_pairs(rows, ["conv_id", "turn", "variant"], "en", "fr").select("conv_id", "turn", "variant", "error")
+
+
+def pair_predicates(spark, sf_dir):
+    s, d = T.unicode_trim(F.col("src")), T.unicode_trim(F.col("dst"))
+    return pairs(spark, sf_dir).select(
+        "conv_id", "turn", "variant", T.only_punctuation(s).alias("only_punctuation"), T.json_fragments(d).cast("long").alias("json_parts"), T.degraded(s, d).alias("degraded"), F.round(T.char_jaccard(s, d), 6).alias("jaccard"),
+        (F.contains(s, d) | F.contains(d, s)).alias("contained"), F.size(T.numbers(s)).cast("long").alias("s_numbers"), T.has_chapter_number(s).alias("chapter"),
+    )
+
+
+def pair_repair(spark, sf_dir):
+    return pairs(spark, sf_dir).select("conv_id", "turn", "variant", T.repaired(F.col("src"), F.col("dst"), "en").alias("fixed"))
+
+
+def check_fix_report(spark, sf_dir):
+    rows = pairs(spark, sf_dir).withColumn("retry_count", F.lit(0))
+    return Q.error_report(Q.check_fix_recheck(rows, ["conv_id", "turn", "variant"], "en", "fr"))
+
+
+def batch_prompts(spark, sf_dir):
+    rows = L.batch_ids(L.scan_lines(projected_docs(spark, sf_dir)), BATCH)
+    jsonl = P.numbered_jsonl(rows, ["doc_id", "batch_id"], "line_no", "line")
+    budget = T.token_budget(F.col("src_chars"), F.col("n_lines"), F.lit(0), F.lit(0))
+    return jsonl.select("doc_id", "batch_id", P.layered_prompt(F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("jsonl")).alias("prompt"), budget.alias("max_tokens"))
+
+
+def response_parsing(spark, sf_dir):
+    rows = L.batch_ids(L.scan_lines(projected_docs(spark, sf_dir)), BATCH)
+    batches = P.numbered_jsonl(rows, ["doc_id", "batch_id"], "line_no", "line").withColumn("number", F.col("doc_id") + F.col("batch_id"))
+    told = P.call_model(batches.select("doc_id", "batch_id", "number", "n_lines", "jsonl"))
+    parsed = P.parse_responses(told, ["doc_id", "batch_id"], expected="n_lines")
+    return parsed.select("doc_id", "batch_id", F.size("translations").alias("n"), F.array_join(F.col("missing").cast("array<string>"), ",").alias("missing"), F.size("duplicate").alias("duplicate"), F.size("malformed").alias("malformed"))
+
+
+def glossary_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries with affixed names, odd translations and infos, from capitalised words."""
+    w = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{4,}"), F.lit(0))).alias("p", "w"))
+    n, five = F.length("w"), F.left("w", F.lit(5))
+    j = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x))
+    src = F.when(n % 6 == 0, j(five, "さん")).when(n % 6 == 1, j("お", F.left("w", F.lit(4)), "姉さん")).when(n % 6 == 2, j(five, "君")).when(n % 6 == 3, j(five, "先輩ちゃん")).when(n % 6 == 4, "先生").otherwise(five)
+    dst = F.when(n % 5 == 0, j(F.upper(five), "君")).when(n % 5 == 1, F.upper(five)).when(n % 5 == 2, j(F.upper(five), "老师君")).when(n % 5 == 3, j("ア ", F.left("w", F.lit(2)))).otherwise("")
+    info = F.when(n % 4 == 0, "男性").when(n % 4 == 1, "").when(n % 4 == 2, j(five, ",女性")).otherwise(F.left("w", F.lit(3)))
+    return w.select("doc_id", "p", src.alias("src"), dst.alias("dst"), info.alias("info"))
+
+
+def glossary_audit(spark, sf_dir):
+    return G.audit_counts(glossary_entries(spark, sf_dir))
+
+
+def glossary_duplicates(spark, sf_dir):
+    return G.duplicate_conflicts(glossary_entries(spark, sf_dir))
+
+
+def glossary_conflicts(spark, sf_dir):
+    return G.cluster_conflicts(glossary_entries(spark, sf_dir))
+
+
+def glossary_conflict_samples(spark, sf_dir):
+    return G.samples(G.cluster_conflicts(glossary_entries(spark, sf_dir)))
+
+
+def glossary_compact_text(spark, sf_dir):
+    return P.glossary_text(glossary_entries(spark, sf_dir).select("src", "dst").distinct(), compact=True)
+
+
+def gender_propagation(spark, sf_dir):
+    rows = glossary_entries(spark, sf_dir).withColumn("at", F.struct("doc_id", "p"))
+    return G.propagate_gender(rows, ["doc_id"], "at").groupBy("src", "info").agg(F.count("*").alias("n"))
+
+
+def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = L.scan_lines(table(spark, sf_dir, "documents"))
+    return E.character_mentions(rows, E.gazetteer(rows))
+
+
+def characters(spark, sf_dir):
+    rows = L.scan_lines(table(spark, sf_dir, "documents"))
+    people = E.gazetteer(rows).filter(E.is_person(F.col("label"), F.col("score")))
+    return E.characters(people.withColumnRenamed("text", "name"), ["doc_id", "name"]).select("doc_id", "name", "count", F.round(F.col("score").cast("double"), 4).alias("score"), "first_line")
+
+
+def mention_frames(spark, sf_dir):
+    rows = L.neighbours(L.scan_lines(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "line_no", F.md5(F.array_join("above", "|")).alias("above"), F.md5(F.array_join("follow", "|")).alias("follow"))
+
+
+def entity_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words as tokens with B/I/O labels by their shape."""
+    rows = L.scan_lines(table(spark, sf_dir, "documents"))
+    w = rows.select("doc_id", "line_no", F.posexplode(F.filter(F.split("line", "[^A-Za-z]+"), lambda x: x != "")).alias("pos", "token"))
+    n = F.length("token")
+    label = F.when(n % 5 == 0, "B-PER").when(n % 7 == 0, "B-LOC").when(n % 3 == 0, "I-PER").when(n % 4 == 0, "I-LOC").otherwise("O")
+    return w.select("doc_id", "line_no", "pos", "token", label.alias("label"), (F.lit(0.5) + 0.0625 * (n % 8)).alias("score"), (F.col("pos") * 2).alias("start"), (F.col("pos") * 2 + 2).alias("end"))
+
+
+def bio_entities(spark, sf_dir):
+    return E.decode_bio(entity_tokens(spark, sf_dir), ["doc_id", "line_no"]).select("doc_id", "line_no", "text", "label", "start", "end", F.round("score", 6).alias("score"))
+
+
+def merged_entities(spark, sf_dir):
+    found = E.decode_bio(entity_tokens(spark, sf_dir), ["doc_id", "line_no"])
+    return E.merge_adjacent(found, ["doc_id", "line_no"]).select("doc_id", "line_no", "text", "label", "start", "end", F.round("score", 6).alias("score"))
+
+
+def name_clusters(spark, sf_dir):
+    """Aliases with evidence from projected lines, split and ranked."""
+    rows = L.scan_lines(projected_docs(spark, sf_dir))
+    found = E.character_mentions(rows, E.gazetteer(rows))
+    suffixed = found.withColumn("name", F.concat(F.left("name", F.lit(5)), F.when(F.length("name") % 4 == 0, "君").when(F.length("name") % 4 == 1, "姉さん").otherwise("")))
+    done = G.clusters(G.aliases(suffixed, ["doc_id"]), ["doc_id"])
+    return done.select("doc_id", "key", "name", "part", "primary", "count", "male", "female", "best", "side", F.col("alias_rank").cast("long").alias("alias_rank"))
+
+
+def resume_join(spark, sf_dir):
+    """Saved translations that still fit: equal index and source, and not empty; counts of what is left to do."""
+    now = L.raw_lines(table(spark, sf_dir, "documents"))
+    saved = now.select("doc_id", "line_no", F.when(F.col("line_no") % 7 == 0, F.concat("line", F.lit("!"))).otherwise(F.col("line")).alias("src"), F.when(F.col("line_no") % 5 == 0, "").otherwise(F.upper("line")).alias("dst"))
+    good = saved.filter(~T.is_blank(F.col("dst"))).join(now.withColumnRenamed("line", "src"), ["doc_id", "line_no", "src"], "left_semi")
+    done = L.batch_ids(now, BATCH).join(good.select("doc_id", "line_no", "dst"), ["doc_id", "line_no"], "left")
+    return done.groupBy("doc_id", "batch_id").agg(F.count("*").alias("n"), F.count("dst").alias("done"), F.bool_and(F.col("dst").isNotNull()).alias("skip"))
+
+
+def page_contents(spark, sf_dir):
+    """Whether a page looks like a table of contents: three links, and twice as many as half its blocks."""
+    n = lambda p: F.regexp_count("html", F.lit(p))
+    rows = table(spark, sf_dir, "pages").select("page_id", n(r"(?i)<a\s[^>]*href").alias("links"), n(r"(?i)<(?:p|li|div)[\s>]").alias("blocks"))
+    return rows.select("page_id", F.col("links").cast("long").alias("links"), F.col("blocks").cast("long").alias("blocks"), ((F.col("links") >= 3) & (2 * F.col("links") >= F.greatest("blocks", F.lit(1)))).alias("is_toc"))
+
+
+def label_quality(spark, sf_dir):
+    """Labels joined to documents: mean length and share of toxic ones by language."""
+    d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return d.join(l, "doc_id").groupBy("lang", "quality").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.sum("toxic").alias("toxic"))
+
+
+_own = (
+    flagship, lines_scan, line_classes, script_predicates, line_detection, category_scores, segments, batch_needs, context_selection, batch_context, pair_checks, pair_predicates, pair_repair, check_fix_report, batch_prompts,
+    response_parsing, glossary_audit, glossary_duplicates, glossary_conflicts, glossary_conflict_samples, glossary_compact_text, gender_propagation, characters, mention_frames, bio_entities, merged_entities, name_clusters,
+    resume_join, page_contents, label_quality,
+)
+QUERIES = {f.__name__: f for f in _own}
+
+_PUNCT = "[\\s、-〿！-／：-？［-｀｛-･!-/:-@\\[-`{-~]"
+_trimmed = O.trim("replace(line, '　', '')")
+_ROWS = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+_TOKENS = r"""split AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda x: x <> '') AS p FROM documents),
+scanned AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS line_no, unnest(p) AS line FROM split),
+word_lists AS (SELECT doc_id, line_no, list_filter(regexp_split_to_array(line, '[^A-Za-z]+'), lambda w: w <> '') AS w FROM scanned),
+words AS (SELECT doc_id, line_no, unnest(range(0, len(w))) AS pos, unnest(w) AS token FROM word_lists),
+tokens AS (SELECT *, CASE WHEN length(token) % 5 = 0 THEN 'B-PER' WHEN length(token) % 7 = 0 THEN 'B-LOC' WHEN length(token) % 3 = 0 THEN 'I-PER' WHEN length(token) % 4 = 0 THEN 'I-LOC' ELSE 'O' END AS label, 0.5 + 0.0625 * (length(token) % 8) AS score FROM words),
+opened AS (SELECT *, sum(CASE WHEN label LIKE 'B-%' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, line_no ORDER BY pos) AS e FROM tokens),
+kinds AS (SELECT *, first(substr(label, 3)) OVER (PARTITION BY doc_id, line_no, e ORDER BY pos) AS kind FROM opened WHERE e > 0),
+whole AS (SELECT *, bool_and(label LIKE 'B-%' OR label = 'I-' || kind) OVER (PARTITION BY doc_id, line_no, e ORDER BY pos) AS w FROM kinds),
+entities AS (SELECT doc_id, line_no, string_agg(token, '' ORDER BY pos) AS text, any_value(kind) AS label, CAST(min(pos * 2) AS INTEGER) AS "start", CAST(max(pos * 2 + 2) AS INTEGER) AS "end", avg(score) AS score FROM whole WHERE w GROUP BY doc_id, line_no, e)"""
+
+ORACLE_SQL = {
+    "flagship": f"WITH {O.SEGMENTS} SELECT doc_id, count(*) AS n_lines, count_if(line_type = 'dialogue') AS n_dialogue, count_if(reset) AS n_resets, CAST(sum(n_matches) AS BIGINT) AS n_matches, count_if(glossary) AS n_glossary, count(dominant) AS n_dominant, max(segment_start) AS last_segment FROM segments GROUP BY doc_id",
+    "lines_scan": f"WITH {O.SCANNED} SELECT * FROM scanned",
+    "line_classes": f"WITH {O.RAW} SELECT doc_id, line_no, {O.line_type('line', R.SMALL_PACK.boundaries)} AS line_type, length({_trimmed}) < 2 OR regexp_matches({_trimmed}, '^[{L.FILLER}]+$') AS skippable, {O.features('line')} FROM lines",
+    "line_detection": f"WITH {O.DETECTED} SELECT doc_id, line_no, line_type, dominant, reset, glossary, n_matches FROM detected",
+    "category_scores": f"WITH {O.DETECTED} SELECT category, CAST(sum(tenths) AS BIGINT) AS tenths, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_lines FROM scores GROUP BY category",
+    "segments": f"WITH {O.SEGMENTS} SELECT doc_id, line_no, reset, segment_start FROM segments",
+    "batch_needs": f"WITH {O.needs(BATCH)} SELECT * FROM needs",
+    "context_selection": f"WITH {O.selected(BATCH, WINDOW, PICKED)} SELECT doc_id, batch_id, line_no, round(score, 6) AS score FROM selected",
+    "batch_context": f"""WITH {O.selected(BATCH, 30, 10)}, chosen AS (SELECT doc_id, batch_id, string_agg(line, chr(10) ORDER BY line_no) AS c FROM selected GROUP BY ALL),
+      tails AS (SELECT doc_id, batch_id + 1 AS batch_id, string_agg(line, chr(10) ORDER BY line_no) AS c FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, batch_id ORDER BY line_no DESC) AS r FROM flags) WHERE r <= 10 GROUP BY ALL)
+      SELECT n.doc_id, n.batch_id, coalesce(c.c, t.c, '') AS context FROM needs n LEFT JOIN chosen c ON n.doc_id = c.doc_id AND n.batch_id = c.batch_id LEFT JOIN tails t ON n.doc_id = t.doc_id AND n.batch_id = t.batch_id""",
+    "pair_checks": f"WITH {O.CHECKED} SELECT conv_id, turn, CAST(variant AS INTEGER) AS variant, error FROM checked",
+    "pair_predicates": f"WITH {O.CHECKED} SELECT conv_id, turn, CAST(variant AS INTEGER) AS variant, only_punctuation, CAST(json_parts AS BIGINT) AS json_parts, degraded, round(jaccard, 6) AS jaccard, contained, CAST(len(s_numbers) AS BIGINT) AS s_numbers, chapter FROM checked",
+    "pair_repair": f"WITH {O.PAIRS} SELECT conv_id, turn, CAST(variant AS INTEGER) AS variant, dst AS fixed FROM {O.repaired('pairs')}",
+    "batch_prompts": f"""WITH {O.SCANNED}, b AS (SELECT *, CAST(floor((line_no - 1) / {BATCH}) AS BIGINT) AS batch_id FROM scanned)
+      SELECT doc_id, batch_id, {O.q(P.INSTRUCTIONS[False, False].rstrip(chr(10)))} || chr(10) || string_agg('{{"' || ((line_no - 1) % {BATCH} + 1) || '":"' || replace(replace(replace(replace(replace(line, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t') || '"}}', chr(10) ORDER BY line_no) || chr(10) AS prompt,
+      CAST(least(greatest(2 * sum(length(line)) + 48 * count(*) + 512, 1024), 12000) AS BIGINT) AS max_tokens FROM b GROUP BY doc_id, batch_id""",
+    "glossary_audit": f"WITH {O.KEYED} SELECT count(*) AS total, count_if(regexp_matches(dst, '[{O.KANA}ｦ-ﾝ]')) AS dst_kana, count_if(regexp_matches(dst, '[ 　]')) AS dst_space, count_if(trim(dst) = '') AS dst_empty, count_if(src = '' OR src IN ({O.TITLES}) OR key = '' OR key IN ({O.TITLES})) AS src_title FROM keyed",
+    "glossary_duplicates": f"WITH {O.ENTRIES_FROM} SELECT src, count(*) AS n, count(DISTINCT (dst, info)) AS variants FROM entries GROUP BY src HAVING count(*) > 1 AND count(DISTINCT (dst, info)) > 1",
+    "glossary_conflicts": f"WITH {O.KEYED} SELECT key, count(*) AS n, count(DISTINCT dst) AS dsts, count(DISTINCT info) AS infos, CASE WHEN count(DISTINCT info) <= 1 AND count(DISTINCT base) <= 1 THEN 'variant' ELSE 'conflict' END AS kind FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT dst) > 1 OR count(DISTINCT info) > 1",
+    "glossary_compact_text": f"WITH {O.ENTRIES_FROM} SELECT 'Terms:' || chr(10) || string_agg(src || '→' || dst, chr(10) ORDER BY src, dst) || chr(10) AS glossary FROM (SELECT DISTINCT src, dst FROM entries WHERE dst <> '')",
+    "characters": f"WITH {O.PEOPLE} SELECT doc_id, text AS name, count(*) AS count, round(CAST(max(score) AS DOUBLE), 4) AS score, min(line_no) AS first_line FROM people WHERE score >= CAST(0.9 AS FLOAT) GROUP BY doc_id, text HAVING count(*) >= 2",
+    "mention_frames": "WITH " + O.PEOPLE + ", w AS (SELECT doc_id, line_no, " + ", ".join(f"coalesce(lag(line, {k}) OVER o, '') AS u{k}, coalesce(lead(line, {k}) OVER o, '') AS d{k}" for k in range(1, 6)) + " FROM scanned WINDOW o AS (PARTITION BY doc_id ORDER BY line_no)) SELECT doc_id, line_no, md5(u5 || '|' || u4 || '|' || u3 || '|' || u2 || '|' || u1) AS above, md5(d1 || '|' || d2 || '|' || d3 || '|' || d4 || '|' || d5) AS follow FROM w",
+    "bio_entities": f'WITH {_TOKENS} SELECT doc_id, line_no, text, label, "start", "end", round(score, 6) AS score FROM entities',
+    "resume_join": f"""WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents), lines AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS line_no, unnest(p) AS line FROM parts),
+      done AS (SELECT doc_id, line_no, CAST(floor((line_no - 1) / {BATCH}) AS BIGINT) AS batch_id, CASE WHEN line_no % 5 <> 0 AND line_no % 7 <> 0 AND {O.trim('line')} <> '' THEN 1 END AS d FROM lines)
+      SELECT doc_id, batch_id, count(*) AS n, count(d) AS done, bool_and(d IS NOT NULL) AS skip FROM done GROUP BY doc_id, batch_id""",
+    "page_contents": r"WITH c AS (SELECT page_id, len(regexp_extract_all(html, '(?i)<a\s[^>]*href')) AS links, len(regexp_extract_all(html, '(?i)<(?:p|li|div)[\s>]')) AS blocks FROM pages) SELECT page_id, CAST(links AS BIGINT) AS links, CAST(blocks AS BIGINT) AS blocks, links >= 3 AND 2 * links >= greatest(blocks, 1) AS is_toc FROM c",
+    "label_quality": "SELECT lang, quality, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, CAST(sum(toxic) AS BIGINT) AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY lang, quality",
+}
