@@ -168,10 +168,16 @@ def _linkable(most: Column, percent: int) -> Column:
     return 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
 
 
-def _with_facts(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+def _star_pairs(regions: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Each pivot with each point of its regions (g, x, pivot): a, b, n_a, n_b, least, most.
+
+    What two points share that have not met lies in these regions: in those that a leads (counted), or in others, where neither has more than it has.
+    """
+    facts = regions.groupBy("x").agg(F.count("*").alias("shared"), F.count(F.when(F.col("x") == F.col("pivot"), 1)).alias("led")).join(sizes, "x")
+    pairs = regions.filter("x <> pivot").groupBy(F.col("pivot").alias("a"), F.col("x").alias("b")).agg(F.count("*").alias("least"))
     for v in "ba":
         pairs = pairs.join(facts.select(F.col("x").alias(v), *(F.col(c).alias(f"{c}_{v}") for c in ("n", "p", "edge", "shared", "led"))), v)
-    return pairs
+    return pairs.withColumn("most", _most(F.col("least") + F.least(F.col("shared_b") - F.col("least"), F.col("shared_a") - F.col("led_a"))))
 
 
 def _measured(pairs: DataFrame, rows: DataFrame, percent: int, width: int) -> DataFrame:
@@ -198,13 +204,10 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = 5)
     edge = F.element_at("prefix", -1).bitwiseXOR(F.lit(-(1 << 63)))
     dealt = points.select("doc_id", "n", F.size("prefix").alias("p"), edge.alias("edge"), F.explode("prefix").alias("g")).withColumns({"pivot": F.min("doc_id").over(by_shingle), "top": F.max("doc_id").over(by_shingle)})
     regions = stored(dealt.filter("pivot <> top").select("g", F.col("doc_id").alias("x"), "pivot", "n", "p", "edge"), "regions")
-    # shared: places of the prefix that any other point has too; led: those of which this point is the pivot.
-    facts = stored(regions.groupBy("x", "n", "p", "edge").agg(F.count("*").alias("shared"), F.count(F.when(F.col("x") == F.col("pivot"), 1)).alias("led")), "facts")
+    sizes = stored(regions.select("x", "n", "p", "edge").distinct(), "sizes")
     regions = regions.select("g", "x", "pivot")
     both = F.col("n_a") + F.col("n_b")
-    stars = _with_facts(regions.filter("x <> pivot").groupBy(F.col("pivot").alias("a"), F.col("x").alias("b")).agg(F.count("*").alias("least")), facts)
-    # What a and b share beyond this pivot's regions lies in regions that neither of them leads.
-    pairs = stars.withColumn("most", _most(F.col("least") + F.least(F.col("shared_b") - F.col("led_b") - F.col("least"), F.col("shared_a") - F.col("led_a"))))
+    pairs = _star_pairs(regions, sizes)
     links, labels = None, None
     for round_ in range(PIVOT_ROUNDS + 1):
         measured = stored(_measured(pairs, rows, percent, width), "measured")
@@ -221,17 +224,20 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = 5)
         rest = stored(known.join(open_, "g"), "open-regions")
         if rest.isEmpty():
             break
-        bound = _most(F.least("shared_a", "shared_b"))
+        # Two points of different components that have not met have every region that they share among the open ones.
         if round_ < PIVOT_ROUNDS - 1:
             regions = rest.select("g", "x", F.col("next").alias("pivot"))
-            stars = regions.filter("x <> pivot").groupBy(F.col("pivot").alias("a"), F.col("x").alias("b")).agg(F.count("*").alias("least"))
-            pairs = _with_facts(stars, facts).withColumn("most", bound)
+            pairs = _star_pairs(regions, sizes)
         else:
-            rest = rest.join(facts, "x")
-            one, two = (rest.select("g", F.col("x").alias(v), *(F.col(c).alias(f"{c}_{v}") for c in ("near", "far", "label", "n", "p", "edge", "shared"))) for v in "ab")
+            rest = rest.join(sizes, "x")
+            one, two = (rest.select("g", F.col("x").alias(v), *(F.col(c).alias(f"{c}_{v}") for c in ("near", "far", "label", "n", "p", "edge"))) for v in "ab")
             r = 1 - percent / 100 + 1e-9
-            met = one.join(two, "g").filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & (F.col("near_a") - F.col("far_b") <= r) & (F.col("near_b") - F.col("far_a") <= r) & _linkable(bound, percent))
-            pairs = met.groupBy("a", "b", "n_a", "n_b", bound.alias("most")).agg(F.count("*").alias("least"))
+            met = one.join(two, "g").filter(
+                (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & (F.col("near_a") - F.col("far_b") <= r) & (F.col("near_b") - F.col("far_a") <= r)
+                & (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
+            )
+            counted = met.groupBy("a", "b", "n_a", "n_b", "p_a", "p_b", "edge_a", "edge_b").agg(F.count("*").alias("least"))
+            pairs = counted.withColumn("most", _most(F.col("least"))).filter(_linkable(F.col("most"), percent))
     found = labels.select(F.col("id").alias("rep"), F.col("label"))
     return member.join(found, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("label", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
 
