@@ -263,3 +263,12 @@ def token_budget(src_chars: Column, lines: Column, context_chars: Column, glossa
     """Upper limit of a response's tokens, in whole numbers."""
     need = 2 * src_chars + 48 * lines + 512 + F.least(F.floor(context_chars / 4), F.lit(1500)) + F.least(F.floor(glossary_chars / 8), F.lit(1000))
     return F.least(F.greatest(need, F.lit(1024)), F.lit(12000)).cast("long")
+
+
+def lenient_json(c: Column) -> Column:
+    """The JSON object in a model's answer as text: the answer itself, else a fenced block, else from the first brace to the last; null if none parses."""
+    plain = unicode_trim(without_thinking(c))
+    fenced = F.regexp_extract(plain, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    braces = F.regexp_extract(plain, r"(?s)\{.*\}", 0)
+    good = lambda x: F.when(x.startswith("{") & F.try_parse_json(x).isNotNull(), x)
+    return F.coalesce(good(plain), good(fenced), good(braces))

@@ -96,3 +96,28 @@ def fingerprint(**fields) -> str:
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def endpoint_warnings(url: str) -> list[str]:
+    """What is unsafe about a model service's address."""
+    from urllib.parse import urlsplit
+
+    try:
+        u = urlsplit(url.strip())
+        host = u.hostname or ""
+    except ValueError:
+        return ["not an address"]
+    out = []
+    if u.scheme == "http" and host not in ("localhost", "127.0.0.1", "::1"):
+        out.append("keys and texts travel unencrypted")
+    if u.username or u.password:
+        out.append("the address holds credentials")
+    if u.query and any(k in u.query.lower() for k in ("key=", "token=", "secret=")):
+        out.append("the address holds a key")
+    return out
+
+
+def work_files(names: list[str], stem: str) -> list[str]:
+    """Of a folder's names those that belong to the work on one input: its suffixed files and its work folder."""
+    suffixes = ("_glossary.json", "_output.json", "_characters.json", "_work")
+    return sorted(n for n in names if any(n == stem + s for s in suffixes))
