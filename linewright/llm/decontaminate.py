@@ -8,7 +8,8 @@ distance.  Each table samples some steps of one walk; a window whose samples
 equal those of a window of an item is a candidate.
 
 Windows start at every word of a document and at every word of an item from
-which the walk ends inside the item.  A walk of ``STEPS`` steps covers about half as
+which the walk ends inside the item and samples at least ``MIN_COVER`` places (fewer
+would meet every common phrase).  A walk of ``STEPS`` steps covers about half as
 many words, so an item has many windows, each with ``WALKS * SAMPLES`` tables; an
 item goes unseen only if every one of them is hit by an edit.  Candidates
 are aligned exactly with the document around them (any start, any end), and count
@@ -33,10 +34,11 @@ from pyspark.sql import functions as F
 
 from . import textkernel as K
 
-STEPS = 12
+STEPS = 16
 WALKS = 2
 SAMPLES = 2
-SAMPLED = 6
+SAMPLED = 7
+MIN_COVER = 5
 MIN_WORDS = 8
 MIN_LETTERS = 12
 MAX_EDITS = 0.2
@@ -67,11 +69,12 @@ def word_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return ids[full], row[full], own[full]
 
 
-def walk_keys(ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(table, key of the window at each word, last word that it read): the walks of all windows at once.
+def walk_keys(ids: np.ndarray, full: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray | None, np.ndarray | None]]:
+    """(table, key of the window at each word): the walks of all windows at once.
 
     The walk's bit for a word at step j is bit j of a hash of the word.
-    Windows that run over the end read padding.
+    Windows that run over the end read padding.  With full, also the last word
+    that each window sampled and how many different places it sampled.
     """
     n = len(ids)
     padded = np.concatenate((ids, np.zeros(STEPS + 1, dtype=np.uint64)))
@@ -79,7 +82,8 @@ def walk_keys(ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     for walk in range(WALKS):
         bits = (K.mix(padded ^ _SALTS[walk]) >> np.uint64(32)).astype(np.uint32)
         keys = [np.zeros(n, dtype=np.uint32) for _ in range(SAMPLES)]
-        last = [first] * SAMPLES
+        last: list = [first if full else None] * SAMPLES
+        cover = [np.ones(n, dtype=np.int64) for _ in range(SAMPLES)] if full else [None] * SAMPLES
         at = first.copy()
         for j in range(STEPS):
             np.take(bits, at, out=here, mode="clip")
@@ -87,7 +91,9 @@ def walk_keys(ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
                 if j in chosen:
                     keys[k] *= np.uint32(0x9E3779B1)
                     keys[k] ^= here
-                    if j == chosen[-1]:
+                    if full:
+                        if j != chosen[0]:
+                            cover[k] += at != last[k]
                         last[k] = at.copy()
             here >>= np.uint32(j)
             here &= np.uint32(1)
@@ -97,7 +103,7 @@ def walk_keys(ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
             key ^= key >> np.uint32(15)
             key *= np.uint32(0x85EBCA6B)
             key ^= key >> np.uint32(13)
-            yield walk * SAMPLES + k, key, last[k]
+            yield walk * SAMPLES + k, key, last[k], cover[k]
 
 
 _FILTER_BITS = np.uint32(32 - 20)
@@ -116,11 +122,12 @@ class ItemIndex:
             ids, _, _ = word_ids(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))
             self.words.append(ids)
             if len(ids) >= MIN_WORDS:
-                for table, keys, last in walk_keys(ids):
-                    inside = np.flatnonzero(last < len(ids))
+                for table, keys, last, cover in walk_keys(ids, full=True):
+                    inside = np.flatnonzero((last < len(ids)) & (cover >= min(MIN_COVER, len(ids) - 3)))
                     parts[table].append((keys[inside], np.full(len(inside), k), inside))
             elif len(ids) and len(raw) >= MIN_LETTERS:
                 first.append((int(ids[0] >> np.uint64(32)), k))
+        self.sets = [np.unique(w) for w in self.words]
         self.tables = []
         for own in parts:
             self.tables.append(self._sorted(*(np.concatenate(x) for x in zip(*own))))
@@ -134,10 +141,15 @@ class ItemIndex:
         maybe[keys >> _FILTER_BITS] = True
         return maybe, keys[order], owner[order], place[order]
 
+    def present(self, k: int, words: np.ndarray) -> int:
+        """How many of words are words of item k."""
+        own = self.sets[k]
+        return int((own[np.minimum(np.searchsorted(own, words), len(own) - 1)] == words).sum())
+
     def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of a word, the item that would start there), each pair once."""
         starts, owners = [], []
-        for table, keys in [*((self.tables[t], k) for t, k, _ in walk_keys(ids)), (self.short, (ids >> np.uint64(32)).astype(np.uint32))]:
+        for table, keys in [*((self.tables[t], k) for t, k, _, _ in walk_keys(ids)), (self.short, (ids >> np.uint64(32)).astype(np.uint32))]:
             maybe, known, owner, place = table
             if not len(known):
                 continue
@@ -183,7 +195,8 @@ def leaks_in(ids: np.ndarray, found: list[tuple[int, int]], index: ItemIndex, ma
             continue
         covered[k] = p + limit + 1  # a start so near is inside the part that is aligned now
         low, high = max(0, p - reach), min(len(ids), p + len(item) + reach + limit)
-        if high > low:
+        # All but limit of the item's words must be there: a cheap exact test before the alignment.
+        if high - low >= len(item) - limit and index.present(k, ids[low:high]) >= len(item) - limit:
             edits, a, b = align(item, ids[low:high])
             if edits <= limit and (k not in best or edits < best[k][0]):
                 best[k] = edits, low + a, low + b
