@@ -13,10 +13,7 @@ _PREFIX = "linewright-scratch"
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a local folder only where that is unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file://{tempfile.gettempdir()}/linewright"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return (found or f"file://{tempfile.gettempdir()}/linewright").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
