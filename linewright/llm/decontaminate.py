@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
+from .scratch import without_ids
 
 STEPS = 16
 WALKS = 2
@@ -259,5 +260,4 @@ def find_leaks(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS,
 
 def without_leaks(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS) -> DataFrame:
     """The documents that hold no item, with all columns of docs."""
-    bad = find_leaks(docs, items, max_edits).select(F.col("doc_id").alias("_leaky")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("_leaky"), "left_anti")
+    return without_ids(docs, find_leaks(docs, items, max_edits), "leaky")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .scratch import stored
+from .scratch import sent_if_small, stored, without_ids
 
 
 @dataclass(frozen=True)
@@ -171,7 +171,8 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def clean_lines(docs: DataFrame, limits: LineLimits = LineLimits(), host: str = "source") -> DataFrame:
     """The kept documents without the removed lines, with all columns of docs."""
     verdicts, removed = line_verdicts(docs, limits, host)
-    gone = removed.groupBy("doc_id").agg(F.collect_set("line_key").alias("_gone")).withColumnRenamed("doc_id", "_id")
-    keep = verdicts.filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(keep, docs["doc_id"] == F.col("_kept"), "left_semi")
-    return kept.join(gone, kept["doc_id"] == F.col("_id"), "left").drop("_id").mapInArrow(_without, docs.schema)
+    rejected = verdicts.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).filter("not kept")
+    gone = stored(removed.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_key").alias("_gone")), "gone-lines")
+    elements = gone.agg(F.sum(F.size("_gone") + 4)).first()[0] or 0
+    kept = without_ids(docs, rejected, "rejected")
+    return kept.join(sent_if_small(gone, elements), kept["doc_id"] == F.col("_id"), "left").drop("_id").mapInArrow(_without, docs.schema)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .components import connected
-from .scratch import stored
+from .scratch import stored, without_ids
 
 #: Documents in the sample that finds frequent shingles and words, and the most that it may name of each.
 ORDER_SAMPLE = 4_000
@@ -244,5 +244,5 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = 5)
 
 def keep_first_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The document with the smallest doc_id of each component, with all columns of docs."""
-    heads = jaccard_components(docs, percent).filter("component_id = doc_id").select(F.col("doc_id").alias("_head")).distinct()
-    return docs.join(heads, docs["doc_id"] == F.col("_head"), "left_semi")
+    found = jaccard_components(docs, percent)
+    return without_ids(docs, found.filter("component_id <> doc_id"), "copies")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _PREFIX = "linewright-scratch"
 
@@ -28,6 +29,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of ids, or of array elements, that may be sent to every task: some 16 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def sent_if_small(stored_rows: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The side of a join as a broadcast if it has at most so many rows, else as it is, to be shuffled."""
+    return F.broadcast(stored_rows) if rows <= most else stored_rows
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """docs without the rows whose doc_id is in ids (doc_id); rows without a doc_id stay. The texts move only if the ids are many."""
+    gone = stored(ids.select(F.col("doc_id").cast("long").alias("_gone_id")).distinct(), name)
+    return docs.join(sent_if_small(gone, gone.count()), docs["doc_id"] == F.col("_gone_id"), "left_anti")
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
