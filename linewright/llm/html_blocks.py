@@ -38,6 +38,7 @@ class Element:
     name: str
     key: str
     skip: bool
+    apart: bool = False  # an inline element to skip inside text that stays: the text around it is one block
 
 
 @dataclass(frozen=True)
@@ -75,6 +76,7 @@ def read(page: str | None) -> tuple[list[Block], list[str]]:
     tokens: list[str] = []
     stack: list[Element] = []
     parts: list[str] = []
+    held: list[list[str]] = []
 
     def flush() -> None:
         if parts:
@@ -86,12 +88,15 @@ def read(page: str | None) -> tuple[list[Block], list[str]]:
                 tokens.append("#")
 
     def close(index: int) -> None:
-        if any(e.name not in INLINE or e.skip for e in stack[index:]):
-            flush()
-        for e in reversed(stack[index:]):
+        while len(stack) > index:
+            e = stack[-1]
+            if e.name not in INLINE or e.apart:
+                flush()
             if e.name not in INLINE:
                 tokens.append(f"</{e.key}>")
-        del stack[index:]
+            stack.pop()
+            if e.apart:
+                parts[:] = held.pop()
 
     page = page or ""
     at = 0
@@ -145,7 +150,9 @@ def read(page: str | None) -> tuple[list[Block], list[str]]:
         if name not in INLINE:
             tokens.append(f"<{element.key}>")
         elif element.skip and not (stack and stack[-1].skip):
-            flush()
+            element.apart = True
+            held.append(parts[:])
+            parts.clear()
         stack.append(element)
     flush()
     close(0)

@@ -27,9 +27,9 @@ def test_whole_table(spark):
 def test_what_is_not_the_article_goes():
     page = """<html><body><header><h1>Site</h1></header><div class="cookie-notice">We use</div><main><article><header>by x</header>
     <h2>T &amp; u</h2><p>a<b>b</b>  c<br>d<ul><li>one<li>two</ul><aside>no</aside><form>f <input> g</form><script>var t="</p>";</script>
-    <table><tr><td>x<td>y</table><section class="comments"><p>first!</p></section><p>end</article></main><footer>f"""
+    <table><tr><td>x<td>y</table><section class="comments"><p>first!</p></section><p>end <span class="ad">buy</span> now</article></main><footer>f"""
     blocks, _ = html_blocks.read(page)
-    assert wrappers.main_text(blocks, []) == "T & u\n\nab c d\n\none\n\ntwo\n\nx\n\ny\n\nend"
+    assert wrappers.main_text(blocks, []) == "T & u\n\nab c d\n\none\n\ntwo\n\nx\n\ny\n\nend now"
 
 
 def test_folding_and_merging():
