@@ -6,8 +6,8 @@ choose the language family; others, one for each pair of languages of a
 family, then separate its languages.  Each score is a mean of weights over the
 text, so a text of any length is read once and whole.
 
-Training reads at most about ``PER_LANGUAGE`` labelled documents of each language,
-chosen by a hash of doc_id; each also trains as a short excerpt, so that
+Training reads at most about ``PER_LANGUAGE`` labelled documents of each language
+and ``MAX_DOCUMENTS`` of all, chosen by a hash of doc_id; each also trains as a short excerpt, so that
 short texts are in the training data.
 
 Defined results: null texts and texts without a letter are ``und`` with score
@@ -30,6 +30,7 @@ from . import textkernel as K
 
 BUCKETS = 1 << 14
 PER_LANGUAGE = 500
+MAX_DOCUMENTS = 1_500
 EXCERPT_BYTES = 60
 
 # Language families by ISO 639-1 code; other codes are families of their own.
@@ -92,19 +93,18 @@ class Hierarchy:
     language_machines: dict
 
 
-def _machine(x: np.ndarray, y: np.ndarray, yes: str, no: str, epochs: int = 12, c: float = 1.0) -> Machine:
-    """A linear SVM (hinge loss) by dual coordinate descent, with classes weighted to balance."""
-    x = np.concatenate((x, np.ones((len(x), 1), dtype=np.float32)), axis=1)
-    q = np.einsum("ij,ij->i", x, x)
+def _machine(x: np.ndarray, at: np.ndarray, y: np.ndarray, yes: str, no: str, epochs: int = 12, c: float = 1.0) -> Machine:
+    """A linear SVM (hinge loss) on the rows ``at`` of x by dual coordinate descent, with classes weighted to balance; the last column of x is 1."""
+    q = np.array([float(x[i] @ x[i]) for i in at])
     top = np.where(y > 0, c * len(y) / (2 * max(1, (y > 0).sum())), c * len(y) / (2 * max(1, (y < 0).sum())))
     alpha, w = np.zeros(len(y)), np.zeros(x.shape[1], dtype=np.float32)
     rng = np.random.default_rng(7)
     for _ in range(epochs):
-        for i in rng.permutation(len(y)):
-            old = alpha[i]
-            alpha[i] = min(max(old - (y[i] * float(w @ x[i]) - 1) / q[i], 0.0), top[i])
-            if alpha[i] != old:
-                w += np.float32((alpha[i] - old) * y[i]) * x[i]
+        for k in rng.permutation(len(y)):
+            row, old = x[at[k]], alpha[k]
+            alpha[k] = min(max(old - (y[k] * float(w @ row) - 1) / q[k], 0.0), top[k])
+            if alpha[k] != old:
+                w += np.float32((alpha[k] - old) * y[k]) * row
     return Machine(yes, no, w[:-1].copy(), float(w[-1]))
 
 
@@ -119,11 +119,12 @@ def train(texts: list[str], langs: list[str]) -> Hierarchy:
         for part in (b, b[middle : middle + EXCERPT_BYTES]) if len(b) > 2 * EXCERPT_BYTES else (b,):
             raw.append(part)
             names.append(lang)
-    x = np.zeros((len(raw), BUCKETS), dtype=np.float32)
+    x = np.zeros((len(raw), BUCKETS + 1), dtype=np.float32)
+    x[:, -1] = 1
     for k, b in enumerate(raw):
         idx, _ = trigrams(np.frombuffer(b, dtype=np.uint8), np.array([0, len(b)]))
         if len(idx):
-            x[k] = np.bincount(idx, minlength=BUCKETS) * (_SCALE / len(idx))
+            x[k, :-1] = np.bincount(idx, minlength=BUCKETS) * (_SCALE / len(idx))
     names = np.array(names)
     langs_ = sorted(set(names.tolist()))
     by_family = {f: tuple(sorted(n for n in langs_ if family_of(n) == f)) for f in sorted({family_of(n) for n in langs_})}
@@ -134,7 +135,7 @@ def train(texts: list[str], langs: list[str]) -> Hierarchy:
         for i, a in enumerate(classes):
             for b in classes[i + 1 :]:
                 at = np.flatnonzero((values == a) | (values == b))
-                out.append(_machine(x[at], np.where(values[at] == a, 1.0, -1.0), a, b))
+                out.append(_machine(x, at, np.where(values[at] == a, 1.0, -1.0), a, b))
         return tuple(out)
 
     return Hierarchy(tuple(by_family), by_family, pairs(own, tuple(by_family)), {f: pairs(names, ls) for f, ls in by_family.items()})
@@ -211,6 +212,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Hierarchy | None:
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
     if not counts:
         return None
+    per_language = max(1, min(per_language, MAX_DOCUMENTS // len(counts)))
     share = F.lit(0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1_000_000, math.ceil(1_000_000 * per_language / n)))).otherwise(share)
