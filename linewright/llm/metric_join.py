@@ -229,12 +229,13 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = 5)
             regions = rest.select("g", "x", F.col("next").alias("pivot"))
             pairs = _star_pairs(regions, sizes)
         else:
-            rest = rest.join(sizes, "x")
-            one, two = (rest.select("g", F.col("x").alias(v), *(F.col(c).alias(f"{c}_{v}") for c in ("near", "far", "label", "n", "p", "edge"))) for v in "ab")
+            # Nobody shares more than it has in open regions; few pairs can link with that little.
+            rest = rest.join(rest.groupBy("x").agg(F.count("*").alias("shared")).join(sizes, "x"), "x")
+            one, two = (rest.select("g", F.col("x").alias(v), *(F.col(c).alias(f"{c}_{v}") for c in ("near", "far", "label", "n", "p", "edge", "shared"))) for v in "ab")
             r = 1 - percent / 100 + 1e-9
             met = one.join(two, "g").filter(
                 (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & (F.col("near_a") - F.col("far_b") <= r) & (F.col("near_b") - F.col("far_a") <= r)
-                & (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
+                & (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a")) & _linkable(_most(F.least("shared_a", "shared_b")), percent)
             )
             counted = met.groupBy("a", "b", "n_a", "n_b", "p_a", "p_b", "edge_a", "edge_b").agg(F.count("*").alias("least"))
             pairs = counted.withColumn("most", _most(F.col("least"))).filter(_linkable(F.col("most"), percent))
