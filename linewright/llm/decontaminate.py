@@ -10,8 +10,14 @@ equal those of a window of an item is a candidate.
 Windows start at every word of a document and at every word of an item from
 which the walk ends inside the item and samples at least ``MIN_COVER`` places (fewer
 would meet every common phrase).  A walk of ``STEPS`` steps covers about half as
-many words, so an item has many windows, each with ``WALKS * SAMPLES`` tables; an
-item goes unseen only if every one of them is hit by an edit.  Candidates
+many words, so an item has many windows, each with ``WALKS * SAMPLES`` tables.
+
+The walks may miss an item, and short items may have no window at all.  So a second
+table holds every run of ``GRAM`` words of every item: an edit breaks at most ``GRAM``
+of them, so an item of n words within e edits shares n - GRAM + 1 - GRAM * e runs with
+the document, on diagonals at most e apart.  Places with that many are candidates
+too; with ``MAX_EDITS`` the bound is at least 2 for any item of ``MIN_WORDS`` words or more, so
+that none within ``max_edits`` goes unseen.  Candidates
 are aligned exactly with the document around them (any start, any end), and count
 within ``max_edits`` edits a word of the item.
 
@@ -40,6 +46,7 @@ WALKS = 2
 SAMPLES = 2
 SAMPLED = 7
 MIN_COVER = 5
+GRAM = 3
 MIN_WORDS = 8
 MIN_LETTERS = 12
 MAX_EDITS = 0.2
@@ -107,22 +114,34 @@ def walk_keys(ids: np.ndarray, full: bool = False) -> Iterator[tuple[int, np.nda
             yield walk * SAMPLES + k, key, last[k], cover[k]
 
 
+def gram_keys(ids: np.ndarray) -> np.ndarray:
+    """The key of the GRAM words from each word on, as far as they are inside."""
+    key = np.zeros(max(0, len(ids) - GRAM + 1), dtype=np.uint64)
+    for j in range(GRAM):
+        key *= np.uint64(0x9E3779B97F4A7C15)
+        key ^= ids[j : j + len(key)]
+    return (K.mix(key) >> np.uint64(32)).astype(np.uint32)
+
+
 _FILTER_BITS = np.uint32(32 - 20)
 
 
 class ItemIndex:
     """The keys of one block of items: per table the sorted keys, with the item and the place of each."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], max_edits: float = MAX_EDITS):
         self.names = [i for i, _ in items]
         self.words: list[np.ndarray] = []
         parts: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[(np.zeros(0, dtype=np.uint32),) + (np.zeros(0, dtype=np.int64),) * 2] for _ in range(WALKS * SAMPLES)]
+        grams = [(np.zeros(0, dtype=np.uint32),) + (np.zeros(0, dtype=np.int64),) * 2]
         first: list[tuple[int, int]] = []
         for k, (_, text) in enumerate(items):
             raw = (text or "").encode()
             ids, _, _ = word_ids(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))
             self.words.append(ids)
             if len(ids) >= MIN_WORDS:
+                runs = gram_keys(ids)
+                grams.append((runs, np.full(len(runs), k), np.arange(len(runs))))
                 for table, keys, last, cover in walk_keys(ids, full=True):
                     inside = np.flatnonzero((last < len(ids)) & (cover >= min(MIN_COVER, len(ids) - 3)))
                     parts[table].append((keys[inside], np.full(len(inside), k), inside))
@@ -132,6 +151,11 @@ class ItemIndex:
         self.tables = []
         for own in parts:
             self.tables.append(self._sorted(*(np.concatenate(x) for x in zip(*own))))
+        self.grams = self._sorted(*(np.concatenate(x) for x in zip(*grams)))
+        # How far apart the diagonals of an item's shared runs may be, and how many runs it shares at least.
+        size = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.apart = (size * max_edits).astype(np.int64)
+        self.shared = np.maximum(size - GRAM + 1 - GRAM * self.apart, 1)
         # Short items are looked up by their first word.
         self.short = self._sorted(np.array([w for w, _ in first], dtype=np.uint32), np.array([k for _, k in first], dtype=np.int64), np.zeros(len(first), dtype=np.int64))
 
@@ -147,23 +171,35 @@ class ItemIndex:
         own = self.sets[k]
         return int((own[np.minimum(np.searchsorted(own, words), len(own) - 1)] == words).sum())
 
+    @staticmethod
+    def _found(table, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index of a word, the item that would start there) for each equal key."""
+        maybe, known, owner, place = table
+        at = np.flatnonzero(maybe[keys >> _FILTER_BITS])
+        low, high = np.searchsorted(known, keys[at]), np.searchsorted(known, keys[at], side="right")
+        full = high > low
+        at, low, size = at[full], low[full], (high - low)[full]
+        source = np.repeat(low - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum()) if len(at) else np.zeros(0, dtype=np.int64)
+        return np.repeat(at, size) - place[source], owner[source]
+
+    def _by_runs(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The starts from which as many shared runs lie on near diagonals as an item within its edits must have."""
+        starts, owners = self._found(self.grams, gram_keys(ids))
+        order = np.lexsort((starts, owners))
+        starts, owners = starts[order], owners[order]
+        last = np.arange(len(starts)) + self.shared[owners] - 1
+        inside = np.minimum(last, max(len(starts) - 1, 0))
+        enough = (last < len(starts)) & (owners[inside] == owners) & (starts[inside] - starts <= self.apart[owners])
+        return starts[enough], owners[enough]
+
     def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of a word, the item that would start there), each pair once."""
-        starts, owners = [], []
-        for table, keys in [*((self.tables[t], k) for t, k, _, _ in walk_keys(ids)), (self.short, (ids >> np.uint64(32)).astype(np.uint32))]:
-            maybe, known, owner, place = table
-            if not len(known):
-                continue
-            at = np.flatnonzero(maybe[keys >> _FILTER_BITS])
-            low, high = np.searchsorted(known, keys[at]), np.searchsorted(known, keys[at], side="right")
-            full = high > low
-            at, low, size = at[full], low[full], (high - low)[full]
-            source = np.repeat(low - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum()) if len(at) else np.zeros(0, dtype=np.int64)
-            starts.append(np.repeat(at, size) - place[source])
-            owners.append(owner[source])
-        if not starts:
+        parts = [self._found(table, keys) for table, keys in [*((self.tables[t], k) for t, k, _, _ in walk_keys(ids)), (self.short, (ids >> np.uint64(32)).astype(np.uint32))] if len(table[1])]
+        if len(self.grams[1]):
+            parts.append(self._by_runs(ids))
+        if not parts:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        both = np.unique(np.stack((np.concatenate(owners), np.concatenate(starts))), axis=1)
+        both = np.unique(np.stack((np.concatenate([o for _, o in parts]), np.concatenate([s for s, _ in parts]))), axis=1)
         return both[1], both[0]
 
 
@@ -192,7 +228,7 @@ def leaks_in(ids: np.ndarray, found: list[tuple[int, int]], index: ItemIndex, ma
         item = index.words[k]
         limit = int(len(item) * max_edits) if len(item) >= MIN_WORDS else 0
         reach = 2 * limit + 1
-        if p < covered.get(k, -1) or k in best and best[k][0] == 0:
+        if k in covered and p < covered[k] or k in best and best[k][0] == 0:
             continue
         covered[k] = p + limit + 1  # a start so near is inside the part that is aligned now
         low, high = max(0, p - reach), min(len(ids), p + len(item) + reach + limit)
@@ -209,7 +245,7 @@ _SCHEMA = "doc_id long, item_id long, edits int, item_words int, first_word long
 
 def _search(items: list[tuple[int, str]], max_edits: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ItemIndex(items)
+        index = ItemIndex(items, max_edits)
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [])
             for first, end, data, offsets in K.chunks(batch, "text", 1 << 17):

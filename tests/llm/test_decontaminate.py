@@ -67,6 +67,30 @@ def test_recall_by_edits(spark):
         assert distance(words(by_item[k]), words(by_doc[i])[r.first_word : r.end_word]) == r.edits
 
 
+def test_no_item_within_its_edits_is_missed(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    items, docs, planted = [], [], set()
+    for n in (*range(8, 21), 25, 40):
+        for share in (0, D.MAX_EDITS):
+            for _ in range(30):
+                k, own = len(items), rng.choices(vocabulary, k=n)
+                items.append((k, " ".join(own)))
+                for at in sorted(rng.sample(range(n), int(n * share)), reverse=True):
+                    what = rng.random()
+                    own[at : at + 1] = [rng.choice(vocabulary)] if what < 0.5 else [] if what < 0.75 else [own[at], rng.choice(vocabulary)]
+                docs.append((k, " ".join(rng.choices(vocabulary, k=rng.choice([0, 0, 30])) + own + rng.choices(vocabulary, k=rng.choice([0, 30])))))
+                planted.add((k, k))
+    # The beginning is cut off at a document's start.
+    items.append((len(items), " ".join(vocabulary[:20])))
+    docs.append((len(docs), " ".join(vocabulary[4:20])))
+    planted.add((len(docs) - 1,) * 2)
+    found = D.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert planted <= {(r.doc_id, r.item_id) for r in found}
+    by_doc, by_item = dict(docs), dict(items)
+    assert all(r.edits == distance(words(by_item[r.item_id]), words(by_doc[r.doc_id])) for r in found)
+
+
 def test_edges(spark):
     docs, items = edge_cases.frame(spark), spark.createDataFrame([(1, edge_cases.BASE), (2, None), (3, ""), (4, "unfindable short"), (None, "a b c d e f g"), (6, "one TWO three and")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in D.find_leaks(docs, items).collect()}
