@@ -1,20 +1,24 @@
 """Secret scan: base patterns, and an assignment-aware lexer.
 
 The lexer reads source and configuration syntax into name-literal pairs: a
-name, an optional closing quote or bracket, one of ``= := : =>``, and an
-expression of quoted literals and names joined by ``+``.  Literals bound to a name
+name, optional closing quotes or brackets, an optional type, one of ``= ?= := : =>``, and an
+expression of quoted literals and names joined by ``+``, or an unquoted literal: what
+stands up to the next blank (or the next pair, or a quote that closes around the pair), unless it is a
+known constant, a reference, a call or the first word of a sentence.  Literals bound to a name
 are constants; a later pair that refers to the name takes its value (and the
 span of its literals).  Each pair is scored by how sensitive its target name is
 and by how random its value looks; literals above the threshold are spans
 of kind ``assign`` beside the base ones.
 
 Defined results: null and empty texts have no spans; equal added and base
-spans are listed once; constants hold within one document; other columns are ignored.
+spans are listed once; unquoted literals inside a base span are not listed again; constants hold within one document; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter
@@ -42,7 +46,18 @@ PLACEHOLDER = re.compile(r"(?i)^(?:change_?me|example|placeholder|your[-_ ].*|x{
 THRESHOLD = 1.15
 
 _LITERAL = r'"(?:[^"\\\n]|\\[^\n])*+"|\'(?:[^\'\\\n]|\\[^\n])*+\''
-_PAIR = re.compile(rf"""(?P<name>[A-Za-z_][A-Za-z0-9_.-]{{0,200}}+)["'\]]?[ \t]*(?::=|=>|=(?!=)|:(?!:))[ \t]*(?P<value>(?:{_LITERAL}|[A-Za-z_][A-Za-z0-9_.]*+)(?:[ \t]*\+[ \t]*(?:{_LITERAL}|[A-Za-z_][A-Za-z0-9_.]*+))*+)""")
+_WORD = r"[A-Za-z_][A-Za-z0-9_.]*+"
+# A type stands after a colon (or is a well-known word), and a quoted literal or, set off by blanks, a name after its "=".
+_TYPE = rf"""(?:[ \t]*:[ \t]*[&*]?(?:'[a-z_]+[ \t]+)?(?:mut[ \t]+)?(?:{_WORD}(?:::{_WORD})*+)?(?:[\[<][^\n="']{{0,80}}[\]>])?[?!]?(?:[ \t]*\|[ \t]*{_WORD})*+|[ \t]+(?i:string|\[\]byte|n?varchar2?|n?char|text)(?:\([0-9 ]+\))?)"""
+_PAIR = re.compile(rf"""(?<![A-Za-z0-9_.-])[0-9.-]*+(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)["'\]]{{0,2}}(?:{_TYPE}(?:[ \t]*:?=[ \t]*(?=[bBrRuU]?["'])|[ \t]+:?=[ \t]+(?=[A-Za-z_]))|[ \t]*(?::=|=>|\??=(?![=~])|:(?!:))[ \t]*)""")
+_VALUE = re.compile(rf"(?:[bBrRuU]?(?:{_LITERAL})|{_WORD})(?:[ \t]*\+[ \t]*(?:{_LITERAL}|{_WORD}))*+")
+# An unquoted literal begins after the scheme of a header, and ends before these.
+_BARE = re.compile(r"""(?:(?:[Bb]earer|[Bb]asic)[ \t]+)?(?=[^\s"'`{\[(<])""")
+_BLANK = re.compile(r"\s|\Z")
+_BARE_END = re.compile(r"""["'`](?=[\s,;:)\]}>]|$)|[,;&](?=["']?[A-Za-z_][A-Za-z0-9_.-]*+["']?[=:])|\s|\Z""")
+_REFERENCE = re.compile(r"\$(?:\{(?P<inner>[A-Za-z_]\w*)[^}\s]*\}|(?P<plain>[A-Za-z_]\w*))")
+_CODE = re.compile(r"[A-Za-z_][\w.]*(?:::\w+)*[(\[]|//|/\*|(?:[A-Za-z_]+(?:(?:\.|->|::)[A-Za-z_]+)+|undefined)\Z")
+_LETTERS = re.compile(r"[^\W\d_]+\Z")
 _PART = re.compile(rf"{_LITERAL}|[A-Za-z_][A-Za-z0-9_.]*+")
 _NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
@@ -58,35 +73,139 @@ def name_score(name: str) -> float:
 
 def value_score(value: str) -> float:
     """0 to 1: bits a character against what random letters and digits would have."""
-    if len(value) < MIN_ASSIGN or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
+    return _score(len(value), Counter(value), value)
+
+
+def _score(n: float, counts: dict[str, float], ends: str) -> float:
+    """The score of a value by its length, its characters, and its text or (of a long one) its ends."""
+    if n < MIN_ASSIGN or PLACEHOLDER.match(ends) or any(map(str.isspace, counts)):
         return 0.0
-    counts = Counter(value)
-    bits = -sum(c / len(value) * math.log2(c / len(value)) for c in counts.values())
-    classes = sum(any(map(f, value)) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    return min(1.0, bits / math.log2(min(len(value), 64)) * (0.55 + 0.15 * classes))
+    bits = -sum(c / n * math.log2(c / n) for c in counts.values())
+    classes = sum(any(map(f, counts)) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+    return min(1.0, bits / math.log2(min(n, 64)) * (0.55 + 0.15 * classes))
+
+
+_ENDS = 64
+
+
+class _Value:
+    """A literal of the text, or several values joined.
+
+    It holds no text but its ends; joined values share their parts, so that a
+    text's values take memory in proportion to the text.
+    """
+
+    __slots__ = ("span", "parts", "n", "counts", "ends", "literals")
+
+    def __init__(self, n: float, counts: dict[str, float], ends: str, span: tuple[int, int] | None = None, parts: tuple[_Value, ...] = ()):
+        self.span, self.parts, self.n, self.counts, self.ends = span, parts, n, counts, ends
+        self.literals = min(sum(x.literals for x in parts), 1 << 30) if parts else 1
+
+    @staticmethod
+    def literal(text: str, a: int, b: int, counts: dict[str, float] | None = None) -> _Value:
+        ends = text[a:b] if b - a <= 2 * _ENDS else text[a : a + _ENDS] + text[b - _ENDS : b]
+        return _Value(b - a, Counter(text[a:b]) if counts is None else counts, ends, (a, b))
+
+    @staticmethod
+    def joined(parts: list[_Value]) -> _Value:
+        if len(parts) == 1:
+            return parts[0]
+        n, ends, counts = 0.0, "", Counter()
+        for x in parts:
+            n, ends = n + x.n, ends + x.ends
+            for c, k in x.counts.items():
+                counts[c] += k
+        if n > 2 * _ENDS:
+            ends = ends[:_ENDS] + ends[-_ENDS:]
+        if n > 1e15:  # names that double each other: shares are all that counts by then
+            counts, n = {c: k / n * 1e12 for c, k in counts.items()}, 1e12
+        return _Value(n, counts, ends, parts=tuple(parts))
+
+    def score(self) -> float:
+        return _score(self.n, self.counts, self.ends)
+
+
+class _Bare:
+    """Unquoted literals of a text, asked for by ascending places; one may hold the next, up to the same end."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.run = self.cut = self.last = (0, 0)
+        self.counts: Counter = Counter()
+
+    def at(self, place: int) -> _Value | None:
+        """The unquoted literal at a place, if one is there."""
+        text = self.text
+        m = _BARE.match(text, place)
+        if not m:
+            return None
+        a = m.end()
+        if text[a] == "#" and text[a - 1] in " \t":
+            return None
+        if not self.run[0] <= a < self.run[1]:
+            self.run = a, _BLANK.search(text, a).start()
+        if not self.cut[0] <= a <= self.cut[1]:
+            self.cut = a, _BARE_END.search(text, a, self.run[1]).start()
+        b = self.cut[1]
+        for closing, opening in ((",;\"'`", ""), (")", "("), ("]", "["), ("}", "{"), (",;\"'`", "")):
+            if b > a and text[b - 1] in closing and (not opening or text.find(opening, a, b) < 0):
+                while b > a and text[b - 1] in closing:
+                    b -= 1
+        if b == a or _CODE.match(text, a, b):
+            return None
+        # A plain word before others begins a sentence.
+        if _LETTERS.match(text, a, b) and text[self.run[1] : self.run[1] + 2].lstrip(" \t")[:1].isalpha():
+            return None
+        if self.last[1] == b and self.last[0] <= a:
+            self.counts = self.counts - Counter(text[self.last[0] : a])
+        else:
+            self.counts = Counter(text[a:b])
+        self.last = a, b
+        return _Value.literal(text, a, b, self.counts)
 
 
 def lexed_secrets(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
     """Spans (code points) of literals whose value ends up in a sensitive name."""
-    if "=" not in text and ":" not in text or '"' not in text and "'" not in text:
+    if "=" not in text and ":" not in text:
         return []
-    constants: dict[str, tuple[str, tuple[tuple[int, int], ...]]] = {}
-    found = set()
-    for m in _PAIR.finditer(text):
-        value, spans = [], []
-        base = m.start("value")
-        for p in _PART.finditer(m["value"]):
-            if p[0][0] in "\"'":
-                value.append(p[0][1:-1])
-                spans.append((base + p.start() + 1, base + p.end() - 1))
-            elif p[0] in constants:
-                value.append(constants[p[0]][0])
-                spans.extend(constants[p[0]][1])
-        whole = "".join(value)
-        if spans and len(spans) <= 64 and len(whole) <= 65536:
-            constants[m["name"]] = whole, tuple(spans)
-            if name_score(m["name"]) + value_score(whole) >= threshold and value_score(whole) > 0:
-                found.update(spans)
+    constants: dict[str, _Value] = {}
+    secret: list[_Value] = []
+    bare = _Bare(text)
+    here = 0
+    while m := _PAIR.search(text, here):
+        here = base = m.end()
+        parts: list[_Value] = []
+        if v := _VALUE.match(text, base):
+            read = list(_PART.finditer(v[0]))
+            quoted = any(p[0][0] in "\"'" for p in read)
+            if quoted or any(p[0] in constants for p in read) and not text[v.end() : v.end() + 1].strip(" \t\r\n,;)]}#"):
+                for p in read:
+                    if p[0][0] in "\"'":
+                        parts.append(_Value.literal(text, base + p.start() + 1, base + p.end() - 1))
+                    elif p[0] in constants:
+                        parts.append(constants[p[0]])
+                here = v.end()
+        if not parts and (r := _REFERENCE.match(text, base)) and not text[r.end() : r.end() + 1].strip(" \t\r\n,;)]}#\"'"):
+            name = r["inner"] or r["plain"]
+            if name in constants:
+                parts = [constants[name]]
+        elif not parts and (literal := bare.at(base)):
+            parts = [literal]
+        if parts:
+            whole = _Value.joined(parts)
+            if whole.literals <= 64 and whole.n <= 65536:
+                constants[m["name"]] = whole
+                own = name_score(m["name"])
+                if own + 1 >= threshold and own + (score := whole.score()) >= threshold and score > 0:
+                    secret.append(whole)
+    found, seen = set(), set()
+    while secret:
+        x = secret.pop()
+        if id(x) not in seen:
+            seen.add(id(x))
+            secret.extend(x.parts)
+            if x.span:
+                found.add(x.span)
     return sorted(found)
 
 
@@ -101,7 +220,9 @@ def all_secrets(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     """(base spans, base and added spans), by start and then kind."""
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     base = sorted(base_secrets(text), key=order)
-    return base, sorted({*base, *(("assign", a, b) for a, b in lexed_secrets(text))}, key=order)
+    starts, reach = [a for _, a, _ in base], [0, *itertools.accumulate((b for _, _, b in base), max)]
+    added = [("assign", a, b) for a, b in lexed_secrets(text) if text[a - 1] in "\"'" or reach[bisect.bisect_right(starts, a)] < b]
+    return base, sorted({*base, *added}, key=order)
 
 
 def _join(spans: list[tuple[str, int, int]]) -> str:

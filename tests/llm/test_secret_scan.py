@@ -53,6 +53,20 @@ def test_lexer_follows_constants():
     assert secret_scan.lexed_secrets("{'db_pwd': 'Zx81-kQpf-77Tm'}") == [(12, 26)]
 
 
+def test_lexer_reads_unquoted_and_typed_values():
+    found = lambda text: [text[a:b] for a, b in secret_scan.lexed_secrets(text)]
+    for text in (
+        "DB_PWD=hunter2Xyz9", "export DB_PWD=hunter2Xyz9 && run", "private_key: hunter2Xyz9", "[db]\nauth = hunter2Xyz9 ; old", "auth=hunter2Xyz9\r\nx=1", "passphrase: hunter2Xyz9\n",
+        "db.passphrase=hunter2Xyz9", "pwd=hunter2Xyz9;user=bob", "?x=1&auth=hunter2Xyz9&y=2", "{db_pwd: hunter2Xyz9, user: bob}", '- "DB_PWD=hunter2Xyz9"', "auth: Bearer hunter2Xyz9", "SEED=hunter2Xyz9\nDB_PWD=${SEED}\n",
+        "DB_PWD ?= hunter2Xyz9", 'password: str = "hunter2Xyz9"', 'let pwd: String = "hunter2Xyz9";', "const PWD: &'static str = \"hunter2Xyz9\";", 'pwd: Optional[str]="hunter2Xyz9"', "pwd: str | None = 'hunter2Xyz9'",
+        'var pwd string = "hunter2Xyz9"', 'key_seed = "hunter2Xyz9"\npwd: str = key_seed\n', 'private_key: bytes = b"hunter2Xyz9"', "let auth: string = 'hunter2Xyz9'",
+    ):
+        assert found(text) == ["hunter2Xyz9"], text
+    assert found("auth: Zm9vYmFyYmF6cXV4MTI=\nprivate_key=ab+/cD12Ef==") == ["Zm9vYmFyYmF6cXV4MTI=", "ab+/cD12Ef=="]
+    for text in ("passphrase = getpass.getpass()", "pwd: ${DB_PASSWORD}", "auth: # later it changes2", "credentials = settings.credentials", "private: members only beyond here", "auth = load_auth(path)", "auth_url = hunter2Xyz9", "pwd: str", "a == hunter2Xyz9", "passphrase: changeme"):
+        assert found(text) == [], text
+
+
 def test_redaction(spark):
     rows = [(1, "so password=abcdefgh12 ends", 5), (2, None, 5), (3, "clean text", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n long")
