@@ -120,7 +120,7 @@ def slots(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int]]:
 
 def _cutter(path: str, max_len: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw_of = encoder(path).raw
+        raw_of = encoder(path).whole
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), ([], [], [], [], [])

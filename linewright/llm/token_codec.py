@@ -322,7 +322,7 @@ _BLOCKS = "part int, block long, data binary"
 def _writer(path: str, block: int, lanes: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        raw_of, end = encoder(path).raw, END_ID.to_bytes(4, "little")
+        raw_of, end = encoder(path).whole, END_ID.to_bytes(4, "little")
         waiting, entries, size, done, ordinal = [], [], 0, 0, 0
 
         def flush(whole: bool) -> pa.RecordBatch:

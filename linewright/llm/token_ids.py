@@ -3,8 +3,9 @@
 Byte-level BPE merges only inside the pieces that its pattern splits a text
 into.  A worker has the library's BPE model encode each distinct piece and keeps the
 ids of up to ``CACHE_PIECES`` pieces; ids of a text are those of its pieces
-in order.  Tests hold this against the library's encoding of whole texts.
-Special tokens in a text are ordinary text.
+in order.  As in the library, the tokenizer's added tokens are found first, each
+gives its one id, and the texts between them are encoded by themselves.  Tests hold this
+against the library's encoding of whole texts.
 """
 
 from __future__ import annotations
@@ -38,7 +39,15 @@ class PieceEncoder:
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path).model
+        whole = Tokenizer.from_file(path)
+        self.model = whole.model
+        added = whole.get_added_tokens_decoder()
+        # Tokens that take blanks or word bounds into account, or match normalised text, need the library's own matching.
+        plain = {t.content: struct.pack("<I", i) for i, t in added.items() if not (t.single_word or t.lstrip or t.rstrip)}
+        if len(plain) < len(added):
+            raise ValueError("added tokens that depend on what stands around them are not supported")
+        self.added = plain
+        self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(plain, key=len, reverse=True))) + ")").split if plain else None
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.letters = _byte_letters()
         self.cache: dict[str, bytes] = {}
@@ -47,8 +56,14 @@ class PieceEncoder:
         tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
         return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
+    def whole(self, text: str) -> bytes:
+        """The ids that the library gives a text, added tokens among them, as little-endian unsigned 32-bit integers."""
+        if self.parts is None or not any(t in text for t in self.added):
+            return self.raw(text)
+        return b"".join(self.added[x] if k % 2 else self.raw(x) for k, x in enumerate(self.parts(text)))
+
     def raw(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
+        """The ids of a text in which added tokens are ordinary text."""
         cache, out = self.cache, []
         for piece in self.split(text):
             try:

@@ -80,3 +80,18 @@ def test_pieces_equal_whole_texts():
     e = PieceEncoder(public_path())
     for text, ids in zip(odd, library(odd)):
         assert np.frombuffer(e.raw(text), dtype="<u4").tolist() == ids
+
+
+SPECIAL = [(1, "before<|endoftext|> after"), (2, "<|endoftext|>"), (3, "a<|endoftext|><|endoftext|>\n<|endoftext"), (4, "plain words")]
+
+
+def test_added_tokens_as_in_the_library(spark):
+    t = Tokenizer.from_file(public_path())
+    want = {i: [*t.encode(x, add_special_tokens=False).ids, 0] for i, x in SPECIAL}
+    assert 50256 in want[1]
+    rows = packing.pack(spark.createDataFrame(SPECIAL, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in rows} == {i: (len(x), zlib.crc32(np.array(x, dtype="<u4").tobytes())) for i, x in want.items()}
+    e, rng = PieceEncoder(public_path()), random.Random(1)
+    for _ in range(500):
+        text = "".join(rng.choice(["<|endoftext|>", "<|endoftext|>", " ", "\n", "a b", "<|", "|>", "  word", "'s", "é", "12"]) for _ in range(rng.randint(0, 9)))
+        assert np.frombuffer(e.whole(text), dtype="<u4").tolist() == t.encode(text, add_special_tokens=False).ids

@@ -65,3 +65,14 @@ def test_repetition_is_learned_and_damage_is_seen():
 def test_joined_checksums():
     for a, b in ((b"", b"x"), (b"abc", b""), (b"hello" * 9, b"world" * 5000)):
         assert C.crc32_joined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+def test_added_tokens_as_in_the_library(spark):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows, want, at = [(1, "before<|endoftext|> after"), (2, "<|endoftext|>"), (3, "plain words")], {}, 0
+    for i, x in rows:
+        ids = np.array([*t.encode(x, add_special_tokens=False).ids, 0], dtype="<u4")
+        want[i] = at, len(ids), zlib.crc32(ids.tobytes())
+        at += len(ids)
+    got = C.read_ids(C.write_ids(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in got} == want
