@@ -30,9 +30,10 @@ from .scratch import sent_if_small, stored, without_ids
 class LineLimits:
     min_words: int = 10
     max_repeat_percent: int = 20
-    #: A line may be in this many documents of its host, and in this share of them.
+    #: A line may be in this many documents of its host, at every size of the host.
     max_documents: int = 20
-    max_share: float = 0.001
+    #: If above 0, a line may also be in this share of its host's documents, which lets more pass as a host grows.
+    max_share: float = 0.0
     #: A document that keeps a smaller share of its words, or fewer than min_words, is depleted.
     min_left_share: float = 0.3
 
@@ -128,15 +129,15 @@ def line_verdicts(docs: DataFrame, limits: LineLimits = LineLimits(), host: str
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("host"), F.col("text").cast("string"))
     seen = stored(rows.mapInArrow(describe, _SCHEMA), "lines")
     lines = seen.select("doc_id", "host", "text_key", F.explode(F.arrays_zip("line_keys", "line_words")).alias("l")).select("doc_id", "host", "text_key", F.col("l.line_keys").alias("line_key"), F.col("l.line_words").alias("words"))
-    size = seen.groupBy("host").agg(F.countDistinct("text_key").alias("host_docs"))
     common = (
         lines.groupBy("host", "line_key", "text_key").agg(F.min("doc_id").alias("doc_id"))
         .groupBy("host", "line_key").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
         .filter(F.col("docs") > limits.max_documents)
-        .join(size, "host")
-        .filter(F.col("docs") > F.col("host_docs") * limits.max_share)
-        .select("host", "line_key", "first_doc")
     )
+    if limits.max_share > 0:
+        size = seen.groupBy("host").agg(F.countDistinct("text_key").alias("host_docs"))
+        common = common.join(size, "host").filter(F.col("docs") > F.col("host_docs") * limits.max_share)
+    common = common.select("host", "line_key", "first_doc")
     removed = stored(lines.join(common, ["host", "line_key"]).filter("doc_id <> first_doc").select("doc_id", "line_key", "words"), "removed-lines")
     lost = removed.groupBy("doc_id").agg(F.sum("words").alias("lost"))
     left = F.col("n_words") - F.coalesce(F.col("lost"), F.lit(0))

@@ -71,3 +71,11 @@ def test_common_lines_are_removed(spark):
     assert all(got[i].kept for i in range(30)) and not any(got[i].kept for i in range(30, 35))
     left = {r.doc_id: r.text for r in line_quality.clean_lines(docs, limits).collect()}
     assert left == {0: rows[0][1]} | {i: body(i) for i in range(1, 30)}
+
+
+def test_common_lines_are_removed_from_large_hosts(spark):
+    own = "array_join(transform(sequence(1, 12), k -> translate(concat(id, 'x', k), '0123456789', 'abcdefghij')), ' ')"
+    notice = "this shared line has some words that only some of them hold"
+    docs = spark.range(30_000, numPartitions=4).selectExpr("id AS doc_id", f"if(id < 28, concat('{notice}\\n', {own}), {own}) AS text", "'en' AS lang", "'hot' AS source")
+    removed = line_quality.line_verdicts(docs)[1]
+    assert sorted(r.doc_id for r in removed.collect()) == list(range(1, 28))
