@@ -95,11 +95,10 @@ class _Value:
     text's values take memory in proportion to the text.
     """
 
-    __slots__ = ("span", "parts", "n", "counts", "ends", "literals")
+    __slots__ = ("span", "parts", "n", "counts", "ends")
 
     def __init__(self, n: float, counts: dict[str, float], ends: str, span: tuple[int, int] | None = None, parts: tuple[_Value, ...] = ()):
         self.span, self.parts, self.n, self.counts, self.ends = span, parts, n, counts, ends
-        self.literals = min(sum(x.literals for x in parts), 1 << 30) if parts else 1
 
     @staticmethod
     def literal(text: str, a: int, b: int, counts: dict[str, float] | None = None) -> _Value:
@@ -193,11 +192,10 @@ def lexed_secrets(text: str, threshold: float = THRESHOLD) -> list[tuple[int, in
             parts = [literal]
         if parts:
             whole = _Value.joined(parts)
-            if whole.literals <= 64 and whole.n <= 65536:
-                constants[m["name"]] = whole
-                own = name_score(m["name"])
-                if own + 1 >= threshold and own + (score := whole.score()) >= threshold and score > 0:
-                    secret.append(whole)
+            constants[m["name"]] = whole
+            own = name_score(m["name"])
+            if own + 1 >= threshold and own + (score := whole.score()) >= threshold and score > 0:
+                secret.append(whole)
     found, seen = set(), set()
     while secret:
         x = secret.pop()

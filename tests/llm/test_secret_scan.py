@@ -67,6 +67,17 @@ def test_lexer_reads_unquoted_and_typed_values():
         assert found(text) == [], text
 
 
+def test_long_values_are_read_whole():
+    found = lambda text: [text[a:b] for a, b in secret_scan.lexed_secrets(text)]
+    parts = [f"q8Zr{k:03d}Lm" for k in range(100)]
+    assert found("db_pwd = " + " + ".join(f'"{x}"' for x in parts)) == parts
+    long = "q8Zr4Lm2Xw7Tn5Vb" * 5000
+    assert found(f'private_key = "{long}"\n') == [long]
+    assert found(f'seed = "old"\nseed = "{long}"\npassphrase = seed\n') == [long]
+    doubled = 's = "q8Zr4Lm2Xw7Tn5Vb"\n' + "s = s + s\n" * 3000 + "db_pwd = s\n"
+    assert found(doubled) == ["q8Zr4Lm2Xw7Tn5Vb"]
+
+
 def test_redaction(spark):
     rows = [(1, "so password=abcdefgh12 ends", 5), (2, None, 5), (3, "clean text", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n long")
