@@ -3,27 +3,37 @@
 Jaccard distance is a metric, so for a pivot p two documents within r of each
 other differ by at most r in their distances to p.
 
-1. Documents with equal shingle sets become one point.
-2. Points are dealt into regions that overlap: each point goes to a region
-   for each shingle in its prefix, which holds n - ceil(t n) + 1 shingles in
-   one global order.  Two points that link share a prefix shingle, hence a
-   region: that replication is exact.  The order goes by how frequent a shingle's words are,
-   and puts shingles that are themselves frequent last, both by a bounded
-   sample; it changes the cost, never the result.
-3. Each region takes a pivot.  All its points measure their distance to
-   it: what their prefixes can have in common bounds it from both sides, and where the bounds
-   leave room for a link the whole sets give it exactly.  Points within r link
-   to the pivot.  Links contract to components.
-4. A region whose points form one component is done.  The others recur with
-   the unused point nearest to the last pivot as the next one.  After the last round each region
-   joins the pairs that are in different components and inside each other's
-   triangle window to its last pivot, each pair with the same bounds and exact check.
-
-Only counts and flags reach the driver.  Defined results: null, empty and blank texts
+1. Documents with equal shingle sets are one point, known by a 64-bit key of its set.
+2. Points that cannot link leave.  A point links only if at least t of its
+   shingles are held by another point, so one with more than 1 - t of them lonely
+   goes.  That is counted twice: first on the shingles of a hash range (which can only
+   show too few lonely ones), then on all shingles of the points that are left.  Counting
+   moves packed arrays of (hash, key), one entry a shingle and task, so no shingle is hot.
+   What remains of a point is its shared shingles, the rarest first, and the number of lonely ones.
+3. Voronoi levels.  Some points become pivots.  Every active point measures its exact
+   distance to all pivots and has the nearest as its home; a cell is what is within r of its
+   home.  Points within r of a pivot link to it, which contracts components.  If x is in the cell of p
+   and y within r of x, then d(y, p) <= d(x, p) + r <= 2 r: so each point within 2 r
+   of a pivot is replicated to its region, and cells join with their regions where triangle window,
+   sizes and sketches leave room for a link between different components.  All
+   links of points in cells are then known.  The others stay active and recur with new pivots, for as
+   long as a level's cells hold ``MIN_CELL`` points a pivot.
+4. In the last level every active point is a pivot, and its region the ball of radius r.  Points meet there by the
+   prefixes of their shingles (h - ceil(t n) + 1 of the shared ones, rarest first; two points that
+   link share one).  Regions contract to stars first; regions that still hold several components
+   join, under the same bounds.
+
+Sketches are parities of the shingles by hash: each differing shingle flips one bit, so the
+bits that differ bound the symmetric difference from below.  Pairs that all bounds
+leave are counted on their whole sets.
+
+Only pivots (at most ``PIVOTS``, of at most ``PIVOT_SHINGLES`` shingles together), counts and flags
+reach the driver.  Defined results: null, empty and blank texts
 have an empty set and link with nothing; texts of fewer words than the
-shingle width have their whole sequence as their only shingle; repeated
-doc_ids are one document (the sets of its rows link as documents do, and its
-rows carry the smallest component of them); other columns are ignored; an empty table gives no rows.
+shingle width have their whole sequence as their only shingle; rows of a repeated
+doc_id are one document (the sets of all of them link, and all carry one component); rows without a doc_id
+are documents of their own that lend no id to a component (null if there is none); equal rows get equal
+answers; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,218 +42,356 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .components import connected
-from .scratch import stored, without_ids
+from .scratch import sent_if_small, stored, without_ids
 
-#: Documents in the sample that finds frequent shingles and words, and the most that it may name of each.
-ORDER_SAMPLE = 4_000
-ORDER_SIZE = 1 << 16
-#: Rounds of pivots before what remains of a region joins by windows.
-PIVOT_ROUNDS = 2
 PERCENT = 80
+#: The first count takes shingles whose lowest byte is below this, about 0.3 of them.
+FIRST_COUNT = 77
+#: Entries that one task of the counts holds at a time, and a mapper before it sends them.
+BUCKET_ENTRIES = 2_000_000
+HELD_ENTRIES = 3_000_000
+#: Pivots of a level, what they hold together, and the points a pivot that make another level worth its while.
+PIVOTS = 64
+PIVOT_SHINGLES = 2_000_000
+MIN_CELL = 4
+#: Bits of the largest sketch.
+SKETCH_BITS = 4096
 
-
-#: A prefix holds shingles as numbers that sort in the global order: a bit for frequent ones, the level of their words, the upper bits of their hash.
-_LATE = np.uint64(1 << 63)
-_LEVEL_BITS, _HASH_BITS = 7, 56
-
-
-class Order:
-    """What the sample says: frequent shingles, and words with a level from 1 that grows with the logarithm of their count."""
-
-    def __init__(self, late: np.ndarray, words: np.ndarray, levels: np.ndarray):
-        self.late, self.words, self.levels = late, words, levels
-
-    def level(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(words), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, self.levels[at], 0)
-
-    def places(self, data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each row its distinct shingles, and their places in the order, both unsorted."""
-        starts, ends, row = K.word_spans(data, offsets)
-        words = K.range_hashes(K.LOWER[data], starts, ends) if len(starts) else np.zeros(0, dtype=np.uint64)
-        sums = np.concatenate(([0], np.cumsum(self.level(words))))
-        hashed, at = K.shingles(words, row, width)
-        levels = sums[at + width] - sums[at]
-        n = len(offsets) - 1
-        cut = np.searchsorted(row[at], np.arange(n + 1)) if len(at) else np.zeros(n + 1, dtype=np.int64)
-        by_row = np.searchsorted(row, np.arange(n + 1))
-        for k in range(n):
-            own, level = hashed[cut[k] : cut[k + 1]], levels[cut[k] : cut[k + 1]]
-            if len(own):
-                own, first = np.unique(own, return_index=True)
-                level = level[first]
-            elif by_row[k] < by_row[k + 1]:
-                few = words[by_row[k] : by_row[k + 1]]
-                own, level = K.range_hashes(few, np.zeros(1, dtype=np.int64), np.array([len(few)])), np.zeros(1, dtype=np.int64)
-            place = (np.minimum(level, 127).astype(np.uint64) << np.uint64(_HASH_BITS)) | (own >> np.uint64(64 - _HASH_BITS))
-            if len(self.late) and len(own):
-                place[self.late[np.minimum(np.searchsorted(self.late, own), len(self.late) - 1)] == own] |= _LATE
-            yield own, place
-
-
-def _prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
-
-
-def _signer(order: Order, percent: int, width: int):
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0)
-            for first, end, data, offsets in K.chunks(batch, "text"):
-                n = end - first
-                sizes, sums, others, prefix, at = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64), [], np.zeros(n + 1, dtype=np.int32)
-                for k, (own, place) in enumerate(order.places(data, offsets, width)):
-                    if len(own):
-                        sizes[k], sums[k], others[k] = len(own), K.mix(own).sum(), K.mix(own ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()
-                        prefix.append(np.sort(place)[: _prefix_length(len(own), percent)])
-                        at[k + 1] = len(prefix[-1])
-                values = np.concatenate(prefix).view(np.int64) if prefix else np.zeros(0, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, n), pa.array(sizes), pa.array(sums.view(np.int64)), pa.array(others.view(np.int64)), pa.ListArray.from_arrays(np.cumsum(at, dtype=np.int32), pa.array(values))],
-                    names=["doc_id", "n", "f1", "f2", "prefix"],
-                )
-
-    return sign
+_SIGNS = "doc_id long, n long, key long"
 
 
-def _counted(width: int):
-    """Shingles (kind 0) once a document, and words (kind 1) with their counts in a batch."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, offsets in K.chunks(batch, "text"):
-                starts, ends, _ = K.word_spans(data, offsets)
-                if not len(starts):
-                    continue
-                for kind, found in ((0, np.concatenate(list(K.shingle_sets(data, offsets, width)))), (1, K.range_hashes(K.LOWER[data], starts, ends))):
-                    keys, n = np.unique(found, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, dtype=np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "g", "n"])
+def point_key(own: np.ndarray) -> int:
+    """The key of a set of shingle hashes; 0 only for the empty one."""
+    return int((K.mix(own ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum() | np.uint64(1)).view(np.int64)) if len(own) else 0
 
-    return count
 
-
-def _setter(width: int):
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signer(width: int):
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in K.chunks(batch, "text"):
-                own = list(K.shingle_sets(data, offsets, width))
-                at = np.cumsum([0, *map(len, own)], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.ListArray.from_arrays(at, pa.array(np.concatenate(own).view(np.int64)))], names=["id", "s"])
-
-    return sets
-
-
-def sampled_order(docs: DataFrame, width: int) -> Order:
-    rows = docs.count()
-    none = np.zeros(0, dtype=np.uint64)
-    if not rows:
-        return Order(none, none, none.astype(np.int64))
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(min(1_000_000, 1_000_000 * ORDER_SAMPLE // rows + 1)))
-    counts = sample.mapInArrow(_counted(width), "kind int, g long, n long").groupBy("kind", "g").agg(F.sum("n").alias("n")).filter("n >= 4")
-    tops = [counts.filter(F.col("kind") == kind).orderBy(F.desc("n"), "g").limit(ORDER_SIZE).select("g", "n").toPandas() for kind in (0, 1)]
-    late, words = (t["g"].to_numpy(dtype=np.int64).view(np.uint64) for t in tops)
-    by_word = np.argsort(words)
-    levels = np.floor(np.log2(tops[1]["n"].to_numpy(dtype=float))).astype(np.int64) if len(words) else none.astype(np.int64)
-    return Order(np.sort(late), words[by_word], levels[by_word])
-
-
-def _most(common: Column) -> Column:
-    """The most that a and b can have in common, if their prefixes have at most this much in common.
+                sets = list(K.shingle_sets(data, offsets, width))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array([len(s) for s in sets], pa.int64()), pa.array([point_key(s) for s in sets], pa.int64())], names=["doc_id", "n", "key"])
 
-    Places up to the end of the prefix that ends first are known in both; beyond it that point has only its rest.
-    """
-    rest = F.when(F.col("edge_a") < F.col("edge_b"), F.col("n_a") - F.col("p_a")).when(F.col("edge_b") < F.col("edge_a"), F.col("n_b") - F.col("p_b"))
-    rest = F.coalesce(rest, F.greatest(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")))
-    return F.least(F.col("n_a"), F.col("n_b"), common + rest)
-
-
-def _linkable(most: Column, percent: int) -> Column:
-    return 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
+    return sign
 
 
-def _star_pairs(regions: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Each pivot with each point of its regions (g, x, pivot): a, b, n_a, n_b, least, most.
+def _entries(width: int, bits: int, first: bool):
+    """Packed entries by bucket, which the highest bits of a shingle's hash name.
 
-    What two points share that have not met lies in these regions: in those that a leads (counted), or in others, where neither has more than it has.
+    The first count needs one entry a shingle: its point's key, or 0 if several points here hold it.
+    The second has an entry for each shingle and point.
     """
-    facts = regions.groupBy("x").agg(F.count("*").alias("shared"), F.count(F.when(F.col("x") == F.col("pivot"), 1)).alias("led")).join(sizes, "x")
-    pairs = regions.filter("x <> pivot").groupBy(F.col("pivot").alias("a"), F.col("x").alias("b")).agg(F.count("*").alias("least"))
-    for v in "ba":
-        pairs = pairs.join(facts.select(F.col("x").alias(v), *(F.col(c).alias(f"{c}_{v}") for c in ("n", "p", "edge", "shared", "led"))), v)
-    return pairs.withColumn("most", _most(F.col("least") + F.least(F.col("shared_b") - F.col("least"), F.col("shared_a") - F.col("led_a"))))
 
-
-def _measured(pairs: DataFrame, rows: DataFrame, percent: int, width: int) -> DataFrame:
-    """pairs (a, b, n_a, n_b, least, most) with the exact number of common shingles wherever a and b might link."""
-    pairs = stored(pairs.select("a", "b", "n_a", "n_b", "least", "most"), "pairs")
-    close = pairs.filter(_linkable(F.col("most"), percent))
-    needed = close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stored(rows.join(needed, "doc_id", "left_semi").mapInArrow(_setter(width), "id long, s array<long>").dropDuplicates(["id"]), "sets")
-    left, right = (sets.select(F.col("id").alias(v), F.col("s").alias(f"s_{v}")) for v in "ab")
-    exact = close.join(right, "b").join(left, "a").withColumn("common", F.size(F.array_intersect("s_a", "s_b")).cast("long"))
-    return pairs.filter(~_linkable(F.col("most"), percent)).unionByName(exact.select("a", "b", "n_a", "n_b", F.col("common").alias("least"), F.col("common").alias("most")))
+    def pack(hashes: list[np.ndarray], keys: list[np.ndarray]) -> pa.RecordBatch:
+        h, k = np.concatenate(hashes), np.concatenate(keys)
+        order = np.lexsort((k, h))
+        h, k = h[order], k[order]
+        new = np.concatenate(([True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])))
+        h, k = h[new], k[new]
+        if first:
+            starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            alone = np.diff(np.append(starts, len(h))) == 1
+            h, k = h[starts], np.where(alone, k[starts], 0)
+        bucket = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), dtype=np.int64)
+        cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        ends = np.append(cuts[1:], len(h))
+        low = (h >> np.uint64(32 - bits)).astype(np.uint32) if first else h
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int64()), pa.array([low[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()), pa.array([k[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())], names=["bucket", "hashes", "keys"])
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, keys, held = [], [], 0
+        for batch in batches:
+            wanted = None if first else batch.column(1).to_pylist()
+            for row, _, data, offsets in K.chunks(batch, "text"):
+                for j, own in enumerate(K.shingle_sets(data, offsets, width)):
+                    if not len(own):
+                        continue
+                    key = point_key(own)
+                    if first:
+                        own = own[(own & np.uint64(0xFF)) < np.uint64(FIRST_COUNT)]
+                    elif wanted[row + j] is not None and wanted[row + j] != key:
+                        continue
+                    hashes.append(own)
+                    keys.append(np.full(len(own), key, dtype=np.int64))
+                    held += len(own)
+                    if held >= HELD_ENTRIES:
+                        yield pack(hashes, keys)
+                        hashes, keys, held = [], [], 0
+        if held:
+            yield pack(hashes, keys)
+
+    return collect
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], kind) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, keys) of each bucket, from batches sorted by bucket."""
+    now, hashes, keys = None, [], []
+    for batch in batches:
+        for bucket, h, k in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            if bucket != now and hashes:
+                yield np.concatenate(hashes), np.concatenate(keys)
+                hashes, keys = [], []
+            now = bucket
+            hashes.append(np.frombuffer(h.as_buffer(), dtype=kind))
+            keys.append(np.frombuffer(k.as_buffer(), dtype=np.int64))
+    if hashes:
+        yield np.concatenate(hashes), np.concatenate(keys)
+
+
+def _lonely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of a bucket each point holds alone."""
+    for h, k in _buckets(batches, np.uint32):
+        order = np.argsort(h, kind="stable")
+        h, k = h[order], k[order]
+        starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        low, high = np.minimum.reduceat(k, starts), np.maximum.reduceat(k, starts)
+        keys, n = np.unique(low[(low == high) & (low != 0)], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["key", "lonely"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of a bucket that several points hold, by point, with the number of those points."""
+    for h, k in _buckets(batches, np.uint64):
+        order = np.lexsort((k, h))
+        h, k = h[order], k[order]
+        new = np.concatenate(([True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])))
+        h, k = h[new], k[new]
+        starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        size = np.diff(np.append(starts, len(h)))
+        df = np.repeat(size, size)
+        h, k, df = h[df > 1], k[df > 1], df[df > 1]
+        order = np.argsort(k, kind="stable")
+        h, k, df = h[order], k[order], df[order]
+        starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, dtype=np.int64)
+        for a in range(0, len(starts), 5_000):  # rows a batch
+            some = np.append(starts[a : a + 5_000], starts[a + 5_000] if a + 5_000 < len(starts) else len(k))
+            part = slice(some[0], some[-1])
+            lists = pa.ListArray.from_arrays((some - some[0]).astype(np.int32), pa.StructArray.from_arrays([pa.array(df[part].astype(np.int64)), pa.array(h[part].view(np.int64))], names=["df", "g"]))
+            yield pa.RecordBatch.from_arrays([pa.array(k[some[:-1]], pa.int64()), lists], names=["key", "part"])
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, n, s with h, the number of shared shingles, and their sketch (a power of two of bits, at least 2 n up to the most)."""
+    for batch in batches:
+        sets = batch.column(2)
+        offsets = sets.offsets.to_numpy()
+        values = sets.values.to_numpy().view(np.uint64)
+        sketches = []
+        for k, n in enumerate(batch.column(1).to_pylist()):
+            m = min(SKETCH_BITS, 1 << max(6, (2 * n - 1).bit_length()))
+            own = values[offsets[k] : offsets[k + 1]]
+            bits = (np.bincount(((own >> np.uint64(20)) & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8)
+            sketches.append(np.packbits(bits, bitorder="little").view(np.int64))
+        at = np.cumsum([0, *map(len, sketches)], dtype=np.int32)
+        flat = np.concatenate(sketches) if sketches else np.zeros(0, dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets), pa.int64()), sets, pa.ListArray.from_arrays(at, pa.array(flat))], names=["key", "n", "h", "s", "sk"])
+
+
+def _packed(rows: DataFrame, mapper, buckets: int) -> DataFrame:
+    entries = rows.mapInArrow(mapper, "bucket long, hashes binary, keys binary")
+    return entries.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+
+
+def _bits_for(entries: int) -> int:
+    return min(31, max(0, (max(1, entries) // BUCKET_ENTRIES).bit_length()))
+
+
+def linkable_points(rows: DataFrame, signs: DataFrame, percent: int, width: int) -> DataFrame:
+    """key, n, h, s (shared shingles, rarest first) and sk of the points that may link."""
+    classes = stored(signs.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
+    bits = _bits_for((classes.agg(F.sum("n")).first()[0] or 0) * FIRST_COUNT // 256)
+    alone = _packed(rows.select("doc_id", "text"), _entries(width, bits, True), 1 << bits).mapInArrow(_lonely, "key long, lonely long").groupBy("key").agg(F.sum("lonely").alias("lonely"))
+    left = stored(classes.join(alone, "key", "left").filter(100 * (F.col("n") - F.coalesce("lonely", F.lit(0))) >= percent * F.col("n")).select("key", "rep", "n"), "left")
+    size = left.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("shingles")).first()
+    # Rows without a doc_id cannot be looked up: all of them take part.
+    wanted = sent_if_small(left.filter("rep is not null").select(F.col("rep").alias("doc_id"), F.col("key").alias("want")), size["rows"])
+    chosen = rows.join(wanted, "doc_id").select("text", "want").unionByName(rows.filter("doc_id is null").select("text", F.lit(None).cast("long").alias("want")))
+    bits = _bits_for(size["shingles"])
+    parts = _packed(chosen, _entries(width, bits, False), 1 << bits).mapInArrow(_shared, "key long, part array<struct<df:long,g:long>>")
+    whole = parts.groupBy("key").agg(F.sort_array(F.flatten(F.collect_list("part"))).alias("p"))  # as large as the point's set
+    known = whole.join(left.select("key", "n"), "key").filter(100 * F.size("p") >= percent * F.col("n")).select("key", "n", F.expr("transform(p, x -> x.g)").alias("s"))
+    return stored(known.mapInArrow(_sketched, "key long, n long, h long, s array<long>, sk array<long>"), "points")
+
+
+def _bounded(percent: int) -> Column:
+    """Whether a pair with n, h and sk of a and b may link: by the sizes, the lonely shingles and the sketches."""
+    both = F.col("n_a") + F.col("n_b")
+    most = F.least("h_a", "h_b")
+    # The larger sketch folds to the size of the other; the sizes differ by 1 / t at most, so once is enough.
+    half = lambda v: f"cast(size(sk_{v}) / 2 as int)"
+    fold = lambda v: f"zip_with(slice(sk_{v}, 1, {half(v)}), slice(sk_{v}, {half(v)} + 1, {half(v)}), (p, q) -> p ^ q)"
+    flips = lambda x, y: f"aggregate(zip_with({x}, {y}, (p, q) -> bit_count(p ^ q)), 0, (s, c) -> s + c)"
+    differ = F.expr(f"case when size(sk_a) = size(sk_b) then {flips('sk_a', 'sk_b')} when size(sk_a) = 2 * size(sk_b) then {flips(fold('a'), 'sk_b')} when 2 * size(sk_a) = size(sk_b) then {flips('sk_a', fold('b'))} else 0 end")
+    lonely = both - F.col("h_a") - F.col("h_b")
+    sizes = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
+    return sizes & (100 * most >= percent * (both - most)) & ((100 + percent) * (lonely + differ) <= (100 - percent) * both)
+
+
+def _side(rows: DataFrame, v: str, id_: str = "key", extra: tuple[str, ...] = ()) -> DataFrame:
+    return rows.select(F.col(id_).alias(v), *(F.col(c).alias(f"{c}_{v}") for c in ("n", "h", "sk", *extra)))
+
+
+def _linked(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by their whole sets."""
+    left, right = (points.select(F.col("key").alias(v), F.col("s").alias(f"s_{v}"), F.col("n").alias(f"n_{v}")) for v in "ab")
+    common = F.size(F.array_intersect("s_a", "s_b"))
+    return pairs.select("a", "b").join(right, "b").join(left, "a").filter(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
+
+
+def _measure(pivots: list[tuple[int, int, np.ndarray]], percent: int):
+    """Each point's nearest pivot, and all pivots within 2 r, with the numbers of common shingles."""
+    hashes = np.concatenate([s for _, _, s in pivots]).view(np.uint64)
+    owner = np.repeat(np.arange(len(pivots)), [len(s) for _, _, s in pivots])
+    order = np.argsort(hashes, kind="stable")
+    hashes, owner = hashes[order], owner[order]
+    known, starts, sizes = np.unique(hashes, return_index=True, return_counts=True)
+    names, n_of = np.array([k for k, _, _ in pivots], dtype=np.int64), np.array([n for _, n, _ in pivots], dtype=np.int64)
+    far = max(0, 2 * percent - 100)  # the least similarity, in percent, of points at distance 2 r
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets = batch.column(4).offsets.to_numpy()
+            values = batch.column(4).values.to_numpy().view(np.uint64)
+            n = batch.column(1).to_numpy()
+            homes, near = [], []
+            for k in range(len(n)):
+                own = values[offsets[k] : offsets[k + 1]]
+                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                at = at[known[at] == own]
+                size = sizes[at]
+                hit = np.repeat(starts[at] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum()) if len(at) else np.zeros(0, dtype=np.int64)
+                common = np.bincount(owner[hit], minlength=len(pivots))
+                whole = n[k] + n_of - common
+                # Ties of the distance go to the smallest key; pivots come by key.
+                best = int(np.argmax(common / whole))
+                close = np.flatnonzero((100 * common >= far * whole) & (common > 0))
+                homes.append(int(names[best]) if 100 * common[best] >= percent * whole[best] else None)
+                near.append([{"p": int(names[j]), "common": int(common[j]), "whole": int(whole[j])} for j in close])
+            kind = pa.list_(pa.struct([("p", pa.int64()), ("common", pa.int64()), ("whole", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(homes, pa.int64()), pa.array(near, kind)], names=["key", "n", "h", "sk", "home", "near"])
+
+    return measure
+
+
+def _pivots(active: DataFrame) -> list[tuple[int, int, np.ndarray]]:
+    """The active points with the smallest keys, which are as good as random: at most PIVOTS, and PIVOT_SHINGLES shingles."""
+    heads, room = [], PIVOT_SHINGLES
+    for r in active.filter(F.col("h") <= PIVOT_SHINGLES // 16).select("key", "h").orderBy("key").limit(PIVOTS).collect():
+        room -= r["h"]
+        if room >= 0:
+            heads.append(r["key"])
+    if not heads:
+        return []
+    rows = active.filter(F.col("key").isin(heads)).select("key", "n", "s").collect()
+    return sorted((r["key"], r["n"], np.array(r["s"], dtype=np.int64)) for r in rows)
+
+
+def _joined_pivots(linked: list[tuple[int, int]], pivots: list[int]) -> dict[int, int]:
+    """The smallest pivot of each pivot's component, from pairs that one point links."""
+    label = {p: p for p in pivots}
+    for _ in pivots:
+        for a, b in linked:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
+def voronoi_level(active: DataFrame, points: DataFrame, pivots: list[tuple[int, int, np.ndarray]], percent: int) -> tuple[DataFrame, DataFrame, int]:
+    """(links, the points outside all cells, how many points are in cells) of one level."""
+    spark = points.sparkSession
+    r = 1 - percent / 100 + 1e-9
+    seen = stored(active.select("key", "n", "h", "sk", "s").mapInArrow(_measure(pivots, percent), "key long, n long, h long, sk array<long>, home long, near array<struct<p:long,common:long,whole:long>>"), "measured")
+    close = F.filter("near", lambda x: 100 * x["common"] >= percent * x["whole"])
+    stars = seen.filter("home is not null").select("home", F.explode(F.transform(close, lambda x: x["p"])).alias("p")).filter("home <> p").distinct().collect()  # at most PIVOTS squared
+    label = _joined_pivots([tuple(x) for x in stars], [k for k, _, _ in pivots])
+    labels = spark.createDataFrame(sorted(label.items()), "home long, label long")
+    known = seen.join(F.broadcast(labels), "home", "left").withColumn("label", F.coalesce("label", "key"))
+    links = known.filter("home is not null and key <> label").select(F.col("key").alias("a"), F.col("label").alias("b"))
+    regions = known.select("key", "n", "h", "sk", "home", "label", F.explode("near").alias("x")).select("key", "n", "h", "sk", "home", "label", F.col("x.p").alias("p"), (1 - F.col("x.common") / F.col("x.whole")).alias("d"))
+    cells = _side(regions.filter("home = p"), "a", "key", ("label", "d", "p")).withColumnRenamed("p_a", "p")
+    around = _side(regions, "b", "key", ("label", "d", "p", "home")).withColumnRenamed("p_b", "p")
+    # A pair with two homes meets in the region of either: the smaller pivot's takes it, unless it lies outside that.
+    met = cells.join(around, "p").filter((F.col("label_a") != F.col("label_b")) & (F.abs(F.col("d_a") - F.col("d_b")) <= r) & _bounded(percent))
+    crossing = _linked(stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met"), points, percent)
+    rest = stored(active.join(seen.filter("home is null").select("key"), "key", "left_semi"), "active")
+    return stored(links.unionByName(crossing), "level-links"), rest, seen.filter("home is not null").count()
+
+
+def _last_level(active: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """All links between different components of the active points, or chains that stand for them."""
+    needed = F.col("h") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
+    prefixes = active.select("key", F.explode(F.slice("s", F.lit(1), needed.cast("int"))).alias("g"))
+    heads = prefixes.groupBy("g").agg(F.min("key").alias("pivot"), F.max("key").alias("top")).filter("pivot <> top").select("g", "pivot")
+    regions = stored(prefixes.join(heads, "g"), "regions")
+    facts = active.select("key", "n", "h", "sk")
+    stars = regions.filter("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
+    met = stars.join(_side(facts, "b"), "b").join(_side(facts, "a"), "a").filter(_bounded(percent)).select("a", "b")
+    links = stored(_linked(stored(met, "stars"), points, percent), "star-links")
+    labels = connected(links)
+    known = stored(regions.select("g", "key").join(labels.select(F.col("id").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key")), "labelled")
+    # A region whose points are one component is done.
+    open_ = known.groupBy("g").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h").select("g")
+    rest = stored(known.join(open_, "g", "left_semi").join(facts, "key"), "open-regions")
+    one, two = (_side(rest, v, "key", ("label", "g")).withColumnRenamed(f"g_{v}", "g") for v in "ab")
+    left = one.join(two, "g").filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & _bounded(percent)).select("a", "b").distinct()
+    return links.unionByName(_linked(stored(left, "left-pairs"), points, percent))
+
+
+def point_links(points: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between points whose components are those of all links."""
+    active, found = points, []
+    # Up to a similarity of one half, 2 r reaches all points, and regions would say nothing.
+    while percent > 50 and (pivots := _pivots(active)):
+        links, active, covered = voronoi_level(active, points, pivots, percent)
+        found.append(links)
+        if covered < MIN_CELL * len(pivots):
+            break
+    found.append(_last_level(active, points, percent))
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = 5) -> DataFrame:
     """doc_id, n_shingles and component_id of each document of docs (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    signs = stored(rows.mapInArrow(_signer(sampled_order(rows, width), percent, width), "doc_id long, n long, f1 long, f2 long, prefix array<long>"), "signs")
-    classes = signs.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
-    member = stored(signs.select("doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"]), "members")
-    heads = member.filter("doc_id = rep and n > 0").select("doc_id", "n", "f1", "f2").distinct()
-    points = signs.join(heads, ["doc_id", "n", "f1", "f2"], "left_semi").select("doc_id", "n", "prefix")
-    by_shingle = Window.partitionBy("g")
-    # The last place as a number whose signed order is the global one.
-    edge = F.element_at("prefix", -1).bitwiseXOR(F.lit(-(1 << 63)))
-    dealt = points.select("doc_id", "n", F.size("prefix").alias("p"), edge.alias("edge"), F.explode("prefix").alias("g")).withColumns({"pivot": F.min("doc_id").over(by_shingle), "top": F.max("doc_id").over(by_shingle)})
-    regions = stored(dealt.filter("pivot <> top").select("g", F.col("doc_id").alias("x"), "pivot", "n", "p", "edge"), "regions")
-    sizes = stored(regions.select("x", "n", "p", "edge").distinct(), "sizes")
-    regions = regions.select("g", "x", "pivot")
-    both = F.col("n_a") + F.col("n_b")
-    pairs = _star_pairs(regions, sizes)
-    links, labels = None, None
-    for round_ in range(PIVOT_ROUNDS + 1):
-        measured = stored(_measured(pairs, rows, percent, width), "measured")
-        new = measured.filter(100 * F.col("least") >= percent * (both - F.col("least"))).select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        labels = connected(links)
-        if round_ == PIVOT_ROUNDS:
-            break
-        # How far each point is from the pivot, and its component; a pivot has met all of its region and leaves it.
-        near, far = 1 - F.col("most") / (both - F.col("most")), 1 - F.col("least") / (both - F.col("least"))
-        known = regions.join(measured.select(F.col("a").alias("pivot"), F.col("b").alias("x"), near.alias("near"), far.alias("far")), ["pivot", "x"])
-        known = stored(known.join(labels.select(F.col("id").alias("x"), "label"), "x", "left").withColumn("label", F.coalesce("label", "x")), "known")
-        open_ = known.groupBy("g").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.min(F.struct("far", "x")).alias("next")).filter("l <> h").select("g", F.col("next.x").alias("next"))
-        rest = stored(known.join(open_, "g"), "open-regions")
-        if rest.isEmpty():
-            break
-        # Two points of different components that have not met have every region that they share among the open ones.
-        if round_ < PIVOT_ROUNDS - 1:
-            regions = rest.select("g", "x", F.col("next").alias("pivot"))
-            pairs = _star_pairs(regions, sizes)
-        else:
-            # Nobody shares more than it has in open regions; few pairs can link with that little.
-            rest = rest.join(rest.groupBy("x").agg(F.count("*").alias("shared")).join(sizes, "x"), "x")
-            one, two = (rest.select("g", F.col("x").alias(v), *(F.col(c).alias(f"{c}_{v}") for c in ("near", "far", "label", "n", "p", "edge", "shared"))) for v in "ab")
-            r = 1 - percent / 100 + 1e-9
-            met = one.join(two, "g").filter(
-                (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & (F.col("near_a") - F.col("far_b") <= r) & (F.col("near_b") - F.col("far_a") <= r)
-                & (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a")) & _linkable(_most(F.least("shared_a", "shared_b")), percent)
-            )
-            counted = met.groupBy("a", "b", "n_a", "n_b", "p_a", "p_b", "edge_a", "edge_b").agg(F.count("*").alias("least"))
-            pairs = counted.withColumn("most", _most(F.col("least"))).filter(_linkable(F.col("most"), percent))
-    found = labels.select(F.col("id").alias("rep"), F.col("label"))
-    return member.join(found, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("label", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
+    signs = stored(rows.select("doc_id", "text").mapInArrow(_signer(width), _SIGNS), "signs")
+    links = point_links(linkable_points(rows, signs, percent, width), percent)
+    # Different sets under one doc_id belong to one document.
+    several = signs.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("top")).filter("a <> top").select("doc_id", "a")
+    same = signs.filter("n > 0").join(several, "doc_id").filter("a <> key").select("a", F.col("key").alias("b"))
+    labels = connected(links.unionByName(same))
+    classes = signs.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
+    labelled = stored(classes.join(labels.select(F.col("id").alias("key"), "label"), "key", "left").withColumn("linked", F.col("label").isNotNull()).withColumn("label", F.coalesce("label", "key")), "labelled-classes")
+    heads = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
+    # A class of one row without links is its own component.
+    own = stored(labelled.filter("linked or rows > 1").join(heads, "label").select("key", "component_id"), "components")
+    out = signs.join(sent_if_small(own, own.count()), "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    # Rows without a set, under a doc_id that has one elsewhere.
+    blank = signs.filter("n = 0 and doc_id is not null").select("doc_id").distinct()
+    other = stored(signs.filter("n > 0").select("doc_id", "key").join(blank, "doc_id", "left_semi").join(own, "key").groupBy(F.col("doc_id").alias("_blank_id")).agg(F.min("component_id").alias("_component")), "blank-rows")
+    out = out.join(sent_if_small(other, other.count()), (F.col("n_shingles") == 0) & (F.col("doc_id") == F.col("_blank_id")), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("_component", "component_id").alias("component_id"))
 
 
 def keep_first_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The document with the smallest doc_id of each component, with all columns of docs."""
-    found = jaccard_components(docs, percent)
-    return without_ids(docs, found.filter("component_id <> doc_id"), "copies")
+    """The document with the smallest doc_id of each component, with all columns of docs.
+
+    Of rows with the same doc_id the first by text stays; rows without a doc_id stay.
+    """
+    found = stored(jaccard_components(docs, percent), "found")
+    kept = without_ids(docs, found.filter("component_id <> doc_id"), "copies")
+    again = stored(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again_id")), "repeated-ids")
+    many = again.count()
+    if not many:
+        return kept
+    hit = kept["doc_id"] == F.col("_again_id")
+    side = sent_if_small(again, many)
+    order = F.struct(F.coalesce(F.col("text").cast("string"), F.lit("")), F.xxhash64(*[F.col(c) for c, t in kept.dtypes if not t.startswith("map")]))
+    firsts = kept.join(side, hit, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*kept.columns), order).alias("row")).select("row.*")
+    return kept.join(side, hit, "left_anti").unionByName(firsts)

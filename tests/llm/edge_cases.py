@@ -16,5 +16,19 @@ def frame(spark):
     return spark.createDataFrame([(i, t, "en" if i % 3 else None, "s" if i % 2 else None, 7, "x", i) for i, t in enumerate(TEXTS)], SCHEMA)
 
 
+def repeated_rows():
+    """(doc_id, text, source): rows that repeat whole, ids that repeat with other texts, rows without an id."""
+    near = BASE.replace("word30", "changed")
+    other = " ".join(f"other{i}" for i in range(60))
+    return [
+        (1, BASE, "s"), (1, other, "s"), (2, near, "s"), (3, other.replace("other3 ", "third "), "s"), (4, "alone " * 12, "s"), (4, "alone " * 12, "s"), (4, "", "s"), (5, None, None), (5, None, None), (6, "", "s"), (6, near, "s"),
+        (None, BASE, "s"), (None, "no id here " * 5, "s"), (None, "no id here " * 5, "s"), (None, None, None), *[(7, BASE.replace("word5 ", "fifth "), "s")] * 10,
+    ]
+
+
+def repeated(spark):
+    return spark.createDataFrame([(i, t, "en", s, 7, "x", 1) for i, t, s in repeated_rows()], SCHEMA)
+
+
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)

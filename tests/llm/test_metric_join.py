@@ -82,3 +82,32 @@ def test_chains_variants_and_shared_passages(spark):
     rng.shuffle(texts)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     check(metric_join.jaccard_components(docs), list(enumerate(texts)))
+
+
+def test_repeated_rows_and_ids(spark):
+    """Rows of one doc_id are one document; equal rows get equal answers."""
+    rows = edge_cases.repeated_rows()
+    got = [tuple(r) for r in metric_join.jaccard_components(edge_cases.repeated(spark)).collect()]
+    n = lambda t: len(sets_of(t))
+    # 1 holds two texts, which link it with 2, 6 and 7 and with 3; rows without an id lend none.
+    component = lambda i, t: 1 if i in (1, 2, 3, 6, 7) or t == edge_cases.BASE else i
+    order = lambda x: tuple((v is not None, v or 0) for v in x)
+    assert sorted(got, key=order) == sorted([(i, n(t), component(i, t)) for i, t, _ in rows], key=order)
+    kept = [r.doc_id for r in metric_join.keep_first_of_each(edge_cases.repeated(spark)).collect()]
+    assert sorted(k for k in kept if k is not None) == [1, 4, 5] and kept.count(None) == 4
+
+
+def test_large_group_of_near_copies(spark):
+    """Points at like distances from each other, more than one level, cells of several pivots."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(4000)]
+    texts = []
+    for size, length, edits in ((300, 120, 5), (200, 60, 2), (60, 300, 9)):
+        base = rng.choices(words, k=length)
+        for _ in range(size):
+            v = list(base)
+            for _ in range(rng.randint(0, edits)):
+                v[rng.randrange(len(v))] = rng.choice(words)
+            texts.append(" ".join(v))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check(metric_join.jaccard_components(docs), list(enumerate(texts)))
