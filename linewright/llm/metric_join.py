@@ -53,8 +53,8 @@ PERCENT = 80
 #: The first count takes shingles whose lowest byte is below this, about 0.3 of them.
 FIRST_COUNT = 77
 #: Entries that one task of the counts holds at a time, and a mapper before it sends them.
-BUCKET_ENTRIES = 2_000_000
-HELD_ENTRIES = 3_000_000
+BUCKET_ENTRIES = 1_000_000
+HELD_ENTRIES = 1_000_000
 #: Pivots of a level, what they hold together, and the points a pivot that make another level worth its while.
 PIVOTS = 64
 PIVOT_SHINGLES = 2_000_000
@@ -87,8 +87,8 @@ def _entries(width: int, bits: int, first: bool):
     The second has an entry for each shingle and point.
     """
 
-    def pack(hashes: list[np.ndarray], keys: list[np.ndarray]) -> pa.RecordBatch:
-        h, k = np.concatenate(hashes), np.concatenate(keys)
+    def pack(hashes: list[np.ndarray], keys: list[int]) -> pa.RecordBatch:
+        h, k = np.concatenate(hashes), np.repeat(np.array(keys, dtype=np.int64), [len(x) for x in hashes])
         order = np.lexsort((k, h))
         h, k = h[order], k[order]
         new = np.concatenate(([True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])))
@@ -117,7 +117,7 @@ def _entries(width: int, bits: int, first: bool):
                     elif wanted[row + j] is not None and wanted[row + j] != key:
                         continue
                     hashes.append(own)
-                    keys.append(np.full(len(own), key, dtype=np.int64))
+                    keys.append(key)
                     held += len(own)
                     if held >= HELD_ENTRIES:
                         yield pack(hashes, keys)
