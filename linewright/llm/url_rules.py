@@ -2,18 +2,19 @@
 
 A fixed rule fits a host and its subdomains if the path starts with the
 rule's; the longest wins.  Other urls are judged by association rules: Spark's FP-growth mines
-combinations of url tokens that imply a label, rules below the support,
-confidence and lift limits go, and so do rules that a shorter one already
-covers at no less confidence.  Each rule is indexed by its rarest token; a url tries only the
-rules of its own tokens, and the one with the highest confidence decides.
+combinations of url tokens that imply a label.  A rule needs ``min_urls`` labelled urls that bear it
+out, at every size of the table; a certainty factor, which is the share of the way from its label's base rate
+to 1 that its confidence goes, so that rare and common labels reach it alike; and a lower confidence limit (Wilson's)
+above that base rate.  Rules that a rule of one token less covers at no less
+certainty go.  Each rule is indexed by the token that the fewest rules have; a url tries only the
+rules of its own tokens, and the most certain one decides.
 
-A url has at most nine tokens (host, domain, top level, first label, first
-path segment, extension, depth, query keys, fragment), so there are at most 2**9 / min_support frequent combinations:
-the collected rules are bounded whatever the number of labelled urls.
+Up to ``RULES_SENT`` rules go to every task; more are joined by their index tokens.
 
 Defined results: a null url, or one without ``://``, has an empty host and
-path, fits no rule and is allowed; unlabelled or null-labelled urls do not train;
-without labelled urls every url that no fixed rule fits is allowed; repeated rows are judged alike; other columns are ignored.
+path, fits no rule and is allowed; unlabelled or null-labelled urls do not train; where
+one label is all there is nothing tells urls apart, so there are no rules; urls that no rule
+fits are allowed; repeated rows are judged alike; other columns are ignored; empty pages give no rows.
 """
 
 from __future__ import annotations
@@ -27,27 +28,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import stored
+
 # The rules as (verdict, host/path).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Rules that may be sent to every task.
+RULES_SENT = 20_000
+
+
 @dataclass(frozen=True)
 class MiningLimits:
-    #: Share of the labelled urls, and their number.
-    min_support: float = 0.002
     min_urls: int = 30
-    min_confidence: float = 0.6
-    min_lift: float = 1.5
+    min_certainty: float = 0.1
+    #: Standard errors of the lower confidence limit.
+    errors: float = 1.64
 
 
 @dataclass(frozen=True)
 class MinedRule:
     tokens: frozenset
     block: bool
-    confidence: float
-    support: float
+    certainty: float
+    urls: int
 
 
 def host_of(url: Column) -> Column:
@@ -99,24 +105,38 @@ def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], names=["items"])
 
 
-def mine(labelled: DataFrame, limits: MiningLimits = MiningLimits()) -> list[MinedRule]:
-    """Pruned rules from labelled (url, block)."""
+_RULES = "tokens array<string>, block boolean, certainty double, urls long"
+
+
+def mine(labelled: DataFrame, limits: MiningLimits = MiningLimits()) -> DataFrame:
+    """Pruned rules (sorted tokens, block, certainty, urls that bear it out) from labelled (url, block)."""
     from pyspark.ml.fpm import FPGrowth
 
-    items = labelled.filter("block is not null").select(F.col("url").cast("string"), F.col("block").cast("boolean")).mapInArrow(_tokenise, "items array<string>")
-    n = items.count()
-    if n < limits.min_urls:
-        return []
-    model = FPGrowth(itemsCol="items", minSupport=max(limits.min_support, limits.min_urls / n), minConfidence=limits.min_confidence).fit(items)
-    found = model.associationRules.filter(F.col("consequent")[0].isin("=block", "=keep") & (F.col("lift") >= limits.min_lift) & ~F.exists("antecedent", lambda t: t.startswith("=")))
-    rules = [MinedRule(frozenset(r["antecedent"]), r["consequent"][0] == "=block", r["confidence"], r["support"]) for r in found.collect()]  # bounded, see above
-    rules.sort(key=lambda r: (len(r.tokens), -r.confidence, sorted(r.tokens)))
-    kept: dict[frozenset, MinedRule] = {}
-    for r in rules:
-        covers = (kept.get(r.tokens - {t}) for t in r.tokens)
-        if not any(c and c.block == r.block and c.confidence >= r.confidence for c in covers):
-            kept[r.tokens] = r
-    return list(kept.values())
+    spark = labelled.sparkSession
+    items = stored(labelled.filter("block is not null").select(F.col("url").cast("string"), F.col("block").cast("boolean")).mapInArrow(_tokenise, "items array<string>"), "url-items")
+    n, bad = items.agg(F.count("*"), F.count(F.when(F.array_contains("items", "=block"), 1))).first()
+    if not 0 < bad < n:
+        return spark.createDataFrame([], _RULES)
+    base = {"=block": bad / n, "=keep": 1 - bad / n}
+    least = min(b + limits.min_certainty * (1 - b) for b in base.values())
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (limits.min_urls - 0.5) / n), minConfidence=least).fit(items)
+    found = model.associationRules.withColumn("label", F.col("consequent")[0]).filter(F.col("label").isin(*base) & ~F.exists("antecedent", lambda t: t.startswith("=")))
+    rate = F.when(F.col("label") == "=block", base["=block"]).otherwise(base["=keep"])
+    found = found.withColumns({"urls": F.round(F.col("support") * n).cast("long"), "seen": F.round(F.col("support") * n / F.col("confidence")), "rate": rate})
+    c, m, z = F.col("confidence"), F.col("seen"), limits.errors
+    lower = (c + z * z / (2 * m) - z * F.sqrt(c * (1 - c) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+    certainty = (c - F.col("rate")) / (1 - F.col("rate"))
+    good = found.filter((certainty >= limits.min_certainty) & (lower > F.col("rate")) & (F.col("urls") >= limits.min_urls))
+    rules = stored(good.select(F.array_sort("antecedent").alias("tokens"), (F.col("label") == "=block").alias("block"), certainty.alias("certainty"), "urls"), "url-rules")
+    shorter = rules.select("tokens", "block", "certainty", F.explode(F.transform("tokens", lambda t: F.array_remove("tokens", t))).alias("part"))
+    wider = rules.select(F.col("tokens").alias("part"), F.col("block").alias("same"), F.col("certainty").alias("known"))
+    covered = shorter.join(wider, "part").filter("block = same and known >= certainty").select("tokens", "block").distinct()
+    return stored(rules.join(covered, ["tokens", "block"], "left_anti").select("tokens", "block", "certainty", "urls"), "kept-url-rules")
+
+
+def _rank(r: MinedRule):
+    """The most certain rule first, then the one with the most urls."""
+    return -r.certainty, -r.urls, sorted(r.tokens), r.block
 
 
 def build_index(rules: Sequence[MinedRule]) -> dict[str, list[MinedRule]]:
@@ -126,7 +146,7 @@ def build_index(rules: Sequence[MinedRule]) -> dict[str, list[MinedRule]]:
         for t in r.tokens:
             often[t] += 1
     index: dict[str, list[MinedRule]] = defaultdict(list)
-    for r in sorted(rules, key=lambda r: (-r.confidence, -r.support, sorted(r.tokens))):
+    for r in sorted(rules, key=_rank):
         index[min(r.tokens, key=lambda t: (often[t], t))].append(r)
     return dict(index)
 
@@ -134,7 +154,7 @@ def build_index(rules: Sequence[MinedRule]) -> dict[str, list[MinedRule]]:
 def mined_verdict(url: str | None, index: dict[str, list[MinedRule]]) -> str:
     tokens = set(url_tokens(url))
     fit = [r for t in tokens for r in index.get(t, ()) if r.tokens <= tokens]
-    best = min(fit, key=lambda r: (-r.confidence, -r.support, sorted(r.tokens)), default=None)
+    best = min(fit, key=_rank, default=None)
     return "block" if best is not None and best.block else "allow"
 
 
@@ -149,12 +169,33 @@ def _judge(index: dict[str, list[MinedRule]]):
     return judge
 
 
-def judge_urls(pages: DataFrame, labelled: DataFrame, rules: Sequence[tuple[str, str]] = RULES, limits: MiningLimits = MiningLimits()) -> DataFrame:
+def _url_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(url_tokens(u.as_py())) for u in batch.column(0)], pa.list_(pa.string()))], names=["url", "own"])
+
+
+def joined_verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(judged_url, mined) of each url of urls that a rule fits, by a join on the rules' index tokens."""
+    often = rules.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    named = rules.select("*", F.explode("tokens").alias("token")).join(often, "token").groupBy("tokens", "block", "certainty", "urls").agg(F.min(F.struct("n", "token")).alias("least"))
+    index = named.select("tokens", "block", "certainty", "urls", F.col("least.token").alias("token"))
+    tried = urls.select("url").distinct().mapInArrow(_url_tokens, "url string, own array<string>").select("url", "own", F.explode("own").alias("token"))
+    fit = tried.join(index, "token").filter(F.size(F.array_except("tokens", "own")) == 0)
+    best = fit.groupBy("url").agg(F.min(F.struct((-F.col("certainty")).alias("c"), (-F.col("urls")).alias("u"), "tokens", "block")).alias("rule"))
+    return best.select(F.col("url").alias("judged_url"), F.when(F.col("rule.block"), "block").otherwise("allow").alias("mined"))
+
+
+def judge_urls(pages: DataFrame, labelled: DataFrame, rules: Sequence[tuple[str, str]] = RULES, limits: MiningLimits = MiningLimits(), rules_sent: int = RULES_SENT) -> DataFrame:
     """page_id, host, path, rule and verdict of each row of pages (page_id, url)."""
-    index = build_index(mine(labelled, limits))
+    mined = mine(labelled, limits)
     name, verdict = fixed_rule(F.col("host"), F.col("path"), rules)
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string")).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    return rows.withColumns({"rule": name, "verdict": verdict}).mapInArrow(_judge(index), "page_id long, host string, path string, rule string, verdict string")
+    rows = rows.withColumns({"rule": name, "verdict": verdict})
+    if mined.count() > rules_sent:
+        verdicts = joined_verdicts(rows.filter("verdict is null"), mined)
+        return rows.join(verdicts, rows["url"] == F.col("judged_url"), "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", "mined", F.lit("allow")).alias("verdict"))
+    known = [MinedRule(frozenset(r["tokens"]), r["block"], r["certainty"], r["urls"]) for r in mined.collect()]  # at most rules_sent
+    return rows.mapInArrow(_judge(build_index(known)), "page_id long, host string, path string, rule string, verdict string")
 
 
 def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:

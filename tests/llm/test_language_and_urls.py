@@ -1,4 +1,7 @@
+import itertools
+import math
 import zlib
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -74,3 +77,52 @@ def test_mined_rules(spark):
     none = url_rules.judge_urls(pages, labelled.limit(0)).collect()
     assert len(none) == len(odd) and {r.verdict for r in none if r.rule is None} == {"allow"}
     assert url_rules.judge_urls(pages.limit(0), labelled).count() == 0
+
+
+def brute_rules(rows, limits):
+    """All rules that the limits let through, by counting every combination of every url's tokens."""
+    seen, bad = Counter(), Counter()
+    for url, block in rows:
+        tokens = sorted(url_rules.url_tokens(url))
+        for k in range(1, len(tokens) + 1):
+            for part in itertools.combinations(tokens, k):
+                seen[part] += 1
+                bad[part] += block
+    n, base = len(rows), sum(b for _, b in rows) / len(rows)
+    found = {}
+    for part, m in seen.items():
+        for block, urls, rate in ((True, bad[part], base), (False, m - bad[part], 1 - base)):
+            c, z = urls / m, limits.errors
+            lower = (c + z * z / (2 * m) - z * math.sqrt(c * (1 - c) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+            if urls >= limits.min_urls and (c - rate) / (1 - rate) >= limits.min_certainty and lower > rate:
+                found[part, block] = (c - rate) / (1 - rate)
+    return {(p, b) for (p, b), c in found.items() if not any(found.get((p[:k] + p[k + 1 :], b), -1) >= c - 1e-12 for k in range(len(p)))}
+
+
+def test_rules_of_the_tables_against_brute_force(spark):
+    sf = SF.replace("0.001", "0.1")
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    labelled = url_rules.labelled_pages(pages, spark.read.parquet(f"{sf}/labels.parquet"))
+    limits = url_rules.MiningLimits()
+    mined = url_rules.mine(labelled, limits).collect()
+    wanted = brute_rules([(r.url, r.block) for r in labelled.collect()], limits)
+    assert {(tuple(r.tokens), r.block) for r in mined} == wanted and {b for _, b in wanted} == {True, False}
+    # Either way of matching gives the same verdicts, and rules decide some of each kind.
+    got = [tuple(r) for r in url_rules.judge_urls(pages, labelled).collect()]
+    joined = [tuple(r) for r in url_rules.judge_urls(pages, labelled, rules_sent=0).collect()]
+    assert sorted(got, key=str) == sorted(joined, key=str)
+    known = url_rules.build_index([url_rules.MinedRule(frozenset(r.tokens), r.block, r.certainty, r.urls) for r in mined])
+    fits = Counter(r.block for p in pages.collect() for r in [x for t in url_rules.url_tokens(p.url) for x in known.get(t, ())] if r.tokens <= set(url_rules.url_tokens(p.url)))
+    assert fits[True] and fits[False] and Counter(v for *_, rule, v in got if rule is None)["block"]
+
+
+def test_limits_hold_at_every_size_and_mix(spark):
+    """A host with few labels among many, and labels that mostly block."""
+    rare = [(f"http://bad.example/{k}", True) for k in range(40)]
+    many = [(f"http://h{k % 50}.fine.example/{k % 7}/{k}", k % 5 == 0) for k in range(20_000)]
+    toxic = [(f"http://h{k % 50}.most.example/{k}", k % 10 != 0) for k in range(2_000)] + [(f"http://good.example/{k}", False) for k in range(100)]
+    pages = spark.createDataFrame([(0, "http://bad.example/x"), (1, "http://h1.fine.example/1/x"), (2, "http://good.example/1/x"), (None, None), (0, "http://bad.example/x")], "page_id long, url string")
+    verdicts = lambda rows: [r.verdict for r in url_rules.judge_urls(pages, spark.createDataFrame(rows, "url string, block boolean")).orderBy("page_id").collect()]
+    assert verdicts(rare + many) == ["allow", "block", "block", "allow", "allow"]
+    assert verdicts(toxic)[-1] == "allow"
+    assert set(verdicts(rare)) == {"allow"}
