@@ -13,7 +13,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_quality.line_verdicts(_table(spark, sf_dir, "documents"))[0]
+    return line_quality.line_verdicts(_table(spark, sf_dir, "documents"))
 
 
 def op2_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,8 +56,8 @@ def test_whole_table(spark):
 
 def test_edges(spark):
     docs = edge_cases.frame(spark)
-    check(line_quality.line_verdicts(docs)[0], docs)
-    assert line_quality.line_verdicts(edge_cases.empty(spark))[0].count() == 0
+    check(line_quality.line_verdicts(docs), docs)
+    assert line_quality.line_verdicts(edge_cases.empty(spark)).count() == 0
     assert line_quality.clean_lines(docs).columns == docs.columns
 
 
@@ -67,7 +67,7 @@ def test_common_lines_are_removed(spark):
     rows = [(i, f"{body(i)}\n{notice.upper() if i % 2 else notice}", "s", "h") for i in range(30)] + [(i, f"{notice}\nend of {i}", "s", "h") for i in range(30, 35)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     limits = line_quality.LineLimits(max_documents=20)
-    got = check(line_quality.line_verdicts(docs, limits)[0], docs, limits)
+    got = check(line_quality.line_verdicts(docs, limits), docs, limits)
     assert all(got[i].kept for i in range(30)) and not any(got[i].kept for i in range(30, 35))
     left = {r.doc_id: r.text for r in line_quality.clean_lines(docs, limits).collect()}
     assert left == {0: rows[0][1]} | {i: body(i) for i in range(1, 30)}
@@ -77,5 +77,22 @@ def test_common_lines_are_removed_from_large_hosts(spark):
     own = "array_join(transform(sequence(1, 12), k -> translate(concat(id, 'x', k), '0123456789', 'abcdefghij')), ' ')"
     notice = "this shared line has some words that only some of them hold"
     docs = spark.range(30_000, numPartitions=4).selectExpr("id AS doc_id", f"if(id < 28, concat('{notice}\\n', {own}), {own}) AS text", "'en' AS lang", "'hot' AS source")
-    removed = line_quality.line_verdicts(docs)[1]
-    assert sorted(r.doc_id for r in removed.collect()) == list(range(1, 28))
+    changed = line_quality.line_verdicts(docs).filter("n_removed_words > 0")
+    assert sorted(r.doc_id for r in changed.collect()) == list(range(1, 28))
+
+
+def test_repeated_rows_and_ids(spark):
+    """Equal rows count once and lose their words once; an id with several texts is judged text by text."""
+    body = lambda i: " ".join(f"own{i}x{k}" for k in range(60))
+    notice = "one shared line of these seven words"
+    rows = [(i, f"{body(i)}\n{notice}", "s") for i in range(25)] * 3 + [(25, f"{body(25)}\n{notice}", "s")] * 10 + [(25, "too short", "s"), (25, f"{notice}\nanother text", "s"), (None, f"{body(99)}\n{notice}", "s"), (None, "too short", None)]
+    docs = spark.createDataFrame([(i, t, "en", h, 1) for i, t, h in rows], "doc_id long, text string, lang string, source string, row_key long")
+    got = line_quality.line_verdicts(docs).collect()
+    assert len(got) == len(rows)
+    by = {(r.doc_id, r.n_words): (r.kept, r.n_removed_words) for r in got}
+    assert by == {(0, 67): (True, 0)} | {(i, 67): (True, 7) for i in [*range(1, 26), None]} | {(25, 2): (False, 0), (25, 9): (False, 7), (None, 2): (False, 0)}
+    left = sorted((str(r.doc_id), r.text) for r in line_quality.clean_lines(docs).collect())
+    kept = [(0, rows[0][1])] * 3 + [(i, body(i)) for i in range(1, 25)] * 3 + [(25, body(25))] * 10 + [(None, body(99))]
+    assert left == sorted((str(i), t) for i, t in kept)
+    odd = edge_cases.repeated(spark)
+    assert line_quality.line_verdicts(odd).count() == odd.count() and line_quality.clean_lines(odd).columns == odd.columns
