@@ -6,12 +6,13 @@ expression of quoted literals and names joined by ``+``, or an unquoted literal:
 stands up to the next blank (or the next pair, or a quote that closes around the pair), unless it is a
 known constant, a reference, a call or the first word of a sentence.  Literals bound to a name
 are constants; a later pair that refers to the name takes its value (and the
-span of its literals).  Each pair is scored by how sensitive its target name is
+span of its literals), and so does an earlier one if the name was not bound by then.  Each pair is scored by how sensitive its target name is
 and by how random its value looks; literals above the threshold are spans
 of kind ``assign`` beside the base ones.
 
 Defined results: null and empty texts have no spans; equal added and base
-spans are listed once; unquoted literals inside a base span are not listed again; constants hold within one document; other columns are ignored.
+spans are listed once; unquoted literals inside a base span are not listed again; constants hold within one document; repeated rows get the same answer; texts are read whole, in
+time and memory in proportion to their length; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -86,6 +87,9 @@ def _score(n: float, counts: dict[str, float], ends: str) -> float:
 
 
 _ENDS = 64
+#: An unquoted literal up to this long may be a name that is bound further on.
+_LONGEST_NAME = 256
+_NAME = re.compile(_WORD)
 
 
 class _Value:
@@ -169,8 +173,16 @@ def lexed_secrets(text: str, threshold: float = THRESHOLD) -> list[tuple[int, in
         return []
     constants: dict[str, _Value] = {}
     secret: list[_Value] = []
+    waiting: dict[str, list[tuple[str, _Value | None]]] = {}  # by a name that is not bound yet: the pair's name, and the literal that the name looked like
     bare = _Bare(text)
     here = 0
+
+    def bind(name: str, whole: _Value) -> None:
+        constants[name] = whole
+        own = name_score(name)
+        if own + 1 >= threshold and own + (score := whole.score()) >= threshold and score > 0:
+            secret.append(whole)
+
     while m := _PAIR.search(text, here):
         here = base = m.end()
         parts: list[_Value] = []
@@ -188,15 +200,31 @@ def lexed_secrets(text: str, threshold: float = THRESHOLD) -> list[tuple[int, in
             name = r["inner"] or r["plain"]
             if name in constants:
                 parts = [constants[name]]
+            else:
+                waiting.setdefault(name, []).append((m["name"], None))
         elif not parts and (literal := bare.at(base)):
             parts = [literal]
+            if literal.n <= _LONGEST_NAME and _NAME.fullmatch(text, *literal.span):
+                waiting.setdefault(text[slice(*literal.span)], []).append((m["name"], literal))
         if parts:
-            whole = _Value.joined(parts)
-            constants[m["name"]] = whole
-            own = name_score(m["name"])
-            if own + 1 >= threshold and own + (score := whole.score()) >= threshold and score > 0:
-                secret.append(whole)
-    found, seen = set(), set()
+            bind(m["name"], _Value.joined(parts))
+    # Names that are bound further on.
+    bound, no_literal = [x for x in waiting if x in constants], set()
+    while bound:
+        name = bound.pop()
+        for target, literal in waiting.pop(name, ()):
+            value = constants[name]
+            if value is literal:
+                continue
+            if literal is not None:
+                no_literal.add(id(literal))
+            if literal is not None and constants.get(target) is not literal:
+                if name_score(target) + value.score() >= threshold and value.score() > 0:
+                    secret.append(value)
+                continue
+            bind(target, value)
+            bound.append(target)
+    found, seen = set(), no_literal
     while secret:
         x = secret.pop()
         if id(x) not in seen:

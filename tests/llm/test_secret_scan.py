@@ -82,3 +82,21 @@ def test_redaction(spark):
     rows = [(1, "so password=abcdefgh12 ends", 5), (2, None, 5), (3, "clean text", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n long")
     assert [r.text for r in secret_scan.redact_secrets(df).orderBy("doc_id").collect()] == ["so [secret] ends", None, "clean text"]
+
+
+def test_names_bound_further_on():
+    found = lambda text: [text[a:b] for a, b in secret_scan.lexed_secrets(text)]
+    assert found("db_pwd: ${SEED}\nSEED: hunter2Xyz9\n") == ["hunter2Xyz9"]
+    assert found('client_passphrase = seed_value\nseed_value = "hunter2Xyz9"\n') == ["hunter2Xyz9"]
+    assert found("db_pwd=$A\nA=$B\nB=$C\nC=hunter2Xyz9\n") == ["hunter2Xyz9"]
+    assert found("db_pwd=$A\nA=$B\nB=$A\n") == [] and found("color=$A\nA=hunter2Xyz9\n") == []
+    # Many names in a row resolve in one pass, backwards and forwards.
+    chain = "".join(f"n{k}x=$n{k + 1}x\n" for k in range(20_000)) + "n20000x=hunter2Xyz9\n"
+    assert found("db_pwd=$n0x\n" + chain) == ["hunter2Xyz9"]
+
+
+def test_repeated_rows_and_ids(spark):
+    docs = edge_cases.repeated(spark)
+    got = secret_scan.digest(secret_scan.find_secrets(docs)).collect()
+    assert len(got) == docs.count() and {r.spans for r in got} == {""}
+    assert secret_scan.redact_secrets(docs).collect() == docs.collect()
