@@ -1,4 +1,7 @@
-"""A tolerant HTML reader: text blocks with the path of elements that holds each, and the stream of structural tokens."""
+"""A tolerant HTML reader: text blocks, and the tree of block elements that holds them.
+
+Time and memory are in proportion to the page, however deep or broken its markup.
+"""
 
 from __future__ import annotations
 
@@ -33,19 +36,28 @@ _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+#: Elements deeper than this belong to the one at this depth.
+MAX_DEPTH = 40
+
+
 @dataclass
 class Element:
     name: str
     key: str
     skip: bool
     apart: bool = False  # an inline element to skip inside text that stays: the text around it is one block
+    inside: str = ""  # "article" or "main" if it is or stands in one
+    node: list | None = None  # the children of the nearest block element
+    depth: int = 0
 
 
 @dataclass(frozen=True)
 class Block:
-    path: str
     text: str
     skip: bool
+    inside: str
+    #: How many of the characters stand in links.
+    linked: int
 
 
 def _element(name: str, attrs: str, parent_skip: bool) -> Element:
@@ -66,35 +78,39 @@ def _element(name: str, attrs: str, parent_skip: bool) -> Element:
     return Element(name, f"{name}.{re.sub('[0-9]+', '0', named)}" if named else name, skip)
 
 
-def read(page: str | None) -> tuple[list[Block], list[str]]:
-    """(text blocks in page order, structural tokens).
+def read(page: str | None) -> tuple[list[Block], list]:
+    """(text blocks in page order, tree).
 
     A block is the text between two boundaries of block elements, with character
-    references decoded, white space turned into one space and trimmed.
+    references decoded, white space turned into one space and trimmed.  The tree is the list of
+    the top elements; an element is [key, children], a child an element or the index of a block.
     """
     blocks: list[Block] = []
-    tokens: list[str] = []
+    tree: list = []
     stack: list[Element] = []
     parts: list[str] = []
     held: list[list[str]] = []
+    open_names: dict[str, int] = {}
+    linked = 0
 
     def flush() -> None:
+        nonlocal linked
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                holders = [e for e in stack if e.name not in INLINE]
-                blocks.append(Block("/".join(e.key for e in holders), text, bool(stack) and stack[-1].skip))
-                tokens.append("#")
+                (stack[-1].node if stack else tree).append(len(blocks))
+                blocks.append(Block(text, bool(stack) and stack[-1].skip, stack[-1].inside if stack else "", min(linked, len(text))))
+        linked = 0
 
     def close(index: int) -> None:
         while len(stack) > index:
             e = stack[-1]
             if e.name not in INLINE or e.apart:
                 flush()
-            if e.name not in INLINE:
-                tokens.append(f"</{e.key}>")
             stack.pop()
+            for n in {e.name, e.key.split(".")[0]}:
+                open_names[n] -= 1
             if e.apart:
                 parts[:] = held.pop()
 
@@ -105,18 +121,20 @@ def read(page: str | None) -> tuple[list[Block], list[str]]:
         at = m.end()
         if m["text"] is not None:
             parts.append(m["text"])
+            if open_names.get("a"):
+                linked += len(m["text"].strip())
             continue
         name = m["name"] or m["name2"]
         if name is None:
             continue
         name = name.lower()
         if m["end"] or m["end2"]:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if open_names.get(name) else ():
                 if stack[k].name == name or stack[k].key.split(".")[0] == name:
-                    # A stray inline end tag does not close blocks around it.
-                    if name not in INLINE or all(e.name in INLINE for e in stack[k:]):
-                        close(k)
+                    close(k)
                     break
+                if name in INLINE and stack[k].name not in INLINE:
+                    break  # a stray inline end tag does not close blocks around it
             continue
         if name == "br":
             parts.append(" ")
@@ -128,32 +146,41 @@ def read(page: str | None) -> tuple[list[Block], list[str]]:
         wanted = _CLOSES.get(name, ())
         if name in _P_CLOSERS:
             wanted = (*wanted, "p")
-        if wanted:
+        if wanted and any(open_names.get(w) for w in wanted):
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k].name in wanted:
                     close(k)
                     break
                 if stack[k].name in _BARRIER and stack[k].name not in wanted:
                     break
-        if name in ("html", "body") and any(e.name == name for e in stack):
+        if name in ("html", "body") and open_names.get(name):
             continue
-        if name == "body":
+        if name == "body" and open_names.get("head"):
             for k, e in enumerate(stack):
                 if e.name == "head":
                     close(k)
                     break
         if name not in INLINE:
             flush()
-        element = _element(name, m["attrs"] or m["attrs2"] or "", bool(stack) and stack[-1].skip)
+        parent = stack[-1] if stack else None
+        element = _element(name, m["attrs"] or m["attrs2"] or "", parent is not None and parent.skip)
         if name in VOID:
             continue
+        element.inside, element.node, element.depth = (parent.inside, parent.node, parent.depth) if parent else ("", tree, 0)
+        if element.name in ("article", "main") and element.inside != "article" and not element.skip:
+            element.inside = element.name
         if name not in INLINE:
-            tokens.append(f"<{element.key}>")
-        elif element.skip and not (stack and stack[-1].skip):
+            if element.depth < MAX_DEPTH:
+                own: list = []
+                element.node.append([element.key, own])
+                element.node, element.depth = own, element.depth + 1
+        elif element.skip and not (parent and parent.skip):
             element.apart = True
             held.append(parts[:])
             parts.clear()
+        for n in {element.name, element.key.split(".")[0]}:
+            open_names[n] = open_names.get(n, 0) + 1
         stack.append(element)
     flush()
     close(0)
-    return blocks, tokens
+    return blocks, tree
