@@ -8,7 +8,8 @@ other differ by at most r in their distances to p.
    shingles are held by another point, so one with more than 1 - t of them lonely
    goes.  That is counted twice: first on the shingles of a hash range (which can only
    show too few lonely ones), then on all shingles of the points that are left.  Counting
-   moves packed arrays of (hash, key), one entry a shingle and task, so no shingle is hot.
+   moves packed arrays of (hash, key), at most one entry a shingle and ``HELD_ENTRIES`` in the first count, so no shingle is hot there;
+   what each bucket of hashes finds goes back packed by buckets of points.
    What remains of a point is its shared shingles, the rarest first, and the number of lonely ones.
 3. Voronoi levels.  Some points become pivots.  Every active point measures its exact
    distance to all pivots and has the nearest as its home; a cell is what is within r of its
@@ -63,6 +64,7 @@ MIN_CELL = 4
 SKETCH_BITS = 4096
 
 _SIGNS = "doc_id long, n long, key long"
+_ENTRIES = "bucket long, kind int, hashes binary, keys binary"
 
 
 def point_key(own: np.ndarray) -> int:
@@ -84,7 +86,7 @@ def _entries(width: int, bits: int, first: bool):
     """Packed entries by bucket, which the highest bits of a shingle's hash name.
 
     The first count needs one entry a shingle: its point's key, or 0 if several points here hold it.
-    The second has an entry for each shingle and point.
+    The second has an entry for each shingle and point (kind 1), and how many of them there are here (kind 0, which comes first).
     """
 
     def pack(hashes: list[np.ndarray], keys: list[int]) -> pa.RecordBatch:
@@ -97,11 +99,21 @@ def _entries(width: int, bits: int, first: bool):
             starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
             alone = np.diff(np.append(starts, len(h))) == 1
             h, k = h[starts], np.where(alone, k[starts], 0)
-        bucket = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), dtype=np.int64)
-        cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        ends = np.append(cuts[1:], len(h))
-        low = (h >> np.uint64(32 - bits)).astype(np.uint32) if first else h
-        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int64()), pa.array([low[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()), pa.array([k[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())], names=["bucket", "hashes", "keys"])
+        columns: tuple[list, ...] = ([], [], [], [])
+
+        def put(kind: int, h: np.ndarray, values: np.ndarray) -> None:
+            bucket = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), dtype=np.int64)
+            cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            low = (h >> np.uint64(32 - bits)).astype(np.uint32) if first else h
+            for x, y in zip(cuts, np.append(cuts[1:], len(h))):
+                for column, value in zip(columns, (int(bucket[x]), kind, low[x:y].tobytes(), values[x:y].tobytes())):
+                    column.append(value)
+
+        if not first:
+            starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            put(0, h[starts], np.diff(np.append(starts, len(h))))
+        put(1, h, k)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "kind", "hashes", "keys"])
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, keys, held = [], [], 0
@@ -128,51 +140,105 @@ def _entries(width: int, bits: int, first: bool):
     return collect
 
 
-def _buckets(batches: Iterator[pa.RecordBatch], kind) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(hashes, keys) of each bucket, from batches sorted by bucket."""
-    now, hashes, keys = None, [], []
+def _buckets(batches: Iterator[pa.RecordBatch], *kinds) -> Iterator[list[np.ndarray]]:
+    """The columns of each bucket, from batches sorted by bucket."""
+    now, parts = None, [[] for _ in kinds]
     for batch in batches:
-        for bucket, h, k in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-            if bucket != now and hashes:
-                yield np.concatenate(hashes), np.concatenate(keys)
-                hashes, keys = [], []
+        for row, bucket in enumerate(batch.column(0).to_pylist()):
+            if bucket != now and parts[0]:
+                yield [np.concatenate(p) for p in parts]
+                parts = [[] for _ in kinds]
             now = bucket
-            hashes.append(np.frombuffer(h.as_buffer(), dtype=kind))
-            keys.append(np.frombuffer(k.as_buffer(), dtype=np.int64))
-    if hashes:
-        yield np.concatenate(hashes), np.concatenate(keys)
+            for k, kind in enumerate(kinds):
+                parts[k].append(np.frombuffer(batch.column(batch.num_columns - len(kinds) + k)[row].as_buffer(), dtype=kind))
+    if parts[0]:
+        yield [np.concatenate(p) for p in parts]
+
 
+def _by_point(bits: int, keys: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """Columns packed by buckets of points, which the highest bits of a point's key name."""
+    bucket = (keys.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), dtype=np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, dtype=np.int64)
+    ends = np.append(cuts[1:], len(bucket))
+    packed = [pa.array([c[order[a:b]].tobytes() for a, b in zip(cuts, ends)], pa.binary()) for c in (keys, *columns)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int64()), *packed], names=["bucket", "keys", "a", "b"][: 2 + len(columns)])
 
-def _lonely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _lonely(bits: int):
     """How many shingles of a bucket each point holds alone."""
-    for h, k in _buckets(batches, np.uint32):
-        order = np.argsort(h, kind="stable")
-        h, k = h[order], k[order]
-        starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        low, high = np.minimum.reduceat(k, starts), np.maximum.reduceat(k, starts)
-        keys, n = np.unique(low[(low == high) & (low != 0)], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["key", "lonely"])
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, k in _buckets(batches, np.uint32, np.int64):
+            order = np.argsort(h, kind="stable")
+            h, k = h[order], k[order]
+            starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            low, high = np.minimum.reduceat(k, starts), np.maximum.reduceat(k, starts)
+            keys, n = np.unique(low[(low == high) & (low != 0)], return_counts=True)
+            yield _by_point(bits, keys, n.astype(np.int32))
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shingles of a bucket that several points hold, by point, with the number of those points."""
-    for h, k in _buckets(batches, np.uint64):
-        order = np.lexsort((k, h))
-        h, k = h[order], k[order]
-        new = np.concatenate(([True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])))
-        h, k = h[new], k[new]
-        starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        size = np.diff(np.append(starts, len(h)))
-        df = np.repeat(size, size)
-        h, k, df = h[df > 1], k[df > 1], df[df > 1]
-        order = np.argsort(k, kind="stable")
-        h, k, df = h[order], k[order], df[order]
+    return count
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for keys, n in _buckets(batches, np.int64, np.int32):
+        known, back = np.unique(keys, return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(np.bincount(back, weights=n).astype(np.int64))], names=["key", "lonely"])
+
+
+def _shared(bits: int):
+    """The shingles of a bucket that several points hold, with each of the points and their number.
+
+    The counts of a bucket are read first; its entries then pass through, however many a shingle has.
+    Equal rows count anew each time, which can only show too few lonely shingles.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, told, known, sums, held, size = None, [], None, None, [], 0
+
+        def flush() -> pa.RecordBatch:
+            h, k = (np.concatenate(x) for x in zip(*held))
+            df = sums[np.searchsorted(known, h)]
+            return _by_point(bits, k[df > 1], h[df > 1], np.minimum(df[df > 1], (1 << 32) - 1).astype(np.uint32))
+
+        for batch in batches:
+            for row, (bucket, kind) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                h, v = np.frombuffer(batch.column(2)[row].as_buffer(), dtype=np.uint64), np.frombuffer(batch.column(3)[row].as_buffer(), dtype=np.int64)
+                if bucket != now:
+                    if held:
+                        yield flush()
+                    now, told, known, held, size = bucket, [], None, [], 0
+                if not kind:
+                    told.append((h, v))
+                    continue
+                if known is None:
+                    hashes, counts = (np.concatenate(x) for x in zip(*told))
+                    known, back = np.unique(hashes, return_inverse=True)
+                    sums = np.bincount(back, weights=counts).astype(np.int64)
+                held.append((h, v))
+                size += len(h)
+                if size >= BUCKET_ENTRIES:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    return count
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each point's shared shingles, the rarest first, equally rare ones by hash."""
+    for k, h, df in _buckets(batches, np.int64, np.uint64, np.uint32):
+        order = np.lexsort((h, df, k))
+        k, h = k[order], h[order]
+        new = np.concatenate(([True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])))  # equal rows
+        k, h = k[new], h[new]
         starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, dtype=np.int64)
-        for a in range(0, len(starts), 5_000):  # rows a batch
-            some = np.append(starts[a : a + 5_000], starts[a + 5_000] if a + 5_000 < len(starts) else len(k))
-            part = slice(some[0], some[-1])
-            lists = pa.ListArray.from_arrays((some - some[0]).astype(np.int32), pa.StructArray.from_arrays([pa.array(df[part].astype(np.int64)), pa.array(h[part].view(np.int64))], names=["df", "g"]))
-            yield pa.RecordBatch.from_arrays([pa.array(k[some[:-1]], pa.int64()), lists], names=["key", "part"])
+        for a in range(0, len(starts), 2_000):  # rows a batch
+            some = np.append(starts[a : a + 2_000], starts[a + 2_000] if a + 2_000 < len(starts) else len(k))
+            lists = pa.ListArray.from_arrays((some - some[0]).astype(np.int32), pa.array(h[some[0] : some[-1]].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(k[some[:-1]], pa.int64()), lists], names=["key", "s"])
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,9 +258,8 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets), pa.int64()), sets, pa.ListArray.from_arrays(at, pa.array(flat))], names=["key", "n", "h", "s", "sk"])
 
 
-def _packed(rows: DataFrame, mapper, buckets: int) -> DataFrame:
-    entries = rows.mapInArrow(mapper, "bucket long, hashes binary, keys binary")
-    return entries.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+def _dealt(entries: DataFrame, bits: int) -> DataFrame:
+    return entries.repartition(1 << bits, "bucket").sortWithinPartitions(*[c for c in ("bucket", "kind") if c in entries.columns])
 
 
 def _bits_for(entries: int) -> int:
@@ -205,16 +270,17 @@ def linkable_points(rows: DataFrame, signs: DataFrame, percent: int, width: int)
     """key, n, h, s (shared shingles, rarest first) and sk of the points that may link."""
     classes = stored(signs.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
     bits = _bits_for((classes.agg(F.sum("n")).first()[0] or 0) * FIRST_COUNT // 256)
-    alone = _packed(rows.select("doc_id", "text"), _entries(width, bits, True), 1 << bits).mapInArrow(_lonely, "key long, lonely long").groupBy("key").agg(F.sum("lonely").alias("lonely"))
+    entries = _dealt(rows.select("doc_id", "text").mapInArrow(_entries(width, bits, True), _ENTRIES), bits)
+    alone = _dealt(entries.mapInArrow(_lonely(bits), "bucket long, keys binary, a binary"), bits).mapInArrow(_summed, "key long, lonely long")
     left = stored(classes.join(alone, "key", "left").filter(100 * (F.col("n") - F.coalesce("lonely", F.lit(0))) >= percent * F.col("n")).select("key", "rep", "n"), "left")
     size = left.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("shingles")).first()
     # Rows without a doc_id cannot be looked up: all of them take part.
     wanted = sent_if_small(left.filter("rep is not null").select(F.col("rep").alias("doc_id"), F.col("key").alias("want")), size["rows"])
     chosen = rows.join(wanted, "doc_id").select("text", "want").unionByName(rows.filter("doc_id is null").select("text", F.lit(None).cast("long").alias("want")))
     bits = _bits_for(size["shingles"])
-    parts = _packed(chosen, _entries(width, bits, False), 1 << bits).mapInArrow(_shared, "key long, part array<struct<df:long,g:long>>")
-    whole = parts.groupBy("key").agg(F.sort_array(F.flatten(F.collect_list("part"))).alias("p"))  # as large as the point's set
-    known = whole.join(left.select("key", "n"), "key").filter(100 * F.size("p") >= percent * F.col("n")).select("key", "n", F.expr("transform(p, x -> x.g)").alias("s"))
+    entries = _dealt(chosen.mapInArrow(_entries(width, bits, False), _ENTRIES), bits)
+    whole = _dealt(entries.mapInArrow(_shared(bits), "bucket long, keys binary, a binary, b binary"), bits).mapInArrow(_sets, "key long, s array<long>")
+    known = whole.join(left.select("key", "n"), "key").filter(100 * F.size("s") >= percent * F.col("n")).select("key", "n", "s")
     return stored(known.mapInArrow(_sketched, "key long, n long, h long, s array<long>, sk array<long>"), "points")
 
 
