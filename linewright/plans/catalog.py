@@ -28,8 +28,12 @@ def projected_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", script.projected(F.col("text")).alias("text"))
 
 
+def plain_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.raw_lines(projected_docs(spark, sf_dir))
+
+
 def detected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.detect_lines(L.raw_lines(projected_docs(spark, sf_dir)), R.SMALL_PACK)
+    return R.detect_lines(plain_lines(spark, sf_dir), R.SMALL_PACK)
 
 
 def flagship(spark, sf_dir):
@@ -77,11 +81,11 @@ def batch_needs(spark, sf_dir):
 
 
 def context_selection(spark, sf_dir):
-    return C.select_context(detected_lines(spark, sf_dir), BATCH, WINDOW, PICKED).select("doc_id", "batch_id", "line_no", F.round("score", 6).alias("score"))
+    return C.select_context(detected_lines(spark, sf_dir), BATCH, WINDOW, PICKED, plain=plain_lines(spark, sf_dir)).select("doc_id", "batch_id", "line_no", F.round("score", 6).alias("score"))
 
 
 def batch_context(spark, sf_dir):
-    return C.batch_context(detected_lines(spark, sf_dir), BATCH, 10)
+    return C.batch_context(detected_lines(spark, sf_dir), BATCH, 10, plain=plain_lines(spark, sf_dir))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
