@@ -113,16 +113,20 @@ def half(x: str) -> str:
     return f"translate({x}, '０１２３４５６７８９', '0123456789')"
 
 
-CHECKED = f"""{PAIRS},
-t AS (SELECT *, {trim('src')} AS s, {trim('dst')} AS d FROM pairs),
+def checks(source: str) -> str:
+    """Subqueries from a relation of pairs to ``checked`` (with error)."""
+    return f"""t AS (SELECT *, {trim('src')} AS s, {trim('dst')} AS d FROM {source}),
 predicates AS (SELECT conv_id, turn, variant, src, dst, s, d, regexp_matches(s, '^[\\s\\p{{Z}}、-〿！-／：-？［-｀｛-･!-/:-@\\[-`{{-~]*$') AS only_punctuation, len(regexp_extract_all(d, '\\\\?"\\\\?:\\\\?"')) AS json_parts,
   (NOT {repeated('s', 1, 3, 16)} AND {repeated('d', 1, 3, 16)}) OR (NOT {repeated('s', 4, 10, 4)} AND {repeated('d', 4, 10, 4)}) AS degraded, {jaccard('s', 'd')} AS jaccard, contains(s, d) OR contains(d, s) AS contained,
-  length(d)::DOUBLE / nullif(length(s), 0) AS ratio, list_distinct(regexp_extract_all({half('s')}, '[0-9]+')) AS s_numbers, list_distinct(regexp_extract_all({half('d')}, '[0-9]+')) AS d_numbers, regexp_matches({half('s')}, '第[0-9]+[话話章節节回]') AS chapter FROM t),
+  length(d)::DOUBLE / nullif(length(s), 0) AS ratio, list_distinct(regexp_extract_all({half('s')}, '[0-9]+')) AS s_numbers, list_distinct(regexp_extract_all({half('d')}, '[0-9]+')) AS d_numbers, regexp_matches({half('s')}, '第[0-9]+[話话章節节回]') AS chapter FROM t),
 checked AS (SELECT *, CASE WHEN d = '' THEN 'FAIL_PARSE' WHEN only_punctuation THEN 'NONE' WHEN json_parts >= 3 THEN 'JSON_STRUCTURE_ERROR' WHEN degraded THEN 'DEGRADATION'
   WHEN s = d AND length(s) >= 3 AND regexp_matches(s, '[{CJK}]') THEN 'HIGH_SIMILARITY' WHEN length(s) >= 10 AND length(d) >= 5 AND (ratio < 0.3 OR ratio > 3.0) THEN 'LENGTH_MISMATCH'
   WHEN len(s_numbers) BETWEEN 1 AND 3 AND len(list_intersect(s_numbers, d_numbers)) = 0 AND chapter THEN 'LENGTH_MISMATCH' WHEN contained OR jaccard > 0.8 THEN 'HIGH_SIMILARITY' ELSE 'NONE' END AS error FROM predicates)"""
 
 
+CHECKED = f"{PAIRS}, {checks('pairs')}"
+
+
 def repaired(source: str) -> str:
     """A chain of subqueries over ``source`` (with src, dst), each one mark or quote; its last column is dst."""
     count = lambda c, x: f"(length({c}) - length(replace({c}, {q(x)}, '')))"
@@ -159,6 +163,9 @@ _keyed = strip_suffixes("(SELECT *, CASE WHEN starts_with(src, 'お') AND length
 _keyed = strip_suffixes(_keyed, "base", N.DST_SUFFIXES)
 KEYED = f"{ENTRIES_FROM}, keyed AS (SELECT * FROM {_keyed})"
 TITLES = ", ".join(map(q, N.TITLES))
+#: The same entries with their document and place.
+PLACED = ENTRIES_FROM.replace("words AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{4,}')) AS w FROM documents)", "word_lists AS (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]{4,}') AS a FROM documents), words AS (SELECT doc_id, unnest(range(0, len(a))) AS p, unnest(a) AS w FROM word_lists)").replace("names AS (SELECT CASE", "names AS (SELECT doc_id, p, CASE").replace("entries AS (SELECT src", "entries AS (SELECT doc_id, p, src")
+PLACED_KEYED = f"{PLACED}, keyed AS (SELECT * FROM {_keyed})"
 
 PEOPLE = r"""split AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda x: x <> '') AS p FROM documents),
 scanned AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS line_no, unnest(p) AS line FROM split),
