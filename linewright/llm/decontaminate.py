@@ -21,16 +21,18 @@ that none within ``max_edits`` goes unseen.  Candidates
 are aligned exactly with the document around them (any start, any end), and count
 within ``max_edits`` edits a word of the item.
 
-Items are read in blocks of ``BLOCK_ITEMS`` from the driver; each block is
-one pass over the documents, so the memory of a pass is bounded.
+Items go to every task in blocks of about ``BLOCK_WORDS`` words (one longer item is a block of its own); each block is
+one pass over the documents, so the memory of a pass is bounded, and a worker builds a block's index once.
 
 Defined results: null and empty texts and items match nothing; items shorter than
-``MIN_WORDS`` words match only as a whole and exactly (with words of at least ``MIN_LETTERS`` bytes); repeated doc_ids are judged row by
-row; repeated item_ids are items of their own; other columns are ignored; empty tables give no rows.
+``MIN_WORDS`` words match only as a whole and exactly, and only if they have ``min_letters`` bytes (by default
+``MIN_LETTERS``: shorter ones are phrases that any text may hold; 1 looks for all of them); repeated doc_ids are judged row by
+row; repeated item_ids are items of their own; null ids stay null; texts and items of any length are read whole; other columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,7 +52,7 @@ GRAM = 3
 MIN_WORDS = 8
 MIN_LETTERS = 12
 MAX_EDITS = 0.2
-BLOCK_ITEMS = 5_000
+BLOCK_WORDS = 1_000_000
 
 _KEEP = np.zeros(256, dtype=bool)  # letters, digits and everything beyond ASCII
 _KEEP[48:58] = _KEEP[65:91] = _KEEP[97:123] = _KEEP[128:] = True
@@ -129,7 +131,7 @@ _FILTER_BITS = np.uint32(32 - 20)
 class ItemIndex:
     """The keys of one block of items: per table the sorted keys, with the item and the place of each."""
 
-    def __init__(self, items: list[tuple[int, str]], max_edits: float = MAX_EDITS):
+    def __init__(self, items: list[tuple[int | None, str]], max_edits: float = MAX_EDITS, min_letters: int = MIN_LETTERS):
         self.names = [i for i, _ in items]
         self.words: list[np.ndarray] = []
         parts: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[(np.zeros(0, dtype=np.uint32),) + (np.zeros(0, dtype=np.int64),) * 2] for _ in range(WALKS * SAMPLES)]
@@ -145,7 +147,7 @@ class ItemIndex:
                 for table, keys, last, cover in walk_keys(ids, full=True):
                     inside = np.flatnonzero((last < len(ids)) & (cover >= min(MIN_COVER, len(ids) - 3)))
                     parts[table].append((keys[inside], np.full(len(inside), k), inside))
-            elif len(ids) and len(raw) >= MIN_LETTERS:
+            elif len(ids) and len(raw) >= min_letters:
                 first.append((int(ids[0] >> np.uint64(32)), k))
         self.sets = [np.unique(w) for w in self.words]
         self.tables = []
@@ -243,9 +245,15 @@ def leaks_in(ids: np.ndarray, found: list[tuple[int, int]], index: ItemIndex, ma
 _SCHEMA = "doc_id long, item_id long, edits int, item_words int, first_word long, end_word long"
 
 
-def _search(items: list[tuple[int, str]], max_edits: float):
+@functools.lru_cache(maxsize=2)
+def _index(items: tuple[tuple[int | None, str], ...], max_edits: float, min_letters: int) -> ItemIndex:
+    """The index of a block, once a worker."""
+    return ItemIndex(list(items), max_edits, min_letters)
+
+
+def _search(items: tuple[tuple[int | None, str], ...], max_edits: float, min_letters: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ItemIndex(items, max_edits)
+        index = _index(items, max_edits, min_letters)
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [])
             for first, end, data, offsets in K.chunks(batch, "text", 1 << 17):
@@ -280,16 +288,17 @@ def _search(items: list[tuple[int, str]], max_edits: float):
     return search
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS, block_words: int = BLOCK_WORDS, min_letters: int = MIN_LETTERS) -> DataFrame:
     """The nearest place of each item (item_id, text) in each document that holds it, in words of the document."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     wanted = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter(F.length("text") > 0)
-    blocks = max(1, -(-wanted.count() // block_items))
+    words = wanted.agg(F.sum(F.size(F.split("text", "\\s+")))).first()[0] or 0
+    blocks = max(1, -(-words // block_words))
     out = None
     for b in range(blocks):
         own = wanted.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        block = sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in own.collect())  # about block_items
-        found = rows.mapInArrow(_search(block, max_edits), _SCHEMA)
+        block = tuple(sorted(((r["item_id"], r["text"]) for r in own.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1])))  # about block_words
+        found = rows.mapInArrow(_search(block, max_edits, min_letters), _SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -57,7 +57,7 @@ def test_recall_by_edits(spark):
         docs.append((i, " ".join(rng.choices(vocabulary, k=rng.randint(0, 90)) + [w.upper() + "," for w in own] + rng.choices(vocabulary, k=rng.randint(0, 90)))))
         planted[i] = k
     docs += [(1000 + i, " ".join(rng.choices(vocabulary, k=120))) for i in range(200)]
-    found = D.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_items=17)
+    found = D.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_words=700)
     got = {(r.doc_id, r.item_id): r for r in found.collect()}
     assert sum((i, k) in got for i, k in planted.items()) >= 0.97 * len(planted)
     assert all(i < 1000 for i, _ in got)
@@ -106,3 +106,14 @@ def test_alignment():
         item, doc = rng.integers(0, 4, rng.integers(1, 9)), rng.integers(0, 4, rng.integers(1, 16))
         edits, a, b = D.align(item, doc)
         assert edits == distance(list(item), list(doc)) == (distance(list(item), list(doc[a:b])) if b > a else len(item))
+
+
+def test_repeated_rows_and_null_ids(spark):
+    docs = edge_cases.repeated(spark)
+    items = spark.createDataFrame([(None, edge_cases.BASE), (-1, edge_cases.BASE), (7, "tiny"), (7, "tiny")], "item_id long, text string")
+    got = sorted(((r.doc_id, r.item_id) for r in D.find_leaks(docs, items).collect()), key=str)
+    holds = [i for i, t, _ in edge_cases.repeated_rows() if t and t.startswith("word0")]
+    assert got == sorted(((i, k) for i in holds for k in (None, -1)), key=str)
+    # Short items are looked for where they are asked for.
+    tiny = spark.createDataFrame([(1, "some tiny thing"), (2, "other")], "doc_id long, text string")
+    assert D.find_leaks(tiny, items).count() == 0 and sorted(r.doc_id for r in D.find_leaks(tiny, items, min_letters=1).collect()) == [1, 1]
