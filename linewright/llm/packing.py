@@ -31,6 +31,8 @@ from .token_ids import END_ID, encoder, public_path
 MAX_LEN = 2048
 #: Pieces of one length that share a salt.
 RANK_GROUP = 250_000
+#: Parts of a length's ranks by which pieces find their slots.
+RANK_PARTS = 128
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -118,6 +120,22 @@ def slots(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
+def by_rank(found: list[tuple[int, int, int, int, int]], counts: dict[int, int]) -> list[tuple[int, int, int, int, int, int]]:
+    """Slots under each part of their length's ranks that they reach into: (length, part, ...).
+
+    At most RANK_PARTS rows a length more than there are slots, and a part holds few of them.
+    """
+    out = []
+    for length, low, high, sequence, offset in found:
+        size = _part_size(counts[length])
+        out += [(length, part, low, high, sequence, offset) for part in range(low // size, (high - 1) // size + 1)]
+    return out
+
+
+def _part_size(count: int) -> int:
+    return -(-count // RANK_PARTS)
+
+
 def _cutter(path: str, max_len: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw_of = encoder(path).whole
@@ -154,6 +172,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, max_len: int = MAX_LEN)
     starts = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("r", F.row_number().over(own)).join(starts, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("r") - 1)
-    table = spark.createDataFrame(slots(plan(histogram, max_len)), "length long, low long, high long, sequence long, offset long")
-    placed = ranked.join(F.broadcast(table), "length").filter("rank >= low and rank < high")  # the plan's size is bounded by max_len
+    table = spark.createDataFrame(by_rank(slots(plan(histogram, max_len)), histogram), "length long, part long, low long, high long, sequence long, offset long")
+    sizes = spark.createDataFrame([(x, _part_size(n)) for x, n in histogram.items()], "length long, size long")
+    parted = ranked.join(F.broadcast(sizes), "length").withColumn("part", F.floor(F.col("rank") / F.col("size")))
+    # The plan's size is bounded by max_len.
+    placed = parted.join(F.broadcast(table), ["length", "part"]).filter("rank >= low and rank < high")
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset")
