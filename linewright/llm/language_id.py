@@ -6,11 +6,12 @@ choose the language family; others, one for each pair of languages of a
 family, then separate its languages.  Each score is a mean of weights over the
 text, so a text of any length is read once and whole.
 
-Training reads at most about ``PER_LANGUAGE`` labelled documents of each language
+Training reads about ``PER_LANGUAGE`` labelled documents of each language, at any size of the table,
 and ``MAX_DOCUMENTS`` of all, chosen by a hash of doc_id; each also trains as a short excerpt, so that
-short texts are in the training data.
+short texts are in the training data.  Executors count their trigrams; at most ``BUCKETS`` counts a document reach
+the driver, however long its text.
 
-Defined results: null texts and texts without a letter are ``und`` with score
+Defined results: an empty table gives no rows; null texts and texts without a letter are ``und`` with score
 0; without any labelled document every text is ``und``; with one language every text with a
 letter has that; other columns are ignored; repeated rows get the same answer.
 """
@@ -111,20 +112,31 @@ def _machine(x: np.ndarray, at: np.ndarray, y: np.ndarray, yes: str, no: str, ep
 _SCALE = 20.0
 
 
+def _parts(text: str) -> list[bytes]:
+    """What a text trains as: itself, and an excerpt if it is long enough."""
+    b = text.encode()
+    middle = len(b) // 2
+    return [b, b[middle : middle + EXCERPT_BYTES]] if len(b) > 2 * EXCERPT_BYTES else [b]
+
+
+def _counted(part: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of trigrams and their counts."""
+    idx, _ = trigrams(np.frombuffer(part, dtype=np.uint8), np.array([0, len(part)]))
+    return np.unique(idx, return_counts=True)
+
+
 def train(texts: list[str], langs: list[str]) -> Hierarchy:
-    raw, names = [], []
-    for t, lang in zip(texts, langs):
-        b = t.encode()
-        middle = len(b) // 2
-        for part in (b, b[middle : middle + EXCERPT_BYTES]) if len(b) > 2 * EXCERPT_BYTES else (b,):
-            raw.append(part)
-            names.append(lang)
-    x = np.zeros((len(raw), BUCKETS + 1), dtype=np.float32)
+    return _trained([(lang, *_counted(p)) for t, lang in zip(texts, langs) for p in _parts(t)])
+
+
+def _trained(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Hierarchy:
+    """From (language, buckets, counts)."""
+    names = [lang for lang, _, _ in rows]
+    x = np.zeros((len(rows), BUCKETS + 1), dtype=np.float32)
     x[:, -1] = 1
-    for k, b in enumerate(raw):
-        idx, _ = trigrams(np.frombuffer(b, dtype=np.uint8), np.array([0, len(b)]))
-        if len(idx):
-            x[k, :-1] = np.bincount(idx, minlength=BUCKETS) * (_SCALE / len(idx))
+    for k, (_, buckets, counts) in enumerate(rows):
+        if len(buckets):
+            x[k, buckets] = counts * (_SCALE / counts.sum())
     names = np.array(names)
     langs_ = sorted(set(names.tolist()))
     by_family = {f: tuple(sorted(n for n in langs_ if family_of(n) == f)) for f in sorted({family_of(n) for n in langs_})}
@@ -213,12 +225,24 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Hierarchy | None:
     if not counts:
         return None
     per_language = max(1, min(per_language, MAX_DOCUMENTS // len(counts)))
-    share = F.lit(0)
+    share = F.lit(0).cast("long")
     for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1_000_000, math.ceil(1_000_000 * per_language / n)))).otherwise(share)
-    rows = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).select("doc_id", "text", "lang").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
-    return train([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else None
+        share = F.when(F.col("lang") == lang, F.lit(min((1 << 63) - 1, math.ceil((1 << 63) * min(1.0, per_language / n))))).otherwise(share)
+    chosen = labelled.filter(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) < share).select("doc_id", "text", "lang")
+    rows = chosen.mapInArrow(_featured, "doc_id long, lang string, part int, buckets array<int>, counts array<long>").collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["part"], r["buckets"], r["counts"]))
+    return _trained([(r["lang"], np.array(r["buckets"], dtype=np.int64), np.array(r["counts"], dtype=np.int64)) for r in rows]) if rows else None
+
+
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out: tuple[list, ...] = ([], [], [], [], [])
+        for doc, text, lang in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            for k, part in enumerate(_parts(text.as_py())):
+                for column, value in zip(out, (doc, lang, k, *_counted(part))):
+                    column.append(value)
+        kinds = (pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["doc_id", "lang", "part", "buckets", "counts"])
 
 
 def identify(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
