@@ -54,8 +54,8 @@ PERCENT = 80
 #: The first count takes shingles whose lowest byte is below this, about 0.3 of them.
 FIRST_COUNT = 77
 #: Entries that one task of the counts holds at a time, and a mapper before it sends them.
-BUCKET_ENTRIES = 1_000_000
-HELD_ENTRIES = 1_000_000
+BUCKET_ENTRIES = 500_000
+HELD_ENTRIES = 500_000
 #: Pivots of a level, what they hold together, and the points a pivot that make another level worth its while.
 PIVOTS = 64
 PIVOT_SHINGLES = 2_000_000
@@ -227,8 +227,15 @@ def _shared(bits: int):
     return count
 
 
+def _sketch(own: np.ndarray) -> np.ndarray:
+    """Parities of a set by hash: a power of two of bits, at least twice the set's size up to the most."""
+    m = min(SKETCH_BITS, 1 << max(6, (2 * len(own) - 1).bit_length()))
+    bits = (np.bincount(((own >> np.uint64(20)) & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8)
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each point's shared shingles, the rarest first, equally rare ones by hash."""
+    """Each point's shared shingles, the rarest first, equally rare ones by hash, with their number and sketch."""
     for k, h, df in _buckets(batches, np.int64, np.uint64, np.uint32):
         order = np.lexsort((h, df, k))
         k, h = k[order], h[order]
@@ -237,25 +244,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, dtype=np.int64)
         for a in range(0, len(starts), 2_000):  # rows a batch
             some = np.append(starts[a : a + 2_000], starts[a + 2_000] if a + 2_000 < len(starts) else len(k))
+            sketches = [_sketch(h[x:y]) for x, y in zip(some[:-1], some[1:])]
             lists = pa.ListArray.from_arrays((some - some[0]).astype(np.int32), pa.array(h[some[0] : some[-1]].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(k[some[:-1]], pa.int64()), lists], names=["key", "s"])
-
-
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, n, s with h, the number of shared shingles, and their sketch (a power of two of bits, at least 2 n up to the most)."""
-    for batch in batches:
-        sets = batch.column(2)
-        offsets = sets.offsets.to_numpy()
-        values = sets.values.to_numpy().view(np.uint64)
-        sketches = []
-        for k, n in enumerate(batch.column(1).to_pylist()):
-            m = min(SKETCH_BITS, 1 << max(6, (2 * n - 1).bit_length()))
-            own = values[offsets[k] : offsets[k + 1]]
-            bits = (np.bincount(((own >> np.uint64(20)) & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8)
-            sketches.append(np.packbits(bits, bitorder="little").view(np.int64))
-        at = np.cumsum([0, *map(len, sketches)], dtype=np.int32)
-        flat = np.concatenate(sketches) if sketches else np.zeros(0, dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets), pa.int64()), sets, pa.ListArray.from_arrays(at, pa.array(flat))], names=["key", "n", "h", "s", "sk"])
+            folded = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sketches)], dtype=np.int32), pa.array(np.concatenate(sketches)))
+            yield pa.RecordBatch.from_arrays([pa.array(k[some[:-1]], pa.int64()), pa.array(np.diff(some), pa.int64()), lists, folded], names=["key", "h", "s", "sk"])
 
 
 def _dealt(entries: DataFrame, bits: int) -> DataFrame:
@@ -279,16 +271,15 @@ def linkable_points(rows: DataFrame, signs: DataFrame, percent: int, width: int)
     chosen = rows.join(wanted, "doc_id").select("text", "want").unionByName(rows.filter("doc_id is null").select("text", F.lit(None).cast("long").alias("want")))
     bits = _bits_for(size["shingles"])
     entries = _dealt(chosen.mapInArrow(_entries(width, bits, False), _ENTRIES), bits)
-    whole = _dealt(entries.mapInArrow(_shared(bits), "bucket long, keys binary, a binary, b binary"), bits).mapInArrow(_sets, "key long, s array<long>")
-    known = whole.join(left.select("key", "n"), "key").filter(100 * F.size("s") >= percent * F.col("n")).select("key", "n", "s")
-    return stored(known.mapInArrow(_sketched, "key long, n long, h long, s array<long>, sk array<long>"), "points")
+    whole = _dealt(entries.mapInArrow(_shared(bits), "bucket long, keys binary, a binary, b binary"), bits).mapInArrow(_sets, "key long, h long, s array<long>, sk array<long>")
+    return stored(whole.join(left.select("key", "n"), "key").filter(100 * F.col("h") >= percent * F.col("n")).select("key", "n", "h", "s", "sk"), "points")
 
 
 def _bounded(percent: int) -> Column:
     """Whether a pair with n, h and sk of a and b may link: by the sizes, the lonely shingles and the sketches."""
     both = F.col("n_a") + F.col("n_b")
     most = F.least("h_a", "h_b")
-    # The larger sketch folds to the size of the other; the sizes differ by 1 / t at most, so once is enough.
+    # The larger sketch folds to the size of the other; the sizes of sets that may link differ so little that once is enough.
     half = lambda v: f"cast(size(sk_{v}) / 2 as int)"
     fold = lambda v: f"zip_with(slice(sk_{v}, 1, {half(v)}), slice(sk_{v}, {half(v)} + 1, {half(v)}), (p, q) -> p ^ q)"
     flips = lambda x, y: f"aggregate(zip_with({x}, {y}, (p, q) -> bit_count(p ^ q)), 0, (s, c) -> s + c)"

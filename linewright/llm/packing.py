@@ -138,7 +138,8 @@ def _part_size(count: int) -> int:
 
 def _cutter(path: str, max_len: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw_of = encoder(path).whole
+        ids_of = encoder(path)
+        raw_of = ids_of.whole
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), ([], [], [], [], [])
@@ -152,6 +153,7 @@ def _cutter(path: str, max_len: int):
                         column.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        ids_of.trim()
 
     return cut
 

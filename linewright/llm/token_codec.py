@@ -322,7 +322,8 @@ _BLOCKS = "part int, block long, data binary"
 def _writer(path: str, block: int, lanes: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        raw_of, end = encoder(path).whole, END_ID.to_bytes(4, "little")
+        ids_of, end = encoder(path), END_ID.to_bytes(4, "little")
+        raw_of = ids_of.whole
         waiting, entries, size, done, ordinal = [], [], 0, 0, 0
 
         def flush(whole: bool) -> pa.RecordBatch:
@@ -354,6 +355,7 @@ def _writer(path: str, block: int, lanes: int):
                 size += len(raw) // 4
                 if size >= block * lanes:
                     yield flush(False)
+        ids_of.trim()
         if size:
             yield flush(True)
 

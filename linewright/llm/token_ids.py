@@ -2,7 +2,7 @@
 
 Byte-level BPE merges only inside the pieces that its pattern splits a text
 into.  A worker has the library's BPE model encode each distinct piece and keeps the
-ids of up to ``CACHE_PIECES`` pieces; ids of a text are those of its pieces
+ids of up to ``CACHE_PIECES`` pieces, fewer between tasks; ids of a text are those of its pieces
 in order.  As in the library, the tokenizer's added tokens are found first, each
 gives its one id, and the texts between them are encoded by themselves.  Tests hold this
 against the library's encoding of whole texts.
@@ -11,13 +11,16 @@ against the library's encoding of whole texts.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import struct
 
 import regex
 
 END_ID = 0
-CACHE_PIECES = 700_000
+CACHE_PIECES = 400_000
+#: What a worker keeps from one task to the next: the pieces that it met first, which are mostly the frequent ones.
+KEPT_PIECES = 60_000
 
 
 def public_path(name: str = "byte_bpe_50k.json") -> str:
@@ -52,6 +55,11 @@ class PieceEncoder:
         self.letters = _byte_letters()
         self.cache: dict[str, bytes] = {}
 
+    def trim(self) -> None:
+        """Called at the end of a task, so that idle workers hold little."""
+        if len(self.cache) > KEPT_PIECES:
+            self.cache = dict(itertools.islice(self.cache.items(), KEPT_PIECES))
+
     def _encode(self, piece: str) -> bytes:
         tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
         return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
