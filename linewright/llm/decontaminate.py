@@ -298,7 +298,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS,
     for b in range(blocks):
         own = wanted.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         block = tuple(sorted(((r["item_id"], r["text"]) for r in own.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1])))  # about block_words
-        found = rows.mapInArrow(_search(block, max_edits, min_letters), _SCHEMA)
+        found = rows.mapInArrow(K.releasing(_search(block, max_edits, min_letters)), _SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -229,7 +229,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Hierarchy | None:
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min((1 << 63) - 1, math.ceil((1 << 63) * min(1.0, per_language / n))))).otherwise(share)
     chosen = labelled.filter(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) < share).select("doc_id", "text", "lang")
-    rows = chosen.mapInArrow(_featured, "doc_id long, lang string, part int, buckets array<int>, counts array<long>").collect()
+    rows = chosen.mapInArrow(K.releasing(_featured), "doc_id long, lang string, part int, buckets array<int>, counts array<long>").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["part"], r["buckets"], r["counts"]))
     return _trained([(r["lang"], np.array(r["buckets"], dtype=np.int64), np.array(r["counts"], dtype=np.int64)) for r in rows]) if rows else None
 
@@ -247,4 +247,4 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def identify(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
     """doc_id, lang_pred and score of each row of docs (doc_id, text)."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_apply(model), "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(K.releasing(_apply(model)), "doc_id long, lang_pred string, score double")

@@ -133,7 +133,7 @@ def _keyed(docs: DataFrame, host: str) -> tuple[Column, Column, Column, Column]:
 
 def _described(docs: DataFrame, limits: LineLimits, host: str) -> tuple[DataFrame, DataFrame]:
     """(one verdict per row with its row_key, the lines to remove as row_key and line_key)."""
-    seen = stored(docs.select(*_keyed(docs, host), F.col("text").cast("string")).mapInArrow(describe, _SCHEMA), "lines")
+    seen = stored(docs.select(*_keyed(docs, host), F.col("text").cast("string")).mapInArrow(K.releasing(describe), _SCHEMA), "lines")
     lines = seen.select("row_key", "doc_id", "host", "text_key", F.explode(F.arrays_zip("line_keys", "line_words")).alias("l")).select("row_key", "doc_id", "host", "text_key", F.col("l.line_keys").alias("line_key"), F.col("l.line_words").alias("words"))
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "row_key")
     common = (
@@ -163,7 +163,7 @@ def line_verdicts(docs: DataFrame, limits: LineLimits = LineLimits(), host: str
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in K.slices(batches):
         texts, gone = batch.column(batch.schema.get_field_index("text")).to_pylist(), batch.column(batch.schema.get_field_index("_gone")).to_pylist()
         for k, keys in enumerate(gone):
             if keys and texts[k]:
@@ -190,4 +190,4 @@ def clean_lines(docs: DataFrame, limits: LineLimits = LineLimits(), host: str =
     changes = stored(gone.join(rejected, "row_key", "left_anti").unionByName(rejected.withColumn("_gone", F.lit(None).cast("array<long>"))).withColumnRenamed("row_key", "_changed"), "changed-rows")
     elements = changes.agg(F.sum(F.coalesce(F.size("_gone"), F.lit(0)) + 4)).first()[0] or 0
     joined = docs.join(sent_if_small(changes, elements), _keyed(docs, host)[0] == F.col("_changed"), "left")
-    return joined.filter("_changed is null or _gone is not null").drop("_changed").mapInArrow(_without, docs.schema)
+    return joined.filter("_changed is null or _gone is not null").drop("_changed").mapInArrow(K.releasing(_without), docs.schema)

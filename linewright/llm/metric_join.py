@@ -262,16 +262,16 @@ def linkable_points(rows: DataFrame, signs: DataFrame, percent: int, width: int)
     """key, n, h, s (shared shingles, rarest first) and sk of the points that may link."""
     classes = stored(signs.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
     bits = _bits_for((classes.agg(F.sum("n")).first()[0] or 0) * FIRST_COUNT // 256)
-    entries = _dealt(rows.select("doc_id", "text").mapInArrow(_entries(width, bits, True), _ENTRIES), bits)
-    alone = _dealt(entries.mapInArrow(_lonely(bits), "bucket long, keys binary, a binary"), bits).mapInArrow(_summed, "key long, lonely long")
+    entries = _dealt(rows.select("doc_id", "text").mapInArrow(K.releasing(_entries(width, bits, True)), _ENTRIES), bits)
+    alone = _dealt(entries.mapInArrow(K.releasing(_lonely(bits)), "bucket long, keys binary, a binary"), bits).mapInArrow(K.releasing(_summed), "key long, lonely long")
     left = stored(classes.join(alone, "key", "left").filter(100 * (F.col("n") - F.coalesce("lonely", F.lit(0))) >= percent * F.col("n")).select("key", "rep", "n"), "left")
     size = left.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("shingles")).first()
     # Rows without a doc_id cannot be looked up: all of them take part.
     wanted = sent_if_small(left.filter("rep is not null").select(F.col("rep").alias("doc_id"), F.col("key").alias("want")), size["rows"])
     chosen = rows.join(wanted, "doc_id").select("text", "want").unionByName(rows.filter("doc_id is null").select("text", F.lit(None).cast("long").alias("want")))
     bits = _bits_for(size["shingles"])
-    entries = _dealt(chosen.mapInArrow(_entries(width, bits, False), _ENTRIES), bits)
-    whole = _dealt(entries.mapInArrow(_shared(bits), "bucket long, keys binary, a binary, b binary"), bits).mapInArrow(_sets, "key long, h long, s array<long>, sk array<long>")
+    entries = _dealt(chosen.mapInArrow(K.releasing(_entries(width, bits, False)), _ENTRIES), bits)
+    whole = _dealt(entries.mapInArrow(K.releasing(_shared(bits)), "bucket long, keys binary, a binary, b binary"), bits).mapInArrow(K.releasing(_sets), "key long, h long, s array<long>, sk array<long>")
     return stored(whole.join(left.select("key", "n"), "key").filter(100 * F.col("h") >= percent * F.col("n")).select("key", "n", "h", "s", "sk"), "points")
 
 
@@ -361,7 +361,7 @@ def voronoi_level(active: DataFrame, points: DataFrame, pivots: list[tuple[int,
     """(links, the points outside all cells, how many points are in cells) of one level."""
     spark = points.sparkSession
     r = 1 - percent / 100 + 1e-9
-    seen = stored(active.select("key", "n", "h", "sk", "s").mapInArrow(_measure(pivots, percent), "key long, n long, h long, sk array<long>, home long, near array<struct<p:long,common:long,whole:long>>"), "measured")
+    seen = stored(active.select("key", "n", "h", "sk", "s").mapInArrow(K.releasing(_measure(pivots, percent)), "key long, n long, h long, sk array<long>, home long, near array<struct<p:long,common:long,whole:long>>"), "measured")
     close = F.filter("near", lambda x: 100 * x["common"] >= percent * x["whole"])
     stars = seen.filter("home is not null").select("home", F.explode(F.transform(close, lambda x: x["p"])).alias("p")).filter("home <> p").distinct().collect()  # at most PIVOTS squared
     label = _joined_pivots([tuple(x) for x in stars], [k for k, _, _ in pivots])
@@ -417,7 +417,7 @@ def point_links(points: DataFrame, percent: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = 5) -> DataFrame:
     """doc_id, n_shingles and component_id of each document of docs (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    signs = stored(rows.select("doc_id", "text").mapInArrow(_signer(width), _SIGNS), "signs")
+    signs = stored(rows.select("doc_id", "text").mapInArrow(K.releasing(_signer(width)), _SIGNS), "signs")
     links = point_links(linkable_points(rows, signs, percent, width), percent)
     # Different sets under one doc_id belong to one document.
     several = signs.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("top")).filter("a <> top").select("doc_id", "a")

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import textkernel as K
 from .scratch import stored
 from .token_ids import END_ID, encoder, public_path
 
@@ -141,7 +142,7 @@ def _cutter(path: str, max_len: int):
         ids_of = encoder(path)
         raw_of = ids_of.whole
         end = END_ID.to_bytes(4, "little")
-        for batch in batches:
+        for batch in K.slices(batches):
             ids, out = batch.column(0).to_pylist(), ([], [], [], [], [])
             for doc, text in zip(ids, batch.column(1)):
                 raw = raw_of(text.as_py() or "") + end
@@ -160,7 +161,7 @@ def _cutter(path: str, max_len: int):
 
 def cut_pieces(docs: DataFrame, tokenizer: str | None = None, max_len: int = MAX_LEN) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(_cutter(tokenizer or public_path(), max_len), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(K.releasing(_cutter(tokenizer or public_path(), max_len)), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, max_len: int = MAX_LEN) -> DataFrame:

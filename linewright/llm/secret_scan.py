@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkernel as K
+
 # The base patterns and their least lengths.
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -256,7 +258,7 @@ def _join(spans: list[tuple[str, int, int]]) -> str:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in K.slices(batches):
         at = batch.schema.get_field_index("text")
         base, spans = [], []
         for text in batch.column(at):
@@ -270,7 +272,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, base and spans (arrays of kind, start, end) for each row of docs."""
     kind = "array<struct<kind:string,start:long,end:long>>"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scan, f"doc_id long, base {kind}, spans {kind}")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(K.releasing(_scan), f"doc_id long, base {kind}, spans {kind}")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -281,7 +283,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 def _masker(mask: str):
     def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in K.slices(batches):
             at = batch.schema.get_field_index("text")
             out = []
             for x in batch.column(at):
@@ -301,7 +303,7 @@ def _masker(mask: str):
 
 def redact_secrets(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """docs with every found span of the text replaced; overlapping spans are one."""
-    return docs.mapInArrow(_masker(mask), docs.schema)
+    return docs.mapInArrow(K.releasing(_masker(mask)), docs.schema)
 
 
 def base_digest_of(spans: list[tuple[str, int, int]]) -> str:

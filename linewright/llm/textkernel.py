@@ -11,7 +11,9 @@ that occur in no other character, so words can be found bytewise.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,35 @@ IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 
 
+def release() -> None:
+    """Gives unused memory of the process back, which allocators keep for later otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not a GNU system
+        pass
+
+
+def releasing(mapper: Callable) -> Callable:
+    """A mapper of Arrow batches that leaves no unused memory to its worker, which waits for the next task."""
+
+    @functools.wraps(mapper)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from mapper(batches)
+        finally:
+            release()
+
+    return run
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, for mappers that make Python objects of them."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (the splitmix64 one)."""
     x = x ^ (x >> np.uint64(30))

@@ -33,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import textkernel as K
 from .scratch import stored
 from .token_ids import END_ID, encoder, public_path
 
@@ -366,7 +367,7 @@ def write_ids(docs: DataFrame, tokenizer: str | None = None, block: int = BLOCK,
     """Writes the ids of docs in ascending doc_id order; the table of blocks as read back."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return stored(ordered.mapInArrow(_writer(tokenizer or public_path(), block, lanes), _BLOCKS), "token-blocks")
+    return stored(ordered.mapInArrow(K.releasing(_writer(tokenizer or public_path(), block, lanes)), _BLOCKS), "token-blocks")
 
 
 _SEGMENTS = "part int, ordinal long, doc_id long, start long, n long, crc long"
@@ -403,9 +404,9 @@ def _join_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def read_ids(blocks: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from decoded blocks."""
-    segments = stored(blocks.select("part", "data").mapInArrow(_reader, _SEGMENTS), "segments")
+    segments = stored(blocks.select("part", "data").mapInArrow(K.releasing(_reader), _SEGMENTS), "segments")
     docs = segments.groupBy("part", "ordinal").agg(F.min("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("start", "n", "crc"))).alias("segments"))
-    joined = docs.drop("ordinal").mapInArrow(_join_segments, "part int, doc_id long, start long, n_tokens long, ids_crc32 long")
+    joined = docs.drop("ordinal").mapInArrow(K.releasing(_join_segments), "part int, doc_id long, start long, n_tokens long, ids_crc32 long")
     totals = segments.groupBy("part").agg(F.sum("n").alias("n"))  # one row for each written file
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import textkernel as K
 from .scratch import stored
 
 # The rules as (verdict, host/path).
@@ -113,7 +114,7 @@ def mine(labelled: DataFrame, limits: MiningLimits = MiningLimits()) -> DataFram
     from pyspark.ml.fpm import FPGrowth
 
     spark = labelled.sparkSession
-    items = stored(labelled.filter("block is not null").select(F.col("url").cast("string"), F.col("block").cast("boolean")).mapInArrow(_tokenise, "items array<string>"), "url-items")
+    items = stored(labelled.filter("block is not null").select(F.col("url").cast("string"), F.col("block").cast("boolean")).mapInArrow(K.releasing(_tokenise), "items array<string>"), "url-items")
     n, bad = items.agg(F.count("*"), F.count(F.when(F.array_contains("items", "=block"), 1))).first()
     if not 0 < bad < n:
         return spark.createDataFrame([], _RULES)
@@ -179,7 +180,7 @@ def joined_verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
     often = rules.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     named = rules.select("*", F.explode("tokens").alias("token")).join(often, "token").groupBy("tokens", "block", "certainty", "urls").agg(F.min(F.struct("n", "token")).alias("least"))
     index = named.select("tokens", "block", "certainty", "urls", F.col("least.token").alias("token"))
-    tried = urls.select("url").distinct().mapInArrow(_url_tokens, "url string, own array<string>").select("url", "own", F.explode("own").alias("token"))
+    tried = urls.select("url").distinct().mapInArrow(K.releasing(_url_tokens), "url string, own array<string>").select("url", "own", F.explode("own").alias("token"))
     fit = tried.join(index, "token").filter(F.size(F.array_except("tokens", "own")) == 0)
     best = fit.groupBy("url").agg(F.min(F.struct((-F.col("certainty")).alias("c"), (-F.col("urls")).alias("u"), "tokens", "block")).alias("rule"))
     return best.select(F.col("url").alias("judged_url"), F.when(F.col("rule.block"), "block").otherwise("allow").alias("mined"))
@@ -195,7 +196,7 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, rules: Sequence[tuple[str,
         verdicts = joined_verdicts(rows.filter("verdict is null"), mined)
         return rows.join(verdicts, rows["url"] == F.col("judged_url"), "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", "mined", F.lit("allow")).alias("verdict"))
     known = [MinedRule(frozenset(r["tokens"]), r["block"], r["certainty"], r["urls"]) for r in mined.collect()]  # at most rules_sent
-    return rows.mapInArrow(_judge(build_index(known)), "page_id long, host string, path string, rule string, verdict string")
+    return rows.mapInArrow(K.releasing(_judge(build_index(known))), "page_id long, host string, path string, rule string, verdict string")
 
 
 def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:

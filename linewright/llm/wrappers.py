@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkernel as K
 from .html_blocks import Block, read
 from .scratch import stored
 from .url_rules import host_of
@@ -322,7 +323,7 @@ def _merge_shapes(group: pd.DataFrame) -> pd.DataFrame:
 
 def infer_wrappers(pages: DataFrame, merge_group: int = MERGE_GROUP) -> DataFrame:
     """host and shape (the wrapper, and the least crcs of its pages, as JSON) for each host of pages (host, html)."""
-    shapes = stored(pages.select("host", "html").mapInArrow(_shapes, _SHAPES), "shapes")
+    shapes = stored(pages.select("host", "html").mapInArrow(K.releasing(_shapes), _SHAPES), "shapes")
     while True:
         most = shapes.groupBy("host").count().agg(F.max("count")).first()[0] or 0
         if most <= 1:
@@ -369,5 +370,5 @@ def extract_main_text(pages: DataFrame, sent_chars: int = BROADCAST_CHARS) -> Da
     size = wrappers.agg(F.sum(F.length("host") + F.length("shape"))).first()[0] or 0
     out = "page_id long, url string, text string, n_chars long"
     if size <= sent_chars:
-        return rows.mapInArrow(_extract({r["host"]: r["shape"] for r in wrappers.collect()}), out)  # at most sent_chars
-    return rows.join(wrappers, "host", "left").mapInArrow(_extract(None), out)
+        return rows.mapInArrow(K.releasing(_extract({r["host"]: r["shape"] for r in wrappers.collect()})), out)  # at most sent_chars
+    return rows.join(wrappers, "host", "left").mapInArrow(K.releasing(_extract(None)), out)
