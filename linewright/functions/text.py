@@ -231,6 +231,16 @@ def chat_endpoint(c: Column) -> Column:
     return F.when(base.rlike("(?i)/chat/completions$"), base).when(base.rlike(r"(?i)/v[0-9]+$"), F.concat(base, F.lit("/chat/completions"))).when(base == "", base).otherwise(F.concat(base, F.lit("/v1/chat/completions")))
 
 
+def name_endpoint(c: Column) -> Column:
+    """The same for the service that names are asked of: an empty address is its local one."""
+    return F.when(unicode_trim(c) == "", F.lit("http://localhost:8080/v1/chat/completions")).otherwise(chat_endpoint(c))
+
+
+def is_family_model(c: Column, marker: str) -> Column:
+    """Whether a model's name holds the marker of a family, in either case; a generic model is one that does not."""
+    return F.contains(F.lower(c), F.lit(marker.lower()))
+
+
 def is_css_length(c: Column) -> Column:
     return unicode_trim(c).rlike(r"(?i)^(?:0|[0-9]+(?:\.[0-9]+)?(?:px|em|rem|%|pt|ex|ch|vh|vw))$")
 

@@ -228,6 +228,21 @@ def resume_join(spark, sf_dir):
     return done.groupBy("doc_id", "batch_id").agg(F.count("*").alias("n"), F.count("dst").alias("done"), F.bool_and(F.col("dst").isNotNull()).alias("skip"))
 
 
+def translated_documents(spark, sf_dir):
+    """The whole plan over documents with the stand-in model: batches, context, prompts, parsing, checks, repair, retries."""
+    from . import translation
+
+    result = translation.translate(table(spark, sf_dir, "documents"))
+    return result.select("doc_id", "line_no", "dst", "error", "bucket", F.col("attempts").cast("int").alias("attempts"))
+
+
+def translation_report(spark, sf_dir):
+    """Counts by document of what that plan did; mere normalisations are no errors."""
+    from . import translation
+
+    return translation.report(translation.translate(table(spark, sf_dir, "documents").filter("lang = 'fr'")), "doc_id")
+
+
 def page_contents(spark, sf_dir):
     """Whether a page looks like a table of contents: three links, and twice as many as half its blocks."""
     n = lambda p: F.regexp_count("html", F.lit(p))
@@ -244,7 +259,7 @@ def label_quality(spark, sf_dir):
 _own = (
     flagship, lines_scan, line_classes, script_predicates, line_detection, category_scores, segments, batch_needs, context_selection, batch_context, pair_checks, pair_predicates, pair_repair, check_fix_report, batch_prompts,
     response_parsing, glossary_audit, glossary_duplicates, glossary_conflicts, glossary_conflict_samples, glossary_compact_text, gender_propagation, characters, mention_frames, bio_entities, merged_entities, name_clusters,
-    resume_join, page_contents, label_quality,
+    resume_join, translated_documents, translation_report, page_contents, label_quality,
 )
 QUERIES = {f.__name__: f for f in _own} | probes.QUERIES
 
@@ -266,7 +281,32 @@ _alias = O.strip_suffixes(f"(SELECT *, {O.trim("replace(name, '　', '')")} AS r
 _far = lambda f: "[" + ", ".join(f"coalesce({f}({O.trim('line')}, {k}) OVER o, '')" for k in (range(5, 0, -1) if f == "lag" else range(1, 6))) + "]"
 _full = lambda x: f"list_filter({x}, lambda z: {O.trim('z')} <> '')"
 
+_upper = "(SELECT doc_id AS conv_id, line_no AS turn, 0 AS variant, line AS src, upper(replace(line, 'ß', 'ss')) AS dst FROM scanned)"
+
+
+def _translated(scanned: str) -> str:
+    """Subqueries to ``translated``: what the stand-in says, what the checks find at first, alone, and with hard checks only."""
+    error = lambda soft: f"(WITH {O.checks('said', soft)} SELECT turn, conv_id, error FROM checked)"
+    again = lambda soft: f"(WITH {O.checks('(SELECT conv_id, turn, variant, src, fixed AS dst FROM fixes)', soft)} SELECT turn, conv_id, error AS final FROM checked)"
+    bucket = lambda e, f: f"CASE WHEN {e} = 'NONE' AND fixed <> dst THEN 'auto_fix' WHEN {e} = 'NONE' THEN 'none' WHEN {f} = 'NONE' THEN 'fixed' ELSE 'failed' END"
+    return f"""{scanned}, said AS {_upper}, fixes AS (SELECT conv_id, turn, variant, s.src, f.dst AS fixed FROM {O.repaired('said')} f JOIN said s USING (conv_id, turn, variant)),
+      numbered AS (SELECT *, CAST(floor((line_no - 1) / {BATCH}) AS BIGINT) AS batch_id, CAST('0x' || left(md5(doc_id || '/' || CAST(floor((line_no - 1) / {BATCH}) AS BIGINT)), 7) AS BIGINT) AS number FROM scanned),
+      placed AS (SELECT *, row_number() OVER b AS r, count(*) OVER (PARTITION BY doc_id, batch_id) AS k FROM numbered WINDOW b AS (PARTITION BY doc_id, batch_id ORDER BY line_no)),
+      lost AS (SELECT *, number % 11 = 4 OR (number % 7 = 3 AND k > 1 AND r = k) OR (number % 7 = 5 AND r = 1) AS missing, number % 11 = 4 OR (number % 7 = 5 AND k = 1) AS blank FROM placed),
+      met AS (SELECT l.doc_id, l.line_no, l.missing, l.blank, s.dst, f.fixed, a.error AS e1, b.final AS f1, c.error AS e3, d.final AS f3 FROM lost l JOIN said s ON s.conv_id = l.doc_id AND s.turn = l.line_no JOIN fixes f ON f.conv_id = l.doc_id AND f.turn = l.line_no
+        JOIN {error(True)} a ON a.conv_id = l.doc_id AND a.turn = l.line_no JOIN {again(True)} b ON b.conv_id = l.doc_id AND b.turn = l.line_no JOIN {error(False)} c ON c.conv_id = l.doc_id AND c.turn = l.line_no JOIN {again(False)} d ON d.conv_id = l.doc_id AND d.turn = l.line_no),
+      rounds AS (SELECT *, {bucket('e1', 'f1')} AS b1, {bucket('e3', 'f3')} AS b3, CASE WHEN NOT missing AND b1 <> 'failed' THEN 1 WHEN b1 <> 'failed' THEN 2 ELSE 4 END AS attempts FROM met),
+      translated AS (SELECT doc_id, line_no, CASE WHEN bucket IN ('auto_fix', 'fixed') THEN fixed WHEN bucket = 'none' THEN dst END AS dst, CASE WHEN bucket = 'failed' THEN f ELSE e END AS error, bucket, CAST(attempts AS INTEGER) AS attempts
+        FROM (SELECT *, CASE WHEN attempts < 4 THEN b1 ELSE b3 END AS bucket, CASE WHEN attempts < 4 THEN e1 ELSE e3 END AS e, CASE WHEN attempts < 4 THEN f1 ELSE f3 END AS f FROM rounds))"""
+
+
+_FR = "(SELECT * FROM documents WHERE lang = 'fr')"
+_PLAIN = r"""split AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda x: x <> '') AS p FROM documents),
+scanned AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS line_no, unnest(p) AS line FROM split)"""
+
 ORACLE_SQL = probes.ORACLE_SQL | {
+    "translated_documents": f"WITH {_translated(_PLAIN)} SELECT * FROM translated",
+    "translation_report": f"WITH {_translated(_PLAIN.replace('FROM documents', 'FROM ' + _FR))} SELECT doc_id, count(*) AS lines, count(dst) AS translated, count_if(bucket = 'auto_fix') AS normalised, count_if(bucket = 'fixed') AS fixed, count_if(bucket = 'failed') AS failed, count_if(bucket IN ('fixed', 'failed')) AS total_errors FROM translated GROUP BY doc_id",
     "script_predicates": f"""WITH {O.RAW}, c AS (SELECT * FROM {_said}) SELECT doc_id, count_if(regexp_matches(line, '[぀-ゟ]')) AS hiragana, count_if(regexp_matches(line, '[゠-ヿ]')) AS katakana, count_if(regexp_matches(line, '[{O.CJK}]')) AS cjk, count_if(regexp_matches(line, '[가-힯ᄀ-ᇿ]')) AS hangul,
       count_if(regexp_matches(line, '^{_PUNCT}*$')) AS punctuation, count_if(raw = '' OR raw IN ({O.TITLES}) OR {O.trim('core')} = '' OR {O.trim('core')} IN ({O.TITLES})) AS title, count_if(length(raw) >= 2 AND ends_with(raw, '家')) AS family,
       CAST(sum(length(line)) AS BIGINT) AS chars, CAST(sum(len(list_distinct(regexp_extract_all({O.half('line')}, '[0-9]+')))) AS BIGINT) AS numbers FROM c GROUP BY doc_id""",

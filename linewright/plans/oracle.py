@@ -113,15 +113,19 @@ def half(x: str) -> str:
     return f"translate({x}, '０１２３４５６７８９', '0123456789')"
 
 
-def checks(source: str) -> str:
-    """Subqueries from a relation of pairs to ``checked`` (with error)."""
+def checks(source: str, soft: bool = True) -> str:
+    """Subqueries from a relation of pairs to ``checked`` (with error), with all checks or the hard ones only."""
+    end = "ELSE 'NONE' END AS error FROM predicates)"
     return f"""t AS (SELECT *, {trim('src')} AS s, {trim('dst')} AS d FROM {source}),
 predicates AS (SELECT conv_id, turn, variant, src, dst, s, d, regexp_matches(s, '^[\\s\\p{{Z}}、-〿！-／：-？［-｀｛-･!-/:-@\\[-`{{-~]*$') AS only_punctuation, len(regexp_extract_all(d, '\\\\?"\\\\?:\\\\?"')) AS json_parts,
   (NOT {repeated('s', 1, 3, 16)} AND {repeated('d', 1, 3, 16)}) OR (NOT {repeated('s', 4, 10, 4)} AND {repeated('d', 4, 10, 4)}) AS degraded, {jaccard('s', 'd')} AS jaccard, contains(s, d) OR contains(d, s) AS contained,
   length(d)::DOUBLE / nullif(length(s), 0) AS ratio, list_distinct(regexp_extract_all({half('s')}, '[0-9]+')) AS s_numbers, list_distinct(regexp_extract_all({half('d')}, '[0-9]+')) AS d_numbers, regexp_matches({half('s')}, '第[0-9]+[話话章節节回]') AS chapter FROM t),
-checked AS (SELECT *, CASE WHEN d = '' THEN 'FAIL_PARSE' WHEN only_punctuation THEN 'NONE' WHEN json_parts >= 3 THEN 'JSON_STRUCTURE_ERROR' WHEN degraded THEN 'DEGRADATION'
-  WHEN s = d AND length(s) >= 3 AND regexp_matches(s, '[{CJK}]') THEN 'HIGH_SIMILARITY' WHEN length(s) >= 10 AND length(d) >= 5 AND (ratio < 0.3 OR ratio > 3.0) THEN 'LENGTH_MISMATCH'
-  WHEN len(s_numbers) BETWEEN 1 AND 3 AND len(list_intersect(s_numbers, d_numbers)) = 0 AND chapter THEN 'LENGTH_MISMATCH' WHEN contained OR jaccard > 0.8 THEN 'HIGH_SIMILARITY' ELSE 'NONE' END AS error FROM predicates)"""
+checked AS (SELECT *, CASE WHEN d = '' THEN 'FAIL_PARSE' WHEN only_punctuation THEN 'NONE' WHEN json_parts >= 3 THEN 'JSON_STRUCTURE_ERROR' WHEN degraded THEN 'DEGRADATION' """ + (
+        f"""WHEN s = d AND length(s) >= 3 AND regexp_matches(s, '[{CJK}]') THEN 'HIGH_SIMILARITY' WHEN length(s) >= 10 AND length(d) >= 5 AND (ratio < 0.3 OR ratio > 3.0) THEN 'LENGTH_MISMATCH'
+  WHEN len(s_numbers) BETWEEN 1 AND 3 AND len(list_intersect(s_numbers, d_numbers)) = 0 AND chapter THEN 'LENGTH_MISMATCH' WHEN contained OR jaccard > 0.8 THEN 'HIGH_SIMILARITY' {end}"""
+        if soft
+        else end
+    )
 
 
 CHECKED = f"{PAIRS}, {checks('pairs')}"

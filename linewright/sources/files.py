@@ -71,18 +71,76 @@ def load_rules(spark: SparkSession, path: str | None = None, use_default: bool =
 
 
 def output_lines(blocks: DataFrame, bilingual: bool = False) -> DataFrame:
-    """path, order, value: translations, or source, translation and a blank line; without a translation the source stands in."""
-    dst = F.coalesce(F.when(F.trim("dst_text") != "", F.col("dst_text")), F.col("src_text"))
+    """path, order, value: translations, or source, translation and a blank line; where a translation is missing the source stands in, a blank one stays."""
+    dst = F.coalesce("dst_text", "src_text")
     values = F.array(F.col("src_text"), dst, F.lit("")) if bilingual else F.array(dst)
     return blocks.select("path", "index", F.posexplode(values).alias("part", "value"))
 
 
 def write_texts(blocks: DataFrame, out: str, bilingual: bool = False) -> None:
-    """One ordered text per source file, in a folder of its own."""
-    rows = output_lines(blocks, bilingual).withColumn("name", F.element_at(F.split("path", "/"), -1))
+    """One ordered text per source file, in a folder that its whole path names: files of one name in two folders stay apart."""
+    name = F.regexp_replace(F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:/+", ""), "^/+|/+$", "")
+    rows = output_lines(blocks, bilingual).withColumn("name", name)
     rows.repartition("name").sortWithinPartitions("name", "index", "part").select("name", "value").write.partitionBy("name").text(out)
 
 
+def write_binaries(files: DataFrame, out: str, workers: int = 16) -> None:
+    """files (path, content) under out, each by the last two parts of its path; a file is written whole to a name beside it and then renamed."""
+    from urllib.parse import unquote, urlsplit
+
+    if urlsplit(out).scheme not in ("", "file"):
+        raise ValueError("binaries are written to a folder that all executors mount")
+    root = unquote(urlsplit(out).path)
+
+    def write(rows):
+        import os
+        import posixpath
+        import uuid
+
+        for r in rows:
+            parts = unquote(urlsplit(r["path"]).path).strip("/").split("/")[-2:]
+            target = posixpath.join(root, *parts)
+            os.makedirs(posixpath.dirname(target), exist_ok=True)
+            part = f"{target}.{uuid.uuid4().hex}"
+            with open(part, "wb") as f:
+                f.write(bytes(r["content"]))
+            os.replace(part, target)
+
+    files.select("path", "content").repartition(workers, "path").foreachPartition(write)
+
+
+def manifest(path: str, stage: str, **fields) -> dict:
+    """What a work folder says of itself: fixed fields first, then what the caller adds; ``fingerprint`` covers all that must be equal to take it up again."""
+    import datetime
+
+    known = {
+        "version": 1, "input": path, "stage": stage, "created": datetime.datetime.now(datetime.timezone.utc).isoformat(timespec="seconds"),
+        **{k: fields.pop(k, None) for k in ("input_sha256", "source_lang", "target_lang", "model", "rules_sha256", "glossary_sha256", "batch_size", "context_lines", "max_retry", "similarity", "mode")},
+    }
+    changing = ("created", "stage")
+    return {**known, **fields, "fingerprint": fingerprint(**{k: v for k, v in {**known, **fields}.items() if k not in changing})}
+
+
+def write_snapshot(rows: DataFrame, folder: str, stage: str, about: dict) -> None:
+    """A stage's rows and its manifest under folder/stage; the manifest comes last, so a folder without one is not whole."""
+    spark = rows.sparkSession
+    rows.write.mode("overwrite").json(f"{folder}/{stage}/rows")
+    spark.createDataFrame([(json.dumps(about, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{stage}/manifest")
+
+
+def read_snapshot(spark: SparkSession, folder: str, stage: str, schema: str, expected: str | None = None) -> DataFrame | None:
+    """The rows of a whole stage whose fingerprint is the expected one (any, if none is given); else nothing."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        about = json.loads(spark.read.text(f"{folder}/{stage}/manifest").first()["value"])
+        if expected is not None and about.get("fingerprint") != expected:
+            return None
+        return spark.read.schema(schema).json(f"{folder}/{stage}/rows")
+    except (AnalysisException, TypeError, ValueError):
+        return None
+
+
 def write_json(rows: DataFrame, out: str) -> None:
     rows.write.mode("overwrite").json(out)
 
@@ -121,3 +179,14 @@ def work_files(names: list[str], stem: str) -> list[str]:
     """Of a folder's names those that belong to the work on one input: its suffixed files and its work folder."""
     suffixes = ("_glossary.json", "_output.json", "_characters.json", "_work")
     return sorted(n for n in names if any(n == stem + s for s in suffixes))
+
+
+def purge(spark: SparkSession, folder: str, stem: str) -> list[str]:
+    """Deletes from a folder what belongs to the work on one input; the names that went."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = {f.getPath().getName(): f.getPath() for f in fs.listStatus(hadoop)}
+    gone = work_files(list(found), stem)
+    for name in gone:
+        fs.delete(found[name], True)
+    return gone
