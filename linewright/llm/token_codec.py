@@ -2,17 +2,17 @@
 
 Ids are cut into blocks of ``BLOCK`` ids.  Each block starts with an empty
 model and ends with a checksum, so any block can be read alone.  For each
-id, the model predicts one id from the last two (order 2) and one from the
-last one (order 1).  How likely each is right comes from two adaptive
-estimates (the slot's confidence, and its latest outcomes) mixed in the
-logistic domain with learned weights.  One range-coder event says which
-prediction holds; an id that neither predicts is coded by an adaptive order-0
-distribution over 64 classes of ids, and its place in the class.
+id, the model predicts one id from the last two (order 2), one from the
+last one (order 1), and a distribution over 64 classes of ids (order 0).  The orders are mixed
+in the logistic domain with learned weights: that the order-2 id comes has the evidence of orders 2 and 1, with weights
+of their own where the two agree; that the order-1 id comes has the evidence of orders 1 and 0.  One range-coder event says which
+prediction holds; an id that neither predicts is coded by the order-0
+distribution, and its place in the class.
 All arithmetic is on integers.  numpy runs many blocks in step, one in each lane.
 
 A block in bytes (little-endian): ``LWB1``, number of ids (u32), index of its first id in
 its part (u64), number of document entries (u32), number of words (u32), the entries
-(document's ordinal in the part u64, doc_id i64, ids in this block u32, first 1 if the document starts here u32), the coder's words (u32
+(document's ordinal in the part u64, doc_id i64, ids in this block u32, flags u32: 1 if the document starts here, 2 if it has no doc_id), the coder's words (u32
 each), crc32 of all before (u32).  Blocks are rows of a Parquet table, which is what makes writing them
 atomic when executors are lost.
 
@@ -42,7 +42,6 @@ LANES = 1024
 _SLOTS = 4096
 _U = np.uint64
 _HEAD, _ENTRY = struct.Struct("<4sIQII"), struct.Struct("<QqII")
-_NO_ID = -(1 << 63)
 
 
 def _tables():
@@ -75,52 +74,59 @@ class _Model:
         self.ids = np.zeros((2, n * _SLOTS), dtype=np.uint32)
         self.sure = np.zeros((2, n * _SLOTS), dtype=np.int8)
         self.by_sure = np.full((2, n * 8), 1 << 13, dtype=np.int64)
-        self.by_past = np.full((2, n * 16), 1 << 13, dtype=np.int64)
-        self.past = np.zeros((2, n), dtype=np.int64)
-        self.weight = np.full((2, 2, n), 1 << 15, dtype=np.int64)
+        #: Weights of the two inputs of the first event, apart (first n) and in agreement, and of the second event.
+        self.first = np.full((2, 2 * n), 1 << 15, dtype=np.int64)
+        self.second = np.full((2, n), 1 << 15, dtype=np.int64)
         self.last = np.zeros((2, n), dtype=np.int64)
         self.freq = np.ones((n, 64), dtype=np.uint32)
+        self.total = np.full(n, 64, dtype=np.int64)
+        self.lanes = n
 
     def predict(self, n: int):
         """Ids of order 2 and 1 for the first n lanes, and the limits of their parts of 2**16."""
-        one, two = self.last[0, :n], self.last[1, :n]
+        one, two, lane = self.last[0, :n], self.last[1, :n], self.lane[:n]
         hashed = ((one * 0x9E3779B1 + two * 0x85EBCA77) & 0xFFFFFFFF) >> 20, ((one * 0x9E3779B1) & 0xFFFFFFFF) >> 20
-        self.at = [self.lane[:n] * _SLOTS + h for h in hashed]
-        self.seen = []
-        for k in (0, 1):
-            sure = self.sure[k][self.at[k]]
-            a, b = self.lane[:n] * 8 + sure, self.lane[:n] * 16 + self.past[k, :n]
-            s1, s2 = _STRETCH[self.by_sure[k][a] >> 4], _STRETCH[self.by_past[k][b] >> 4]
-            p = _SQUASH[np.clip((self.weight[k, 0, :n] * s1 + self.weight[k, 1, :n] * s2) >> 16, -2048, 2047) + 2048]
-            self.seen.append((sure, a, b, s1, s2, p))
+        self.at = [lane * _SLOTS + h for h in hashed]
         guess = self.ids[0][self.at[0]], self.ids[1][self.at[1]]
-        first = self.seen[0][-1] << 4
-        second = np.where(guess[0] == guess[1], 0, ((65536 - first) * self.seen[1][-1]) >> 12)
+        self.known = [self.sure[k][self.at[k]] for k in (0, 1)]
+        self.place = [lane * 8 + k for k in self.known]
+        s2, s1 = (_STRETCH[self.by_sure[k][self.place[k]] >> 4] for k in (0, 1))
+        s0 = _STRETCH[np.minimum((self.freq[lane, _KIND[guess[1]]].astype(np.int64) << 12) // self.total[:n], 4095)]
+        self.agree = guess[0] == guess[1]
+        self.row = lane + self.agree * self.lanes
+        p = _SQUASH[np.clip((self.first[0][self.row] * s2 + self.first[1][self.row] * s1) >> 16, -2048, 2047) + 2048]
+        q = _SQUASH[np.clip((self.second[0, :n] * s1 + self.second[1, :n] * s0) >> 16, -2048, 2047) + 2048]
+        self.inputs = s2, s1, s0, p, q
+        first = p << 4
+        second = np.where(self.agree, 0, ((65536 - first) * q) >> 12)
         return guess, first, first + second
 
     def learn(self, n: int, guess, ids: np.ndarray) -> None:
+        s2, s1, s0, p, q = self.inputs
+        hits = [guess[k] == ids for k in (0, 1)]
+        err = (hits[0].astype(np.int64) << 12) - p
+        self.first[0][self.row] += (s2 * err) >> 10
+        self.first[1][self.row] += (s1 * err) >> 10
+        # The second event only took place where the first did not, between different ids.
+        err = np.where(hits[0] | self.agree, 0, (hits[1].astype(np.int64) << 12) - q)
+        self.second[0, :n] += (s1 * err) >> 10
+        self.second[1, :n] += (s0 * err) >> 10
         for k in (0, 1):
-            sure, a, b, s1, s2, p = self.seen[k]
-            hit = guess[k] == ids
-            one = hit.astype(np.int64)
-            err = (one << 12) - p
-            self.weight[k, 0, :n] += (s1 * err) >> 10
-            self.weight[k, 1, :n] += (s2 * err) >> 10
-            for table, at in ((self.by_sure[k], a), (self.by_past[k], b)):
-                old = table[at]
-                table[at] = old + (((one << 16) - one - old) >> 5)
-            self.past[k, :n] = ((self.past[k, :n] << 1) | one) & 15
-            keep = hit | (sure > 0)
-            self.ids[k][self.at[k]] = np.where(keep, guess[k], ids)
-            self.sure[k][self.at[k]] = np.where(hit, np.minimum(sure + 1, 7), sure >> 1)
+            hit, known, at, place = hits[k], self.known[k], self.at[k], self.place[k]
+            old = self.by_sure[k][place]
+            self.by_sure[k][place] = old + (((hit.astype(np.int64) << 16) - hit - old) >> 5)
+            self.ids[k][at] = np.where(hit | (known > 0), guess[k], ids)
+            self.sure[k][at] = np.where(hit, np.minimum(known + 1, 7), known >> 1)
         self.last[1, :n] = self.last[0, :n]
         self.last[0, :n] = ids
 
-    def learn_class(self, lanes: np.ndarray, kind: np.ndarray, total: np.ndarray) -> None:
+    def learn_class(self, lanes: np.ndarray, kind: np.ndarray) -> None:
         self.freq[lanes, kind] += 24
-        full = lanes[total > 1 << 14]
+        self.total[lanes] += 24
+        full = lanes[self.total[lanes] > 1 << 14]
         if len(full):
             self.freq[full] = (self.freq[full] + 1) >> 1
+            self.total[full] = self.freq[full].sum(axis=1)
 
 
 def _encode(blocks: list[np.ndarray]) -> list[np.ndarray]:
@@ -165,7 +171,7 @@ def _encode(blocks: list[np.ndarray]) -> list[np.ndarray]:
             row = np.arange(len(miss))
             own, total = model.freq[miss, kind], sums[:, -1]
             code(miss, (sums[row, kind] - own).astype(_U), own.astype(_U), span[miss] // total.astype(_U))
-            model.learn_class(miss, kind, total)
+            model.learn_class(miss, kind)
             more = np.flatnonzero(_BITS[kind])
             if len(more):
                 lanes = miss[more]
@@ -223,7 +229,7 @@ def _decode(words: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
             kind = (sums <= value[:, None]).sum(axis=1)
             own = model.freq[miss, kind]
             advance(miss, (sums[np.arange(len(miss)), kind] - own).astype(_U), own.astype(_U), unit)
-            model.learn_class(miss, kind, total)
+            model.learn_class(miss, kind)
             found = _FIRST[kind]
             more = np.flatnonzero(_BITS[kind])
             if len(more):
@@ -238,7 +244,7 @@ def _decode(words: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
     return data
 
 
-def encode_blocks(ids: np.ndarray, entries: list[tuple[int, int, int]], first_index: int, block: int = BLOCK, lanes: int = LANES) -> list[bytes]:
+def encode_blocks(ids: np.ndarray, entries: list[tuple[int, int | None, int]], first_index: int, block: int = BLOCK, lanes: int = LANES) -> list[bytes]:
     """Blocks of the ids of documents (ordinal, doc_id, number of ids) that follow one another.
 
     The first document may have begun before: its ordinal then occurs in earlier blocks too,
@@ -258,7 +264,7 @@ def encode_blocks(ids: np.ndarray, entries: list[tuple[int, int, int]], first_in
                 ordinal, doc, n = next(queue)
                 open_ = [ordinal, doc, abs(n), int(n > 0)]
             take = min(need, open_[2])
-            table.append(_ENTRY.pack(open_[0], open_[1], take, open_[3]))
+            table.append(_ENTRY.pack(open_[0], open_[1] or 0, take, open_[3] | (2 if open_[1] is None else 0)))
             open_[2] -= take
             open_[3] = 0
             need -= take
@@ -351,7 +357,7 @@ def _writer(path: str, block: int, lanes: int):
                 raw = raw_of(text.as_py() or "") + end
                 doc = doc.as_py()
                 waiting.append(raw)
-                entries.append((ordinal, _NO_ID if doc is None else doc, len(raw) // 4))
+                entries.append((ordinal, doc, len(raw) // 4))
                 ordinal += 1
                 size += len(raw) // 4
                 if size >= block * lanes:
@@ -381,8 +387,8 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out: tuple[list, ...] = ([], [], [], [], [], [])
             for first, ids, entries in decode_blocks(blocks):
                 at = 0
-                for ordinal, doc, n, _ in entries:
-                    values = part, ordinal, None if doc == _NO_ID else doc, first + at, n, zlib.crc32(ids[at : at + n].tobytes())
+                for ordinal, doc, n, flags in entries:
+                    values = part, ordinal, None if flags & 2 else doc, first + at, n, zlib.crc32(ids[at : at + n].tobytes())
                     for column, value in zip(out, values):
                         column.append(value)
                     at += n

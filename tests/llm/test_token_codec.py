@@ -16,7 +16,6 @@ from . import edge_cases
 
 def check(df, rows):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in df.collect()}
     at, want = 0, {}
     rows = sorted(rows)
@@ -39,6 +38,10 @@ def test_edges(spark):
     assert C.read_ids(C.write_ids(edge_cases.empty(spark))).count() == 0
     twice = spark.createDataFrame([(5, "a b"), (5, "a b"), (None, "c")], "doc_id long, text string")
     assert sorted((r.doc_id is None, r.start, r.n_tokens) for r in C.read_ids(C.write_ids(twice)).collect()) == [(False, 2, 3), (False, 5, 3), (True, 0, 2)]
+    ends = spark.createDataFrame([(-(1 << 63), "a b"), ((1 << 63) - 1, "c")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.start) for r in C.read_ids(C.write_ids(ends)).collect()) == [(-(1 << 63), 0), ((1 << 63) - 1, 3)]
+    odd = edge_cases.repeated(spark)
+    assert C.read_ids(C.write_ids(odd)).count() == odd.count()
 
 
 @settings(max_examples=40, deadline=None)
