@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +11,18 @@ _PREFIX = "linewright-scratch"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local folder only where that is unset, as in tests."""
+    """``spark.checkpoint.dir`` of the session; the warehouse, which a cluster shares too, where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or f"file://{tempfile.gettempdir()}/linewright").rstrip("/")
+    return (found or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+def own_folder(spark: SparkSession) -> str:
+    """Where this application's tables are."""
+    return f"{shared_folder(spark)}/{_PREFIX}/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{_PREFIX}/{name}-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -51,5 +55,5 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Delete every scratch table in the shared folder; call it when no result is still being read."""
-    delete(spark, f"{shared_folder(spark)}/{_PREFIX}")
+    """Delete this application's scratch tables; call it when no result of it is still being read."""
+    delete(spark, own_folder(spark))

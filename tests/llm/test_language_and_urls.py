@@ -126,3 +126,13 @@ def test_limits_hold_at_every_size_and_mix(spark):
     assert verdicts(rare + many) == ["allow", "block", "block", "allow", "allow"]
     assert verdicts(toxic)[-1] == "allow"
     assert set(verdicts(rare)) == {"allow"}
+
+
+def test_repeated_rows_and_null_ids(spark):
+    docs = edge_cases.repeated(spark)
+    model = language_id.fit(docs)
+    got = language_id.identify(docs, model).collect()
+    assert len(got) == docs.count() and {r.lang_pred for r in got} == {"en", "und"}
+    twice = spark.createDataFrame([(1, "http://a.example/x")] * 3 + [(None, "http://a.example/x"), (None, None)], "page_id long, url string")
+    judged = url_rules.judge_urls(twice, spark.createDataFrame([], "url string, block boolean")).collect()
+    assert len(judged) == 5 and {r.verdict for r in judged} == {"allow"}

@@ -70,3 +70,17 @@ def test_clean_documents_stay(spark):
     left = {r.doc_id for r in decontaminate.without_leaks(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert len(left) > 0.9 * len(rows)
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_take_repeated_rows_and_null_ids(spark, tmp_path):
+    edge_cases.empty(spark).select("doc_id", "text").withColumnRenamed("doc_id", "item_id").write.parquet(str(tmp_path / "benchmark.parquet"))
+    data = edge_cases.repeated(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        data = stage(spark, data, str(tmp_path)).cache()
+        ids = [r.doc_id for r in data.collect()]
+        if name == "quality":
+            assert sorted(ids, key=str) == sorted([1, 1, 2, 3, 6, *[7] * 10, None], key=str)
+        if name == "near_duplicates":
+            assert sorted(ids, key=str) == sorted([1, None], key=str)
+    packed = corpus_pipeline.STAGES[-1][1](spark, data, str(tmp_path)).collect()
+    assert sorted((r.doc_id for r in packed), key=str) == sorted([1, None], key=str) and len({(r.sequence_id, r.offset) for r in packed}) == 2
