@@ -8,6 +8,12 @@ near_duplicates: of each group the document with the smallest doc_id stays.
 decontamination: documents that hold a benchmark item go.
 secrets: found secrets are masked in the text.
 packing: one row for each piece of a document, with its sequence and offset.
+
+Defined results: null, empty and blank texts are rejected by the first stage; rows that are equal in
+doc_id, source and text get one answer, and near_duplicates leaves one row of a doc_id; rows
+without a doc_id are judged by their text alone: quality can reject them, the stages that name
+documents by their id let them pass, the last two take them as they are; other columns, whatever their names, go through
+all stages but the last; an empty table gives an empty one at every stage; texts of any length are taken whole.
 """
 
 from __future__ import annotations

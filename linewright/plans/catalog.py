@@ -12,6 +12,7 @@ from ..operators import context as C
 from ..operators import entities as E
 from ..operators import glossary as G
 from ..operators import lines as L
+from ..operators import markup as M
 from ..operators import prompts as P
 from ..operators import quality as Q
 from ..operators import rules as R
@@ -245,9 +246,8 @@ def translation_report(spark, sf_dir):
 
 def page_contents(spark, sf_dir):
     """Whether a page looks like a table of contents: three links, and twice as many as half its blocks."""
-    n = lambda p: F.regexp_count("html", F.lit(p))
-    rows = table(spark, sf_dir, "pages").select("page_id", n(r"(?i)<a\s[^>]*href").alias("links"), n(r"(?i)<(?:p|li|div)[\s>]").alias("blocks"))
-    return rows.select("page_id", F.col("links").cast("long").alias("links"), F.col("blocks").cast("long").alias("blocks"), ((F.col("links") >= 3) & (2 * F.col("links") >= F.greatest("blocks", F.lit(1)))).alias("is_toc"))
+    n = lambda p: F.regexp_count("html", F.lit(p)).cast("long")
+    return table(spark, sf_dir, "pages").select("page_id", n(M.LINKS).alias("links"), n(M.LINKED_BLOCKS).alias("blocks"), M.is_toc(F.col("html")).alias("is_toc"))
 
 
 def label_quality(spark, sf_dir):
