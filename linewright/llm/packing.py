@@ -33,7 +33,7 @@ MAX_LEN = 2048
 #: Pieces of one length that share a salt.
 RANK_GROUP = 250_000
 #: Parts of a length's ranks by which pieces find their slots.
-RANK_PARTS = 128
+RANK_PARTS = 32
 
 Pattern = tuple[tuple[int, ...], int]
 

@@ -94,3 +94,13 @@ def test_added_tokens_as_in_the_library(spark):
     for _ in range(500):
         text = "".join(rng.choice(["<|endoftext|>", "<|endoftext|>", " ", "\n", "a b", "<|", "|>", "  word", "'s", "é", "12"]) for _ in range(rng.randint(0, 9)))
         assert np.frombuffer(e.whole(text), dtype="<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_repeated_rows_and_null_ids(spark):
+    from . import edge_cases
+
+    docs = edge_cases.repeated(spark)
+    got = packing.pack(docs).collect()
+    assert len(got) == docs.count() and len({(r.sequence_id, r.offset) for r in got}) == len(got)
+    sizes = {x: len(i) + 1 for x, i in zip({t or "" for _, t, _ in edge_cases.repeated_rows()}, library(list({t or "" for _, t, _ in edge_cases.repeated_rows()})))}
+    assert sorted((str(r.doc_id), r.length) for r in got) == sorted((str(i), sizes[t or ""]) for i, t, _ in edge_cases.repeated_rows())
