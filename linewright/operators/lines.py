@@ -22,11 +22,11 @@ SPEECH_VERB = r"と(?:言っ|言われ|呟|囁|叫|怒鳴|答え|返事|尋ね|
 
 @dataclass(frozen=True)
 class Boundaries:
-    """Patterns of lines that are not prose; tried on the trimmed line."""
+    """Patterns of lines that are not prose, tried on the trimmed line; the defaults are our own, packs bring theirs."""
 
-    scene_break: tuple[str, ...] = (r"^[◆◇■□★☆※＊*＝=]{3,}$",)
-    chapter_heading: tuple[str, ...] = (r"^第[0-9０-９一二三四五六七八九十百千]+[章話節部](?:[ 　].*)?$", r"^(?:プロローグ|エピローグ)$")
-    metadata: tuple[str, ...] = (r"^(?:©|ISBN|奥付)",)
+    scene_break: tuple[str, ...] = (r"^(?:[◆◇] ?){3,}$", r"^(?:[*~=-] ?){3,}$")
+    chapter_heading: tuple[str, ...] = (r"^第[0-9]+章", r"^(?:Chapter|Part) [0-9]+(?:[.:]|$)")
+    metadata: tuple[str, ...] = (r"^(?:©|ISBN)",)
 
 
 def raw_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
