@@ -16,8 +16,8 @@ from ..operators import markup as M
 from ..operators import prompts as P
 from ..operators import quality as Q
 from ..operators import rules as R
+from . import books, probes
 from . import oracle as O
-from . import probes
 
 BATCH, WINDOW, PICKED = 20, 30, 5
 
@@ -261,7 +261,7 @@ _own = (
     response_parsing, glossary_audit, glossary_duplicates, glossary_conflicts, glossary_conflict_samples, glossary_compact_text, gender_propagation, characters, mention_frames, bio_entities, merged_entities, name_clusters,
     resume_join, translated_documents, translation_report, page_contents, label_quality,
 )
-QUERIES = {f.__name__: f for f in _own} | probes.QUERIES
+QUERIES = {f.__name__: f for f in _own} | probes.QUERIES | books.QUERIES
 
 _PUNCT = "[\\s、-〿！-／：-？［-｀｛-･!-/:-@\\[-`{-~]"
 _trimmed = O.trim("replace(line, '　', '')")
@@ -277,10 +277,6 @@ whole AS (SELECT *, bool_and(label LIKE 'B-%' OR label = 'I-' || kind) OVER (PAR
 entities AS (SELECT doc_id, line_no, string_agg(token, '' ORDER BY pos) AS text, any_value(kind) AS label, CAST(min(pos * 2) AS INTEGER) AS "start", CAST(max(pos * 2 + 2) AS INTEGER) AS "end", avg(score) AS score FROM whole WHERE w GROUP BY doc_id, line_no, e)"""
 
 _said = O.strip_suffixes(f"(SELECT *, {O.trim("replace(line, '　', '')")} AS raw, CASE WHEN starts_with(raw, 'お') AND length(raw) > 2 THEN substr(raw, 2) WHEN starts_with(raw, 'ご') AND length(raw) > 2 THEN substr(raw, 2) ELSE raw END AS core FROM lines)", "core", N.SUFFIXES, 4)
-_alias = O.strip_suffixes(f"(SELECT *, {O.trim("replace(name, '　', '')")} AS raw, CASE WHEN starts_with(raw, 'お') AND length(raw) > 2 THEN substr(raw, 2) WHEN starts_with(raw, 'ご') AND length(raw) > 2 THEN substr(raw, 2) ELSE raw END AS core FROM per)", "core", N.SUFFIXES)
-_far = lambda f: "[" + ", ".join(f"coalesce({f}({O.trim('line')}, {k}) OVER o, '')" for k in (range(5, 0, -1) if f == "lag" else range(1, 6))) + "]"
-_full = lambda x: f"list_filter({x}, lambda z: {O.trim('z')} <> '')"
-
 _upper = "(SELECT doc_id AS conv_id, line_no AS turn, 0 AS variant, line AS src, upper(replace(line, 'ß', 'ss')) AS dst FROM scanned)"
 
 
@@ -304,7 +300,7 @@ _FR = "(SELECT * FROM documents WHERE lang = 'fr')"
 _PLAIN = r"""split AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda x: x <> '') AS p FROM documents),
 scanned AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS line_no, unnest(p) AS line FROM split)"""
 
-ORACLE_SQL = probes.ORACLE_SQL | {
+ORACLE_SQL = probes.ORACLE_SQL | books.ORACLE_SQL | {
     "translated_documents": f"WITH {_translated(_PLAIN)} SELECT * FROM translated",
     "translation_report": f"WITH {_translated(_PLAIN.replace('FROM documents', 'FROM ' + _FR))} SELECT doc_id, count(*) AS lines, count(dst) AS translated, count_if(bucket = 'auto_fix') AS normalised, count_if(bucket = 'fixed') AS fixed, count_if(bucket = 'failed') AS failed, count_if(bucket IN ('fixed', 'failed')) AS total_errors FROM translated GROUP BY doc_id",
     "script_predicates": f"""WITH {O.RAW}, c AS (SELECT * FROM {_said}) SELECT doc_id, count_if(regexp_matches(line, '[぀-ゟ]')) AS hiragana, count_if(regexp_matches(line, '[゠-ヿ]')) AS katakana, count_if(regexp_matches(line, '[{O.CJK}]')) AS cjk, count_if(regexp_matches(line, '[가-힯ᄀ-ᇿ]')) AS hangul,
@@ -326,19 +322,7 @@ ORACLE_SQL = probes.ORACLE_SQL | {
     "merged_entities": f"""WITH {_TOKENS}, i AS (SELECT *, CASE WHEN lag("end") OVER w = "start" AND lag(label) OVER w = label THEN 0 ELSE 1 END AS fresh FROM entities WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY "start", "end")),
       g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, line_no ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS island FROM i)
       SELECT doc_id, line_no, string_agg(text, '' ORDER BY "start", "end") AS text, any_value(label) AS label, min("start") AS "start", max("end") AS "end", round(list_reduce(list(score ORDER BY "start", "end"), lambda a, x: (a + x) / 2), 6) AS score FROM g GROUP BY doc_id, line_no, island""",
-    "name_clusters": f"""WITH {O.SCANNED}, frames AS (SELECT doc_id, line_no, line, {_far('lag')} AS above, {_far('lead')} AS follow, {_trimmed} AS z FROM scanned WINDOW o AS (PARTITION BY doc_id ORDER BY line_no)),
-      read AS (SELECT * FROM frames WHERE NOT (length(z) < 2 OR regexp_matches(z, '^[{L.FILLER}]+$'))),
-      found AS (SELECT *, unnest(list_filter(regexp_split_to_array(line, '[^A-Za-z]+'), lambda w: regexp_matches(w, '^[A-Z][a-z]{{4,}}$'))) AS word FROM read),
-      said AS (SELECT doc_id, line_no, left(word, 5) || CASE length(word) % 4 WHEN 0 THEN '君' WHEN 1 THEN '姉さん' ELSE '' END AS name,
-        array_to_string(list_concat({_full('above')}[-2:], [{O.trim('line')}], {_full('follow')}[:2]), chr(10)) AS t FROM found WHERE CAST(0.8 + 0.02 * least(length(word), 9) AS FLOAT) >= CAST(0.9 AS FLOAT)),
-      per AS (SELECT doc_id, name, count(*) AS count, CAST(sum({O.weights('t', N.MALE_CUES)}) AS BIGINT) AS male, CAST(sum({O.weights('t', N.FEMALE_CUES)}) AS BIGINT) AS female,
-        CAST(max({O.weights('t', N.MENTION_CUES)} + CASE WHEN regexp_matches(t, '[「『]') THEN 4 ELSE 0 END + CASE WHEN contains(t, 'こと') THEN 2 ELSE 0 END + floor((1000 - least(line_no, 1000)) / 100)) AS BIGINT) AS best FROM said GROUP BY ALL),
-      a AS (SELECT *, CASE WHEN {O.trim('core')} = '' THEN {O.trim('name')} ELSE {O.trim('core')} END AS key, CASE WHEN regexp_matches(raw, '(?:君|くん|クン)$') THEN 4 ELSE 0 END + CASE WHEN contains(raw, '兄') THEN 2 ELSE 0 END AS hm, CASE WHEN contains(raw, '姉') THEN 4 ELSE 0 END AS hf,
-        CASE WHEN male + hm >= 6 AND male + hm >= female + hf + 3 THEN '{N.MALE}' WHEN female + hf >= 6 AND female + hf >= male + hm + 3 THEN '{N.FEMALE}' END AS side FROM {_alias}),
-      w AS (SELECT *, coalesce(sum(CASE WHEN side = '{N.MALE}' THEN count END) OVER k, 0) AS wm, coalesce(sum(CASE WHEN side = '{N.FEMALE}' THEN count END) OVER k, 0) AS wf FROM a WINDOW k AS (PARTITION BY doc_id, key)),
-      p AS (SELECT *, CASE WHEN wm > 0 AND wf > 0 AND coalesce(side, CASE WHEN wm >= wf THEN '{N.MALE}' ELSE '{N.FEMALE}' END) <> CASE WHEN wm >= wf THEN '{N.MALE}' ELSE '{N.FEMALE}' END THEN 1 ELSE 0 END AS part, (hm >= 4 AND hf = 0) OR (hf >= 4 AND hm = 0) AS hinted FROM w),
-      r AS (SELECT *, CASE WHEN hinted THEN greatest(hm, hf) * 100 + best + least(count, 999) ELSE least(count, 999) * 5 + (hm + hf) * 4 + best + least(greatest(male, female), 50) END AS rank_score FROM p)
-      SELECT doc_id, key, name, CAST(part AS INTEGER) AS part, first_value(name) OVER (PARTITION BY doc_id, key, part ORDER BY hinted DESC, rank_score DESC, count DESC, name) AS "primary", count, male, female, best, side, row_number() OVER (PARTITION BY doc_id, key, part ORDER BY count DESC, name) AS alias_rank FROM r""",
+    "name_clusters": f'WITH {O.mentions(O.SUFFIXED)}, {O.CLUSTERED} SELECT doc_id, key, name, part, "primary", count, male, female, best, side, alias_rank FROM clustered',
     "flagship": f"WITH {O.SEGMENTS} SELECT doc_id, count(*) AS n_lines, count_if(line_type = 'dialogue') AS n_dialogue, count_if(reset) AS n_resets, CAST(sum(n_matches) AS BIGINT) AS n_matches, count_if(glossary) AS n_glossary, count(dominant) AS n_dominant, max(segment_start) AS last_segment FROM segments GROUP BY doc_id",
     "lines_scan": f"WITH {O.SCANNED} SELECT * FROM scanned",
     "line_classes": f"WITH {O.RAW} SELECT doc_id, line_no, {O.line_type('line', R.SMALL_PACK.boundaries)} AS line_type, length({_trimmed}) < 2 OR regexp_matches({_trimmed}, '^[{L.FILLER}]+$') AS skippable, {O.features('line')} FROM lines",

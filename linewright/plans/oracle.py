@@ -175,3 +175,28 @@ PEOPLE = r"""split AS (SELECT doc_id, list_filter(list_transform(string_split(te
 scanned AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS line_no, unnest(p) AS line FROM split),
 found AS (SELECT doc_id, line_no, unnest(list_filter(regexp_split_to_array(line, '[^A-Za-z]+'), lambda w: regexp_matches(w, '^[A-Z][a-z]{4,}$'))) AS text FROM scanned),
 people AS (SELECT doc_id, line_no, text, CAST(0.8 + 0.02 * least(length(text), 9) AS FLOAT) AS score FROM found)"""
+
+_far = lambda f: "[" + ", ".join(f"coalesce({f}({trim('line')}, {k}) OVER o, '')" for k in (range(5, 0, -1) if f == "lag" else range(1, 6))) + "]"
+_full = lambda x: f"list_filter({x}, lambda z: {trim('z')} <> '')"
+#: A word of a test as a name with a suffix by its length.
+SUFFIXED = "left(word, 5) || CASE length(word) % 4 WHEN 0 THEN '君' WHEN 1 THEN '姉さん' ELSE '' END"
+
+
+def mentions(name: str) -> str:
+    """Subqueries to ``said``: the stand-in's persons in readable lines, under a name made of ``word``, with the text around each."""
+    return f"""{SCANNED}, frames AS (SELECT doc_id, line_no, line, {_far('lag')} AS above, {_far('lead')} AS follow, {trim("replace(line, '　', '')")} AS z FROM scanned WINDOW o AS (PARTITION BY doc_id ORDER BY line_no)),
+      read AS (SELECT * FROM frames WHERE NOT (length(z) < 2 OR regexp_matches(z, '^[{L.FILLER}]+$'))),
+      found AS (SELECT *, unnest(list_filter(regexp_split_to_array(line, '[^A-Za-z]+'), lambda w: regexp_matches(w, '^[A-Z][a-z]{{4,}}$'))) AS word FROM read),
+      said AS (SELECT doc_id, line_no, {name} AS name, array_to_string(list_concat({_full('above')}[-2:], [{trim('line')}], {_full('follow')}[:2]), chr(10)) AS t FROM found WHERE CAST(0.8 + 0.02 * least(length(word), 9) AS FLOAT) >= CAST(0.9 AS FLOAT))"""
+
+
+_alias = strip_suffixes(f"(SELECT *, {trim("replace(name, '　', '')")} AS raw, CASE WHEN starts_with(raw, 'お') AND length(raw) > 2 THEN substr(raw, 2) WHEN starts_with(raw, 'ご') AND length(raw) > 2 THEN substr(raw, 2) ELSE raw END AS core FROM per)", "core", N.SUFFIXES)
+#: Subqueries from ``said`` to ``clustered``.
+CLUSTERED = f"""per AS (SELECT doc_id, name, count(*) AS count, CAST(sum({weights('t', N.MALE_CUES)}) AS BIGINT) AS male, CAST(sum({weights('t', N.FEMALE_CUES)}) AS BIGINT) AS female,
+        CAST(max({weights('t', N.MENTION_CUES)} + CASE WHEN regexp_matches(t, '[「『]') THEN 4 ELSE 0 END + CASE WHEN contains(t, 'こと') THEN 2 ELSE 0 END + floor((1000 - least(line_no, 1000)) / 100)) AS BIGINT) AS best FROM said GROUP BY ALL),
+      a AS (SELECT *, CASE WHEN {trim('core')} = '' THEN {trim('name')} ELSE {trim('core')} END AS key, CASE WHEN regexp_matches(raw, '(?:君|くん|クン)$') THEN 4 ELSE 0 END + CASE WHEN contains(raw, '兄') THEN 2 ELSE 0 END AS hm, CASE WHEN contains(raw, '姉') THEN 4 ELSE 0 END AS hf,
+        CASE WHEN male + hm >= 6 AND male + hm >= female + hf + 3 THEN '{N.MALE}' WHEN female + hf >= 6 AND female + hf >= male + hm + 3 THEN '{N.FEMALE}' END AS side FROM {_alias}),
+      w AS (SELECT *, coalesce(sum(CASE WHEN side = '{N.MALE}' THEN count END) OVER k, 0) AS wm, coalesce(sum(CASE WHEN side = '{N.FEMALE}' THEN count END) OVER k, 0) AS wf FROM a WINDOW k AS (PARTITION BY doc_id, key)),
+      p AS (SELECT *, CASE WHEN wm > 0 AND wf > 0 AND coalesce(side, CASE WHEN wm >= wf THEN '{N.MALE}' ELSE '{N.FEMALE}' END) <> CASE WHEN wm >= wf THEN '{N.MALE}' ELSE '{N.FEMALE}' END THEN 1 ELSE 0 END AS part_no, (hm >= 4 AND hf = 0) OR (hf >= 4 AND hm = 0) AS hinted FROM w),
+      r AS (SELECT *, CASE WHEN hinted THEN greatest(hm, hf) * 100 + best + least(count, 999) ELSE least(count, 999) * 5 + (hm + hf) * 4 + best + least(greatest(male, female), 50) END AS rank_score FROM p),
+      clustered AS (SELECT *, CAST(part_no AS INTEGER) AS part, first_value(name) OVER (PARTITION BY doc_id, key, part_no ORDER BY hinted DESC, rank_score DESC, count DESC, name) AS "primary", row_number() OVER (PARTITION BY doc_id, key, part_no ORDER BY count DESC, name) AS alias_rank FROM r)"""
