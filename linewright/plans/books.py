@@ -147,7 +147,56 @@ def glossary_build(spark, sf_dir):
     return G.glossary_from(named, ["doc_id"], NameModel()).select("doc_id", "src", "dst", "info", "key", F.col("alias_rank").cast("long").alias("alias_rank"))
 
 
-QUERIES = {f.__name__: f for f in (book_documents, book_blocks, book_write_back, book_export, context_items, vocabulary_ids, stage_counts, response_diagnostics, glossary_build)}
+def spine_order(spark, sf_dir):
+    """The reading order as a join: the spine without repetitions, then what else the manifest has."""
+    pages = _table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 50).alias("book"), F.col("page_id").cast("string").alias("id"), F.md5("url").alias("href"), (F.col("page_id") * 7 % 50).alias("pos"))
+    spine = pages.filter("cast(id as bigint) % 3 <> 0").select("book", "pos", "id")
+    twice = spine.unionByName(spine.withColumn("pos", F.col("pos") + 100))
+    return EP.spine_order(twice, pages.select("book", "id", "href"), "book").select("book", "id", "href", F.col("position").cast("long").alias("position"))
+
+
+def entry_lookup(spark, sf_dir):
+    """Wanted names among the entries of books: exact paths, ends of paths, last parts."""
+    pages = _table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 50).alias("book"), (F.col("page_id") % 4).cast("string").alias("a"), (F.col("page_id") % 7).cast("string").alias("b"))
+    j = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x))
+    listing = pages.select("book", j("OEBPS/d", F.col("a"), "/p", F.col("b"), ".xhtml").alias("entry")).distinct()
+    wanted = F.array(j("OEBPS/d", F.col("a"), "/p", F.col("b"), ".xhtml"), j("d", F.col("a"), "/p", F.col("b"), ".xhtml"), j("p", F.col("b"), ".xhtml"), j("other/p", F.col("b"), ".xhtml"), F.lit("none.xhtml"))
+    return EP.find_entries(pages.select("book", F.explode(wanted).alias("name")).distinct(), listing, "book")
+
+
+def name_quality(spark, sf_dir):
+    """Counters of the names of the glossary's sources."""
+    from . import catalog
+
+    chars = catalog.glossary_entries(spark, sf_dir).groupBy(F.col("src").alias("name")).agg(F.count("*").alias("count"))
+    return G.name_quality(chars)
+
+
+def counted_batches(spark, sf_dir):
+    """Events of a type in batches of at most eight, in order."""
+    from ..streaming import batcher as B
+
+    events = _table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("item"))
+    return B.batches_by_count(events).select("key", "batch", F.md5(F.array_join("items", ",")).alias("items"))
+
+
+def event_windows(spark, sf_dir):
+    """Events by type and window of five minutes."""
+    from ..streaming import batcher as B
+
+    found = B.windowed_counts(_table(spark, sf_dir, "events"))
+    return found.select(F.unix_micros(F.col("window.start").cast("timestamp")).alias("start"), "event_type", "n", F.round("value", 2).alias("value"))
+
+
+def event_sessions(spark, sf_dir):
+    """Sessions of users: events with gaps under ten minutes."""
+    from ..streaming import batcher as B
+
+    found = B.sessions(_table(spark, sf_dir, "events"))
+    return found.select("user_id", F.unix_micros(F.col("session_window.start").cast("timestamp")).alias("start"), "n")
+
+
+QUERIES = {f.__name__: f for f in (spine_order, entry_lookup, name_quality, counted_batches, event_windows, event_sessions, book_documents, book_blocks, book_write_back, book_export, context_items, vocabulary_ids, stage_counts, response_diagnostics, glossary_build)}
 
 _TRIM = O.trim
 _PLAIN = rf"""split AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_TRIM('x')}), lambda x: x <> '') AS p FROM documents),
@@ -171,7 +220,19 @@ _vocabulary = "map {" + ", ".join(f"{O.q(k)}: {v}" for k, v in VOCABULARY.items(
 _weighed = f"{O.weights('t', N.MENTION_CUES)} + CASE WHEN regexp_matches(t, '[「『]') THEN 4 ELSE 0 END + CASE WHEN contains(t, 'こと') THEN 2 ELSE 0 END + floor((1000 - least(line_no, 1000)) / 100)"
 _bases = "['林', '王', '李', '張'][1 + length(\"primary\") % 4]"
 
+_name_key = O.strip_suffixes(f"(SELECT name, n, {O.trim("replace(name, '　', '')")} AS raw, CASE WHEN starts_with(raw, 'お') AND length(raw) > 2 THEN substr(raw, 2) WHEN starts_with(raw, 'ご') AND length(raw) > 2 THEN substr(raw, 2) ELSE raw END AS key FROM named)", "key", N.SUFFIXES)
+
 ORACLE_SQL = {
+    "spine_order": "WITH p AS (SELECT CAST(floor(page_id / 50) AS BIGINT) AS book, CAST(page_id AS VARCHAR) AS id, md5(url) AS href, CASE WHEN page_id % 3 <> 0 THEN page_id * 7 % 50 ELSE 1 << 30 END AS pos FROM pages) SELECT book, id, href, row_number() OVER (PARTITION BY book ORDER BY pos, id) - 1 AS position FROM p",
+    "entry_lookup": """WITH p AS (SELECT CAST(floor(page_id / 50) AS BIGINT) AS book, CAST(page_id % 4 AS VARCHAR) AS a, CAST(page_id % 7 AS VARCHAR) AS b FROM pages), l AS (SELECT DISTINCT book, 'OEBPS/d' || a || '/p' || b || '.xhtml' AS entry FROM p),
+      w AS (SELECT DISTINCT book, unnest(['OEBPS/d' || a || '/p' || b || '.xhtml', 'd' || a || '/p' || b || '.xhtml', 'p' || b || '.xhtml', 'other/p' || b || '.xhtml', 'none.xhtml']) AS name FROM p),
+      m AS (SELECT w.book, name, entry, CASE WHEN entry = name THEN 0 WHEN ends_with(entry, '/' || name) THEN 1 ELSE 2 END AS r FROM w JOIN l ON l.book = w.book AND string_split(entry, '/')[-1] = string_split(name, '/')[-1])
+      SELECT book, name, arg_min(entry, (r, entry)) AS entry FROM m GROUP BY ALL""",
+    "name_quality": f"""WITH {O.ENTRIES_FROM}, named AS (SELECT src AS name, count(*) AS n FROM entries GROUP BY src), k AS (SELECT * FROM {_name_key}), m AS (SELECT count(*) AS c FROM (SELECT {O.trim('key')} AS z FROM k GROUP BY z HAVING count(DISTINCT name) > 1))
+      SELECT count(*) AS names, CAST(sum(n) AS BIGINT) AS mentions, count_if(raw = '' OR raw IN ({O.TITLES}) OR {O.trim('key')} = '' OR {O.trim('key')} IN ({O.TITLES})) AS titles, count_if(length(raw) >= 2 AND ends_with(raw, '家')) AS families, count_if(regexp_matches(name, '[ 　]')) AS spaced, any_value(c) AS multi_alias FROM k, m""",
+    "counted_batches": "WITH n AS (SELECT event_type AS key, event_id, user_id, CAST(floor((row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) / 8) AS BIGINT) AS batch FROM events) SELECT key, batch, md5(string_agg(CAST(user_id AS VARCHAR), ',' ORDER BY event_id)) AS items FROM n GROUP BY ALL",
+    "event_windows": "SELECT epoch_us(ts) - epoch_us(ts) % 300000000 AS start, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY ALL",
+    "event_sessions": "WITH l AS (SELECT user_id, epoch_us(ts) AS t, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events), s AS (SELECT *, sum(CASE WHEN p IS NULL OR t >= p + 600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM l) SELECT user_id, min(t) AS start, count(*) AS n FROM s GROUP BY user_id, k",
     "context_items": f"""WITH {O.mentions("word")}, s AS (SELECT doc_id, line_no, name, t, row_number() OVER (PARTITION BY doc_id, name ORDER BY {_weighed} DESC, line_no, t) AS rank FROM said) SELECT doc_id, name, rank, line_no, md5(left(t, 220)) AS text FROM s WHERE rank <= 10""",
     # A first answer with kana is asked for again.
     "glossary_build": f"""WITH {O.mentions(O.SUFFIXED)}, {O.CLUSTERED}, c AS (SELECT *, max(count) OVER k AS cluster_max, sum(CASE WHEN name = "primary" THEN male + hm END) OVER k AS lm, sum(CASE WHEN name = "primary" THEN female + hf END) OVER k AS lf,
