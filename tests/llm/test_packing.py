@@ -81,6 +81,20 @@ def test_pieces_equal_whole_texts():
         assert np.frombuffer(e.whole(text), dtype="<u4").tolist() == ids
 
 
+def test_narrow_texts_split_alike():
+    import public_tokenizers
+    import regex
+
+    from linewright.llm import token_ids as T
+
+    e, rng = PieceEncoder(public_path()), random.Random(6)
+    assert e.split_narrow != e.split and T.narrow_pattern(r"\p{Lu}+") is None
+    for _ in range(3000):
+        text = "".join(rng.choice([chr(rng.randrange(T.NARROW)), rng.choice(" '\n\xa0½²ßa1!s")]) for _ in range(rng.randint(0, 40)))
+        assert not T._IS_WIDE(text) and e.split_narrow(text) == regex.findall(public_tokenizers.PATTERN, text)
+    assert T._IS_WIDE("abc\u0250")
+
+
 SPECIAL = [(1, "before<|endoftext|> after"), (2, "<|endoftext|>"), (3, "a<|endoftext|><|endoftext|>\n<|endoftext"), (4, "plain words")]
 
 
