@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .scratch import BROADCAST_ROWS, stored
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -13,20 +13,23 @@ def connected(links: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star contraction until no edge changes,
     which takes a logarithmic number of rounds.  Hubs are summed before the
-    shuffle; the joins back to the edges can be split where a hub is hot.
+    shuffle.  What a node's neighbours sum to goes to every task while there are few edges, so that
+    a hub's edges need not meet in one; beyond that the joins back to the edges can be split where a hub is hot.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    mark = None
+    count, mark = edges.count(), None
     while True:
+        # One row a node, of which there are at most two an edge.
+        side = F.broadcast if 2 * count <= BROADCAST_ROWS else (lambda rows: rows)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(side(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        small = large.join(side(down), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         edges = stored(small, "edges")
         new = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if new == mark:
             break
-        mark = new
+        count, mark = new[0], new
     heads = edges.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(heads)
