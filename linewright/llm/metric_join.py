@@ -370,8 +370,8 @@ def voronoi_level(active: DataFrame, points: DataFrame, pivots: list[tuple[int,
     links = known.filter("home is not null and key <> label").select(F.col("key").alias("a"), F.col("label").alias("b"))
     regions = known.select("key", "n", "h", "sk", "home", "label", F.explode("near").alias("x")).select("key", "n", "h", "sk", "home", "label", F.col("x.p").alias("p"), (1 - F.col("x.common") / F.col("x.whole")).alias("d"))
     cells = _side(regions.filter("home = p"), "a", "key", ("label", "d", "p")).withColumnRenamed("p_a", "p")
-    around = _side(regions, "b", "key", ("label", "d", "p", "home")).withColumnRenamed("p_b", "p")
-    # A pair with two homes meets in the region of either: the smaller pivot's takes it, unless it lies outside that.
+    around = _side(regions, "b", "key", ("label", "d", "p")).withColumnRenamed("p_b", "p")
+    # A pair of points in two cells may meet in both regions.
     met = cells.join(around, "p").filter((F.col("label_a") != F.col("label_b")) & (F.abs(F.col("d_a") - F.col("d_b")) <= r) & _bounded(percent))
     crossing = _linked(stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met"), points, percent)
     rest = stored(active.join(seen.filter("home is null").select("key"), "key", "left_semi"), "active")
