@@ -228,7 +228,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Hierarchy | None:
     share = F.lit(0).cast("long")
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min((1 << 63) - 1, math.ceil((1 << 63) * min(1.0, per_language / n))))).otherwise(share)
-    chosen = labelled.filter(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) < share).select("doc_id", "text", "lang")
+    # One text a doc_id, so that an id that repeats counts once.
+    chosen = labelled.filter(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) < share).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("doc_id", "text", "lang")
     rows = chosen.mapInArrow(K.releasing(_featured), "doc_id long, lang string, part int, buckets array<int>, counts array<long>").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["part"], r["buckets"], r["counts"]))
     return _trained([(r["lang"], np.array(r["buckets"], dtype=np.int64), np.array(r["counts"], dtype=np.int64)) for r in rows]) if rows else None
