@@ -63,7 +63,7 @@ MIN_CELL = 4
 #: Bits of the largest sketch.
 SKETCH_BITS = 4096
 
-_SIGNS = "doc_id long, n long, key long"
+_SIGNS = "doc_id long, n long, m long, key long"
 _ENTRIES = "bucket long, kind int, hashes binary, keys binary"
 
 
@@ -72,12 +72,17 @@ def point_key(own: np.ndarray) -> int:
     return int((K.mix(own ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum() | np.uint64(1)).view(np.int64)) if len(own) else 0
 
 
+def _in_first_count(own: np.ndarray) -> np.ndarray:
+    return (own & np.uint64(0xFF)) < np.uint64(FIRST_COUNT)
+
+
 def _signer(width: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in K.chunks(batch, "text"):
                 sets = list(K.shingle_sets(data, offsets, width))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array([len(s) for s in sets], pa.int64()), pa.array([point_key(s) for s in sets], pa.int64())], names=["doc_id", "n", "key"])
+                counted = [int(_in_first_count(s).sum()) for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array([len(s) for s in sets], pa.int64()), pa.array(counted, pa.int64()), pa.array([point_key(s) for s in sets], pa.int64())], names=["doc_id", "n", "m", "key"])
 
     return sign
 
@@ -85,7 +90,8 @@ def _signer(width: int):
 def _entries(width: int, bits: int, first: bool):
     """Packed entries by bucket, which the highest bits of a shingle's hash name.
 
-    The first count needs one entry a shingle: its point's key, or 0 if several points here hold it.
+    The first count needs one entry a shingle: its point's key, or 0 if several points here hold it; how many such
+    shingles each of those points has is known here and goes along under the points' buckets (kind 2).
     The second has an entry for each shingle and point (kind 1), and how many of them there are here (kind 0, which comes first).
     """
 
@@ -97,8 +103,9 @@ def _entries(width: int, bits: int, first: bool):
         h, k = h[new], k[new]
         if first:
             starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            alone = np.diff(np.append(starts, len(h))) == 1
-            h, k = h[starts], np.where(alone, k[starts], 0)
+            size = np.diff(np.append(starts, len(h)))
+            together = k[np.repeat(size, size) > 1]
+            h, k = h[starts], np.where(size == 1, k[starts], 0)
         columns: tuple[list, ...] = ([], [], [], [])
 
         def put(kind: int, h: np.ndarray, values: np.ndarray) -> None:
@@ -113,6 +120,11 @@ def _entries(width: int, bits: int, first: bool):
             starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
             put(0, h[starts], np.diff(np.append(starts, len(h))))
         put(1, h, k)
+        if first:
+            packed = _by_point(bits, *_counted(together))
+            for bucket, own, n in zip(*(c.to_pylist() for c in packed.columns)):
+                for column, value in zip(columns, (bucket, 2, own, n)):
+                    column.append(value)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "kind", "hashes", "keys"])
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +137,7 @@ def _entries(width: int, bits: int, first: bool):
                         continue
                     key = point_key(own)
                     if first:
-                        own = own[(own & np.uint64(0xFF)) < np.uint64(FIRST_COUNT)]
+                        own = own[_in_first_count(own)]
                     elif wanted[row + j] is not None and wanted[row + j] != key:
                         continue
                     hashes.append(own)
@@ -166,17 +178,36 @@ def _by_point(bits: int, keys: np.ndarray, *columns: np.ndarray) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int64()), *packed], names=["bucket", "keys", "a", "b"][: 2 + len(columns)])
 
 
-def _lonely(bits: int):
-    """How many shingles of a bucket each point holds alone."""
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, n = np.unique(keys, return_counts=True)
+    return found, n.astype(np.int32)
+
+
+def _held(bits: int):
+    """How many shingles of a bucket each point holds beside others.  Equal rows may count anew, which can only show too few lonely shingles."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, k in _buckets(batches, np.uint32, np.int64):
+        def entries() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kinds = batch.column(1).to_numpy()
+                for row in np.flatnonzero(kinds == 2).tolist():
+                    passed.append((batch.column(0)[row].as_py(), batch.column(2)[row].as_py(), batch.column(3)[row].as_py()))
+                yield batch.filter(pa.array(kinds == 1))
+
+        passed: list[tuple[int, bytes, bytes]] = []
+        names = ["bucket", "keys", "a"]
+        for h, k in _buckets(entries(), np.uint32, np.int64):
             order = np.argsort(h, kind="stable")
             h, k = h[order], k[order]
             starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            low, high = np.minimum.reduceat(k, starts), np.maximum.reduceat(k, starts)
-            keys, n = np.unique(low[(low == high) & (low != 0)], return_counts=True)
-            yield _by_point(bits, keys, n.astype(np.int32))
+            several = np.minimum.reduceat(k, starts) != np.maximum.reduceat(k, starts)
+            own = k[np.repeat(several, np.diff(np.append(starts, len(h))))]
+            yield _by_point(bits, *_counted(own[own != 0]))
+            if passed:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*passed), (pa.int64(), pa.binary(), pa.binary()))], names=names)
+                passed.clear()
+        if passed:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*passed), (pa.int64(), pa.binary(), pa.binary()))], names=names)
 
     return count
 
@@ -184,7 +215,7 @@ def _lonely(bits: int):
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for keys, n in _buckets(batches, np.int64, np.int32):
         known, back = np.unique(keys, return_inverse=True)
-        yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(np.bincount(back, weights=n).astype(np.int64))], names=["key", "lonely"])
+        yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(np.bincount(back, weights=n).astype(np.int64))], names=["key", "held"])
 
 
 def _shared(bits: int):
@@ -260,11 +291,13 @@ def _bits_for(entries: int) -> int:
 
 def linkable_points(rows: DataFrame, signs: DataFrame, percent: int, width: int) -> DataFrame:
     """key, n, h, s (shared shingles, rarest first) and sk of the points that may link."""
-    classes = stored(signs.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
+    classes = stored(signs.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("m").alias("m")), "classes")
     bits = _bits_for((classes.agg(F.sum("n")).first()[0] or 0) * FIRST_COUNT // 256)
     entries = _dealt(rows.select("doc_id", "text").mapInArrow(K.releasing(_entries(width, bits, True)), _ENTRIES), bits)
-    alone = _dealt(entries.mapInArrow(K.releasing(_lonely(bits)), "bucket long, keys binary, a binary"), bits).mapInArrow(K.releasing(_summed), "key long, lonely long")
-    left = stored(classes.join(alone, "key", "left").filter(100 * (F.col("n") - F.coalesce("lonely", F.lit(0))) >= percent * F.col("n")).select("key", "rep", "n"), "left")
+    held = _dealt(entries.mapInArrow(K.releasing(_held(bits)), "bucket long, keys binary, a binary"), bits).mapInArrow(K.releasing(_summed), "key long, held long")
+    # A point has m shingles in this count; those that it does not hold beside others are lonely.
+    lonely = F.col("m") - F.least(F.coalesce("held", F.lit(0)), F.col("m"))
+    left = stored(classes.join(held, "key", "left").filter(100 * (F.col("n") - lonely) >= percent * F.col("n")).select("key", "rep", "n"), "left")
     size = left.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("shingles")).first()
     # Rows without a doc_id cannot be looked up: all of them take part.
     wanted = sent_if_small(left.filter("rep is not null").select(F.col("rep").alias("doc_id"), F.col("key").alias("want")), size["rows"])
