@@ -17,12 +17,12 @@ other differ by at most r in their distances to p.
    and y within r of x, then d(y, p) <= d(x, p) + r <= 2 r: so each point within 2 r
    of a pivot is replicated to its region, and cells join with their regions where triangle window,
    sizes and sketches leave room for a link between different components.  All
-   links of points in cells are then known.  The others stay active and recur with new pivots, for as
-   long as a level's cells hold ``MIN_CELL`` points a pivot.
+   links of points in cells are then known, up to contraction (see ``_contracted``).  The others stay active and
+   recur with new pivots, for as long as a level's cells hold ``MIN_CELL`` points a pivot.
 4. In the last level every active point is a pivot, and its region the ball of radius r.  Points meet there by the
    prefixes of their shingles (h - ceil(t n) + 1 of the shared ones, rarest first; two points that
    link share one).  Regions contract to stars first; regions that still hold several components
-   join, under the same bounds.
+   join, under the same bounds and contraction.
 
 Sketches are parities of the shingles by hash: each differing shingle flips one bit, so the
 bits that differ bound the symmetric difference from below.  Pairs that all bounds
@@ -60,6 +60,8 @@ HELD_ENTRIES = 500_000
 PIVOTS = 64
 PIVOT_SHINGLES = 2_000_000
 MIN_CELL = 4
+#: Points of a cell that others are held against first, and by how much each further round takes more.
+FIRST_MET = 16
 #: Bits of the largest sketch.
 SKETCH_BITS = 4096
 
@@ -327,10 +329,39 @@ def _side(rows: DataFrame, v: str, id_: str = "key", extra: tuple[str, ...] = ()
 
 
 def _linked(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets."""
+    """The rows of pairs (a, b, ...) that link, by their whole sets."""
     left, right = (points.select(F.col("key").alias(v), F.col("s").alias(f"s_{v}"), F.col("n").alias(f"n_{v}")) for v in "ab")
     common = F.size(F.array_intersect("s_a", "s_b"))
-    return pairs.select("a", "b").join(right, "b").join(left, "a").filter(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
+    return pairs.join(right, "b").join(left, "a").filter(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select(*pairs.columns)
+
+
+def _contracted(one: DataFrame, two: DataFrame, on: str, largest: int, close: Column, once: Column, points: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between labels that stand for all links of points of one (a, label_a, size, on, ...) with points of two (b, label_b, on, ...).
+
+    Near copies have links in the square of their number, and one between two labels is enough.  So
+    points meet about ``FIRST_MET`` of a cell's ``size`` points first, drawn by the hash of their keys.  Labels that
+    link are one label in the next round, which takes ``FIRST_MET`` times as many, up to the
+    last one, where all points meet.  Of a point that links to a share x of a cell, m drawn ones leave
+    with (1 - x)**m, so the links that a round expects of a point and cell have a bound, whatever the cell's size.
+    once: what the last round asks of a and b so that a pair meets once.
+    """
+    found, take = None, FIRST_MET
+    while True:
+        sides = [one, two]
+        if found is not None:
+            now = connected(found)
+            for k, v in enumerate("ab"):
+                renamed = now.select(F.col("id").alias(f"label_{v}"), F.col("label").alias("_now"))
+                sides[k] = sides[k].join(renamed, f"label_{v}", "left").withColumn(f"label_{v}", F.coalesce("_now", f"label_{v}")).drop("_now")
+        last = take >= largest
+        drawn = sides[0] if last else sides[0].filter(F.pmod(F.xxhash64("a"), F.lit(1 << 20)) * F.col("size") < take * (1 << 20))
+        met = drawn.join(sides[1], on).filter((F.col("label_a") != F.col("label_b")) & close & (once if last else F.lit(True)))
+        met = met.select(*(f(x + "a", x + "b").alias(x + v) for x in ("", "label_") for f, v in ((F.least, "a"), (F.greatest, "b")))).distinct()
+        links = stored(_linked(stored(met, "met"), points, percent).select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct(), "label-links")
+        found = links if found is None else found.unionByName(links)
+        if last:
+            return found
+        take *= FIRST_MET
 
 
 def _measure(pivots: list[tuple[int, int, np.ndarray]], percent: int):
@@ -402,13 +433,14 @@ def voronoi_level(active: DataFrame, points: DataFrame, pivots: list[tuple[int,
     known = seen.join(F.broadcast(labels), "home", "left").withColumn("label", F.coalesce("label", "key"))
     links = known.filter("home is not null and key <> label").select(F.col("key").alias("a"), F.col("label").alias("b"))
     regions = known.select("key", "n", "h", "sk", "home", "label", F.explode("near").alias("x")).select("key", "n", "h", "sk", "home", "label", F.col("x.p").alias("p"), (1 - F.col("x.common") / F.col("x.whole")).alias("d"))
-    cells = _side(regions.filter("home = p"), "a", "key", ("label", "d", "p")).withColumnRenamed("p_a", "p")
+    sizes = {h: n for h, n in seen.filter("home is not null").groupBy("home").count().collect()}  # at most PIVOTS
+    counted = spark.createDataFrame(sorted(sizes.items()), "p long, size long")
+    cells = _side(regions.filter("home = p"), "a", "key", ("label", "d", "p")).withColumnRenamed("p_a", "p").join(F.broadcast(counted), "p")
     around = _side(regions, "b", "key", ("label", "d", "p")).withColumnRenamed("p_b", "p")
     # A pair of points in two cells may meet in both regions.
-    met = cells.join(around, "p").filter((F.col("label_a") != F.col("label_b")) & (F.abs(F.col("d_a") - F.col("d_b")) <= r) & _bounded(percent))
-    crossing = _linked(stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met"), points, percent)
+    crossing = _contracted(cells, around, "p", max(sizes.values(), default=0), (F.abs(F.col("d_a") - F.col("d_b")) <= r) & _bounded(percent), F.lit(True), points, percent)
     rest = stored(active.join(seen.filter("home is null").select("key"), "key", "left_semi"), "active")
-    return stored(links.unionByName(crossing), "level-links"), rest, seen.filter("home is not null").count()
+    return stored(links.unionByName(crossing), "level-links"), rest, sum(sizes.values())
 
 
 def _last_level(active: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -424,11 +456,12 @@ def _last_level(active: DataFrame, points: DataFrame, percent: int) -> DataFrame
     labels = connected(links)
     known = stored(regions.select("g", "key").join(labels.select(F.col("id").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key")), "labelled")
     # A region whose points are one component is done.
-    open_ = known.groupBy("g").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h").select("g")
-    rest = stored(known.join(open_, "g", "left_semi").join(facts, "key"), "open-regions")
-    one, two = (_side(rest, v, "key", ("label", "g")).withColumnRenamed(f"g_{v}", "g") for v in "ab")
-    left = one.join(two, "g").filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & _bounded(percent)).select("a", "b").distinct()
-    return links.unionByName(_linked(stored(left, "left-pairs"), points, percent))
+    open_ = known.groupBy("g").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("size")).filter("l <> h").select("g", "size")
+    rest = stored(known.join(open_, "g").join(facts, "key"), "open-regions")
+    one, two = _side(rest, "a", "key", ("label", "g", "size")).withColumnsRenamed({"g_a": "g", "size_a": "size"}), _side(rest, "b", "key", ("label", "g")).withColumnRenamed("g_b", "g")
+    largest = rest.agg(F.max("size")).first()[0] or 0
+    left = _contracted(one, two, "g", largest, _bounded(percent), F.col("a") < F.col("b"), points, percent)
+    return labels.filter("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(left)
 
 
 def point_links(points: DataFrame, percent: int) -> DataFrame:

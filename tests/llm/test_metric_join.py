@@ -111,3 +111,21 @@ def test_large_group_of_near_copies(spark):
             texts.append(" ".join(v))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     check(metric_join.jaccard_components(docs), list(enumerate(texts)))
+
+
+def test_links_of_a_group_do_not_grow_with_its_square(spark, monkeypatch):
+    """A group with few pivots, as in a large table: of the links between all near copies few are passed on."""
+    monkeypatch.setattr(metric_join, "PIVOTS", 2)
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(4000)]
+    base, texts = rng.choices(words, k=160), []
+    for _ in range(500):
+        v = list(base)
+        for _ in range(rng.randint(1, 4)):
+            v[rng.randrange(len(v))] = rng.choice(words)
+        texts.append(" ".join(v))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    signs = docs.select("doc_id", "text").mapInArrow(metric_join._signer(5), metric_join._SIGNS)
+    links = metric_join.point_links(metric_join.linkable_points(docs, signs, 80, 5), 80)
+    assert links.count() < 3 * len(texts)
+    check(metric_join.jaccard_components(docs), list(enumerate(texts)))
