@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .components import connected
-from .scratch import sent_if_small, stored, without_ids
+from .scratch import BROADCAST_ROWS, sent_if_small, stored, without_ids
 
 PERCENT = 80
 #: The first count takes shingles whose lowest byte is below this, about 0.3 of them.
@@ -329,10 +329,18 @@ def _side(rows: DataFrame, v: str, id_: str = "key", extra: tuple[str, ...] = ()
 
 
 def _linked(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """The rows of pairs (a, b, ...) that link, by their whole sets."""
+    """The rows of pairs (a, b, ...), which are stored, that link, by their whole sets.
+
+    Sets are most of what there is to move, so only those that a pair names leave their place while
+    the pairs are few enough to go to every task.
+    """
     left, right = (points.select(F.col("key").alias(v), F.col("s").alias(f"s_{v}"), F.col("n").alias(f"n_{v}")) for v in "ab")
     common = F.size(F.array_intersect("s_a", "s_b"))
-    return pairs.join(right, "b").join(left, "a").filter(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select(*pairs.columns)
+    if pairs.count() <= BROADCAST_ROWS:
+        both = left.join(F.broadcast(pairs), "a").join(right.join(F.broadcast(pairs.select("a", "b")), "b"), ["a", "b"])
+    else:
+        both = pairs.join(right, "b").join(left, "a")
+    return both.filter(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select(*pairs.columns)
 
 
 def _contracted(one: DataFrame, two: DataFrame, on: str, largest: int, close: Column, once: Column, points: DataFrame, percent: int) -> DataFrame:
@@ -350,8 +358,9 @@ def _contracted(one: DataFrame, two: DataFrame, on: str, largest: int, close: Co
         sides = [one, two]
         if found is not None:
             now = connected(found)
+            named = now.count()
             for k, v in enumerate("ab"):
-                renamed = now.select(F.col("id").alias(f"label_{v}"), F.col("label").alias("_now"))
+                renamed = sent_if_small(now.select(F.col("id").alias(f"label_{v}"), F.col("label").alias("_now")), named)
                 sides[k] = sides[k].join(renamed, f"label_{v}", "left").withColumn(f"label_{v}", F.coalesce("_now", f"label_{v}")).drop("_now")
         last = take >= largest
         drawn = sides[0] if last else sides[0].filter(F.pmod(F.xxhash64("a"), F.lit(1 << 20)) * F.col("size") < take * (1 << 20))

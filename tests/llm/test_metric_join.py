@@ -1,7 +1,7 @@
 import random
 import re
 
-from linewright.llm import metric_join, queries
+from linewright.llm import components, metric_join, queries
 
 from ..conftest import SF
 from . import edge_cases
@@ -129,3 +129,32 @@ def test_links_of_a_group_do_not_grow_with_its_square(spark, monkeypatch):
     links = metric_join.point_links(metric_join.linkable_points(docs, signs, 80, 5), 80)
     assert links.count() < 3 * len(texts)
     check(metric_join.jaccard_components(docs), list(enumerate(texts)))
+
+
+def test_few_links_take_one_task(spark, monkeypatch):
+    """Components by one task and by rounds, and pairs of sets by either plan, agree; few links are labelled without the rounds' shuffles."""
+    rng = random.Random(2)
+    pairs = [(rng.randint(-900, 900), rng.randint(-900, 900)) for _ in range(900)] + [(k, k + 1) for k in range(2000, 2400)] + [(-(1 << 63), (1 << 63) - 1), (7, 7)]
+    links = spark.createDataFrame(pairs, "a long, b long").repartition(5)
+    few, shuffles = components.connected(links), lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert not shuffles(few)
+    got = sorted(tuple(r) for r in few.collect())
+    monkeypatch.setattr(components, "FEW_EDGES", 0)
+    assert got == sorted(tuple(r) for r in components.connected(links).collect())
+    root = {x: x for p in pairs if p[0] != p[1] for x in p}
+    for _ in root:
+        old = dict(root)
+        for a, b in pairs:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+        if old == root:
+            break
+    assert got == sorted(root.items())
+    assert components.connected(links.limit(0)).count() == 0
+    points = spark.createDataFrame([(k, 4, [1, 2, 3, k]) for k in range(40)], "key long, n long, s array<long>")
+    some = spark.createDataFrame([(5, 6, 1), (5, 7, 2), (4, 3, 3), (3, 4, 3)], "a long, b long, label_a long")
+    found = []
+    for most in (10, 0):
+        monkeypatch.setattr(metric_join, "BROADCAST_ROWS", most)
+        found.append(sorted(tuple(r) for r in metric_join._linked(some, points, 60).collect()))
+    assert found[0] == found[1] == [(3, 4, 3), (4, 3, 3), (5, 6, 1), (5, 7, 2)]
