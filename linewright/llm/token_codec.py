@@ -64,6 +64,12 @@ def _tables():
 
 
 _STRETCH, _SQUASH, _KIND, _FIRST, _BITS = _tables()
+#: A row of eight counts times this has their running sums; counts stay below 2**15, so that floats hold them exactly.
+_RUNNING = np.triu(np.ones((8, 8), dtype=np.float32))
+
+
+def _squashed(x: np.ndarray) -> np.ndarray:
+    return _SQUASH.take(x + 2048, mode="clip")
 
 
 class _Model:
@@ -71,14 +77,16 @@ class _Model:
 
     def __init__(self, n: int):
         self.lane = np.arange(n)
-        self.ids = np.zeros((2, n * _SLOTS), dtype=np.uint32)
-        self.sure = np.zeros((2, n * _SLOTS), dtype=np.int8)
+        #: The id that a slot predicts, above three bits of how sure it is.
+        self.slots = np.zeros((2, n * _SLOTS), dtype=np.uint32)
         self.by_sure = np.full((2, n * 8), 1 << 13, dtype=np.int64)
         #: Weights of the two inputs of the first event, apart (first n) and in agreement, and of the second event.
         self.first = np.full((2, 2 * n), 1 << 15, dtype=np.int64)
         self.second = np.full((2, n), 1 << 15, dtype=np.int64)
         self.last = np.zeros((2, n), dtype=np.int64)
-        self.freq = np.ones((n, 64), dtype=np.uint32)
+        #: Counts of the classes in eight groups of eight, and sums of the groups and of all.
+        self.freq = np.ones(n * 64, dtype=np.float32)
+        self.groups = np.full(n * 8, 8, dtype=np.float32)
         self.total = np.full(n, 64, dtype=np.int64)
         self.lanes = n
 
@@ -87,15 +95,16 @@ class _Model:
         one, two, lane = self.last[0, :n], self.last[1, :n], self.lane[:n]
         hashed = ((one * 0x9E3779B1 + two * 0x85EBCA77) & 0xFFFFFFFF) >> 20, ((one * 0x9E3779B1) & 0xFFFFFFFF) >> 20
         self.at = [lane * _SLOTS + h for h in hashed]
-        guess = self.ids[0][self.at[0]], self.ids[1][self.at[1]]
-        self.known = [self.sure[k][self.at[k]] for k in (0, 1)]
+        self.held = [self.slots[k].take(self.at[k]) for k in (0, 1)]
+        guess = self.held[0] >> 3, self.held[1] >> 3
+        self.known = [h & 7 for h in self.held]
         self.place = [lane * 8 + k for k in self.known]
-        s2, s1 = (_STRETCH[self.by_sure[k][self.place[k]] >> 4] for k in (0, 1))
-        s0 = _STRETCH[np.minimum((self.freq[lane, _KIND[guess[1]]].astype(np.int64) << 12) // self.total[:n], 4095)]
+        s2, s1 = (_STRETCH.take(self.by_sure[k].take(self.place[k]) >> 4) for k in (0, 1))
+        s0 = _STRETCH.take(np.minimum((self.freq.take(lane * 64 + _KIND.take(guess[1])).astype(np.int64) << 12) // self.total[:n], 4095))
         self.agree = guess[0] == guess[1]
         self.row = lane + self.agree * self.lanes
-        p = _SQUASH[np.clip((self.first[0][self.row] * s2 + self.first[1][self.row] * s1) >> 16, -2048, 2047) + 2048]
-        q = _SQUASH[np.clip((self.second[0, :n] * s1 + self.second[1, :n] * s0) >> 16, -2048, 2047) + 2048]
+        p = _squashed((self.first[0].take(self.row) * s2 + self.first[1].take(self.row) * s1) >> 16)
+        q = _squashed((self.second[0, :n] * s1 + self.second[1, :n] * s0) >> 16)
         self.inputs = s2, s1, s0, p, q
         first = p << 4
         second = np.where(self.agree, 0, ((65536 - first) * q) >> 12)
@@ -111,22 +120,47 @@ class _Model:
         err = np.where(hits[0] | self.agree, 0, (hits[1].astype(np.int64) << 12) - q)
         self.second[0, :n] += (s1 * err) >> 10
         self.second[1, :n] += (s0 * err) >> 10
+        fresh = ids.astype(np.uint32) << 3
         for k in (0, 1):
-            hit, known, at, place = hits[k], self.known[k], self.at[k], self.place[k]
-            old = self.by_sure[k][place]
+            hit, known, held, place = hits[k], self.known[k], self.held[k], self.place[k]
+            old = self.by_sure[k].take(place)
             self.by_sure[k][place] = old + (((hit.astype(np.int64) << 16) - hit - old) >> 5)
-            self.ids[k][at] = np.where(hit | (known > 0), guess[k], ids)
-            self.sure[k][at] = np.where(hit, np.minimum(known + 1, 7), known >> 1)
+            missed = np.where(known > 0, held - ((known + 1) >> 1), fresh)
+            self.slots[k][self.at[k]] = np.where(hit, held + (known < 7), missed)
         self.last[1, :n] = self.last[0, :n]
         self.last[0, :n] = ids
 
     def learn_class(self, lanes: np.ndarray, kind: np.ndarray) -> None:
-        self.freq[lanes, kind] += 24
-        self.total[lanes] += 24
-        full = lanes[self.total[lanes] > 1 << 14]
+        self.freq[lanes * 64 + kind] += 24
+        self.groups[lanes * 8 + (kind >> 3)] += 24
+        total = self.total.take(lanes) + 24
+        self.total[lanes] = total
+        full = lanes[total > 1 << 14]
         if len(full):
-            self.freq[full] = (self.freq[full] + 1) >> 1
-            self.total[full] = self.freq[full].sum(axis=1)
+            half = np.floor((self.freq.reshape(-1, 8, 8)[full] + 1) / 2)
+            self.freq.reshape(-1, 8, 8)[full] = half
+            self.groups.reshape(-1, 8)[full] = half.sum(axis=2)
+            self.total[full] = half.sum(axis=(1, 2)).astype(np.int64)
+
+    def class_part(self, lanes: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The counts of all classes before each lane's class, and of that class."""
+        row, group, place = np.arange(len(lanes)) * 8, kind >> 3, kind & 7
+        own = self.freq.take(lanes * 64 + kind)
+        before = (self.groups.reshape(-1, 8).take(lanes, axis=0) @ _RUNNING).take(row + group) - self.groups.take(lanes * 8 + group)
+        inside = (self.freq.reshape(-1, 8).take(lanes * 8 + group, axis=0) @ _RUNNING).take(row + place) - own
+        return (before + inside).astype(_U), own.astype(_U)
+
+    def class_at(self, lanes: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The class in whose part of the counts each lane's value is, and what ``class_part`` says of it."""
+        row, value = np.arange(len(lanes)) * 8, value.astype(np.float32)
+        sums = self.groups.reshape(-1, 8).take(lanes, axis=0) @ _RUNNING
+        group = (sums <= value[:, None]).sum(axis=1)
+        before = sums.take(row + group) - self.groups.take(lanes * 8 + group)
+        sums = self.freq.reshape(-1, 8).take(lanes * 8 + group, axis=0) @ _RUNNING
+        place = (sums <= (value - before)[:, None]).sum(axis=1)
+        kind = group * 8 + place
+        own = self.freq.take(lanes * 64 + kind)
+        return kind, (before + sums.take(row + place) - own).astype(_U), own.astype(_U)
 
 
 def _encode(blocks: list[np.ndarray]) -> list[np.ndarray]:
@@ -167,10 +201,7 @@ def _encode(blocks: list[np.ndarray]) -> list[np.ndarray]:
         miss = np.flatnonzero(~is_two & ~is_one)
         if len(miss):
             kind = _KIND[ids[miss]]
-            sums = np.cumsum(model.freq[miss], axis=1, dtype=np.uint32)
-            row = np.arange(len(miss))
-            own, total = model.freq[miss, kind], sums[:, -1]
-            code(miss, (sums[row, kind] - own).astype(_U), own.astype(_U), span[miss] // total.astype(_U))
+            code(miss, *model.class_part(miss, kind), span[miss] // model.total.take(miss).astype(_U))
             model.learn_class(miss, kind)
             more = np.flatnonzero(_BITS[kind])
             if len(more):
@@ -222,13 +253,10 @@ def _decode(words: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
         ids = np.where(is_two, guess[0], guess[1]).astype(np.int64)
         miss = np.flatnonzero(~is_two & ~is_one)
         if len(miss):
-            sums = np.cumsum(model.freq[miss], axis=1, dtype=np.uint32)
-            total = sums[:, -1]
-            unit = span[miss] // total.astype(_U)
-            value = np.minimum((code[miss] - low[miss]) // unit, (total - 1).astype(_U))
-            kind = (sums <= value[:, None]).sum(axis=1)
-            own = model.freq[miss, kind]
-            advance(miss, (sums[np.arange(len(miss)), kind] - own).astype(_U), own.astype(_U), unit)
+            total = model.total.take(miss).astype(_U)
+            unit = span[miss] // total
+            kind, cum, freq = model.class_at(miss, np.minimum((code[miss] - low[miss]) // unit, total - _U(1)))
+            advance(miss, cum, freq, unit)
             model.learn_class(miss, kind)
             found = _FIRST[kind]
             more = np.flatnonzero(_BITS[kind])

@@ -15,6 +15,7 @@ import itertools
 import os
 import re
 import struct
+from collections.abc import Callable
 
 import regex
 
@@ -57,6 +58,27 @@ def narrow_pattern(pattern: str) -> re.Pattern | None:
     return found if all(found.findall(x) == regex.findall(pattern, x) for x in samples) else None
 
 
+class _Pieces(dict):
+    """The ids of pieces, which are encoded when they are first asked for; when it is full, the half that was met first stays."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHE_PIECES:
+            self.keep(CACHE_PIECES // 2)
+        ids = self.encode(piece)
+        if len(piece) <= 64:
+            self[piece] = ids
+        return ids
+
+    def keep(self, most: int) -> None:
+        first = list(itertools.islice(self.items(), most))
+        self.clear()
+        self.update(first)
+
+
 class PieceEncoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -76,12 +98,12 @@ class PieceEncoder:
         narrow = narrow_pattern(public_tokenizers.PATTERN)
         self.split_narrow = narrow.findall if narrow else self.split
         self.letters = _byte_letters()
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Pieces(self._encode)
 
     def trim(self) -> None:
         """Called at the end of a task, so that idle workers hold little."""
         if len(self.cache) > KEPT_PIECES:
-            self.cache = dict(itertools.islice(self.cache.items(), KEPT_PIECES))
+            self.cache.keep(KEPT_PIECES)
 
     def _encode(self, piece: str) -> bytes:
         tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
@@ -95,18 +117,7 @@ class PieceEncoder:
 
     def raw(self, text: str) -> bytes:
         """The ids of a text in which added tokens are ordinary text."""
-        cache, out = self.cache, []
-        for piece in (self.split if _IS_WIDE(text) else self.split_narrow)(text):
-            try:
-                out.append(cache[piece])
-            except KeyError:
-                if len(cache) >= CACHE_PIECES:
-                    cache.clear()
-                ids = self._encode(piece)
-                if len(piece) <= 64:
-                    cache[piece] = ids
-                out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.cache.__getitem__, (self.split if _IS_WIDE(text) else self.split_narrow)(text)))
 
 
 @functools.cache

@@ -79,3 +79,37 @@ def test_added_tokens_as_in_the_library(spark):
         at += len(ids)
     got = C.read_ids(C.write_ids(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
     assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in got} == want
+
+
+def test_classes_by_groups_and_packed_slots_code_as_plain_counts():
+    """Parts of classes are sums of the counts, also after halving; the bytes are those of the first version of the format."""
+    rng = np.random.default_rng(4)
+    model, plain = C._Model(5), np.ones((5, 64), dtype=np.int64)
+    for _ in range(3000):
+        lanes = np.sort(rng.choice(5, rng.integers(1, 6), replace=False))
+        kind = np.minimum(rng.geometric(0.1, len(lanes)), 64) - 1
+        before, own = model.class_part(lanes, kind)
+        sums = np.cumsum(plain[lanes], axis=1)
+        row = np.arange(len(lanes))
+        assert (own == plain[lanes, kind]).all() and (before == sums[row, kind] - plain[lanes, kind]).all() and (model.total[lanes] == sums[:, -1]).all()
+        value = rng.integers(0, sums[:, -1]).astype(np.uint64)
+        found, before, own = model.class_at(lanes, value)
+        assert (before <= value).all() and (value < before + own).all() and (own == plain[lanes, found]).all()
+        model.learn_class(lanes, kind)
+        plain[lanes, kind] += 24
+        full = plain.sum(axis=1) > 1 << 14
+        plain[full] = (plain[full] + 1) >> 1
+    ids = np.concatenate((np.arange(3000) ** 2 % 50_021, np.tile(np.arange(40), 60))).astype("<u4")
+    assert zlib.crc32(b"".join(C.encode_blocks(ids, [(0, 1, len(ids))], 0))) == 733806813
+
+
+def test_frequent_pieces_stay_when_the_store_is_full(monkeypatch):
+    from linewright.llm import token_ids
+
+    monkeypatch.setattr(token_ids, "CACHE_PIECES", 40)
+    coder, asked = token_ids.PieceEncoder(token_ids.public_path()), []
+    monkeypatch.setattr(coder.cache, "encode", lambda piece: asked.append(piece) or coder._encode(piece))
+    text = "the cat" + "".join(f" w{chr(97 + k % 26)}{chr(97 + k // 26)} the cat" for k in range(300))
+    want = Tokenizer.from_file(token_ids.public_path()).encode(text, add_special_tokens=False).ids
+    assert np.array_equal(np.frombuffer(coder.raw(text), dtype="<u4"), want)
+    assert asked.count(" the") == asked.count(" cat") == 1 and len(coder.cache) <= 40
